@@ -102,3 +102,23 @@ def distinct_in_span(spine: DataFrame, facts: DataFrame, by: Sequence[str], on:
         F.unix_date("__day")).rangeBetween(Window.unboundedPreceding, 0)
     return (rows.withColumn(out, F.coalesce(F.sum("_c").over(w), F.lit(0).cast("long")))
             .where("__want").select(*by, F.col("__day").alias(on), out))
+
+
+def interval_rows(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, lo: int, hi: int = 0,
+                  right_on: str | None = None) -> DataFrame:
+    """Left rows joined to every right row of the key dated in [d+lo, d+hi].
+
+    The range becomes an equi-join: days are cut into buckets as wide as the window, and each left row
+    looks up the one to two buckets its window touches, so cost follows the matches, not key history.
+    """
+    by = list(by)
+    right_on = right_on or on
+    width = hi - lo + 1
+    bucket = lambda days: F.floor(days / F.lit(width))
+    first, last = F.unix_date(on) + lo, F.unix_date(on) + hi
+    probes = left.withColumn("__b", F.explode(F.sequence(bucket(first), bucket(last))))
+    facts = right.withColumn("__day", F.col(right_on)).withColumn("__b", bucket(F.unix_date("__day")))
+    facts = facts.drop(right_on) if right_on in left.columns and right_on not in by else facts
+    joined = probes.join(facts, [*by, "__b"])
+    inside = F.date_diff("__day", on).between(lo, hi)
+    return joined.where(inside).drop("__b").withColumnRenamed("__day", "fact_day")

@@ -31,6 +31,7 @@ CONCEPTS = {
 }
 FLOWS = ["revenue", "gross_profit", "operating_income", "net_income", "capex", "rd_expense"]
 BALANCES = ["equity", "long_term_debt", "current_assets", "current_liabilities", "shares_outstanding"]
+REPORT_FORMS = ["10-K", "10-Q", "20-F"]
 QUARTER_DAYS = (75, 105)
 YEAR_DAYS = (350, 380)
 
@@ -72,7 +73,7 @@ def statements(facts: DataFrame, annual_filers: list[str] = ()) -> DataFrame:
     spark = facts.sparkSession
     priority = spark.createDataFrame(
         [(m, c, i) for m, cs in CONCEPTS.items() for i, c in enumerate(cs)], "measure string, concept string, rank int")
-    facts = facts.where(F.col("form").isin("10-K", "10-Q", "20-F", "10-K/A", "10-Q/A", "20-F/A"))
+    facts = facts.where(F.col("form").isin(REPORT_FORMS))
     chosen = first_concept(facts, priority)
     flows = chosen.where(F.col("measure").isin(FLOWS))
     days = F.date_diff("end", "start")
@@ -152,13 +153,14 @@ def statement_quarters(quarters: DataFrame) -> DataFrame:
     current_assets, current_liabilities) plus market multiples (pe, ps, pb) that describe today.
     """
     w = Window.partitionBy("ticker").orderBy("period_end")
+    prior = F.lag("revenue", 4).over(w)
     newest = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("period_end").desc())) == 1
     return quarters.withColumns({
-        "revenue_growth_yoy": yoy("revenue", F.lag("revenue", 4).over(w)),
+        "revenue_growth_yoy": ratio(F.col("revenue") - prior, F.abs(prior)),
         "gross_margin": ratio("gross_profit", "revenue"),
         "operating_margin": ratio("operating_income", "revenue"),
         "capex_to_revenue": ratio(F.abs("capex"), "revenue"),
-        "debt_to_equity": ratio("total_debt", "equity"),
+        "debt_to_equity": ratio("total_debt", _positive("equity")),
         "current_ratio": ratio("current_assets", "current_liabilities"),
         "pe_ratio_trailing": F.when(newest, F.col("pe")),
         "price_to_sales": F.when(newest, F.col("ps")),

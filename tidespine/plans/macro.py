@@ -33,6 +33,7 @@ MACHINERY_SERIES = "JTS333000000000000JOL"
 SEMICONDUCTOR_CODES = ["8541", "8542"]
 EQUIPMENT_CODES = ["8471", "8473"]
 CHINA, TAIWAN, ALL_PARTNERS = "5700", "5830", "ALL"
+POWER_TICKERS = ["BWX", "CEG", "ETR", "EXC", "FSLR", "GEV", "NEE", "NRG", "OKLO", "SMR", "SO", "TLN", "VST"]
 REGION_COUNTRIES = {
     "north_america": ["United States", "Canada"],
     "emea": ["Germany", "United Kingdom", "France", "Netherlands"],
@@ -303,7 +304,7 @@ def geo_tailwind(spine: DataFrame, energy: DataFrame, exposure: DataFrame,
 
 
 def attach_energy(spine: DataFrame, zone_queue: DataFrame, capacity: DataFrame, energy: DataFrame,
-                  exposure: DataFrame, power_tickers: list[str]) -> DataFrame:
+                  exposure: DataFrame, power_tickers: list[str] = POWER_TICKERS) -> DataFrame:
     """Both energy scores on the spine; the moat applies only to the listed power companies."""
     moat = power_moat(spine, zone_queue, capacity)
     out = spine.join(F.broadcast(moat), "date", "left").withColumn(

@@ -47,8 +47,9 @@ TABLES: dict[str, str] = {
     "hyperscaler_q": "ticker string, period_end date, revenue double, capex double",
     "capacity": "date date, fuel_type string, capacity_gw double",
     "zone_queue": "date date, zone string, queue_backlog_gw double, project_count int",
-    "country_energy": "country string, year int, renewables_pct double, carbon_intensity_gco2_per_kwh double, "
-                      "solar_twh double, wind_twh double, nuclear_twh double, fossil_pct double, demand_twh double",
+    "country_energy": "country string, year int, renewables_pct double, solar_share_elec double, wind_share_elec double, "
+                      "nuclear_share_elec double, electricity_demand double, per_capita_electricity double, "
+                      "carbon_intensity_gco2_per_kwh double",
     "geo_exposure": "ticker string, region string, weight double",
     "positions": "timestamp timestamp, mmsi string, imo string, vessel_name string, vessel_type int, latitude double, "
                  "longitude double, speed_knots float, course float, draught float, destination string, corridor string",
