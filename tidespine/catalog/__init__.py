@@ -1,5 +1,5 @@
 """All registered queries. Importing a module registers its entries."""
 from tidespine.catalog.base import ORACLE, QUERIES
-from tidespine.catalog import q_features  # noqa: F401
+from tidespine.catalog import q_features, q_models, q_operators, q_sources, q_stream  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

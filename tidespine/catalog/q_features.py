@@ -7,7 +7,7 @@ from tidespine.catalog.base import query
 from tidespine.functions.scalar import rounded
 from tidespine.functions.text import cpc_bucket
 from tidespine.plans import events as ev, filings as fl, macro as ma, market as mk, price as pr
-from tidespine.plans.attach import attach_daily, fill_zero, spine_of
+from tidespine.plans.attach import attach_daily, spine_of
 
 DAY = "1998-06-15"
 
@@ -16,10 +16,6 @@ def r6(*cols: str) -> str:
     return ", ".join(f"ROUND({c}, 6) AS {c}" for c in cols)
 
 
-def sql_avg_of(cols):
-    return ", ".join(cols)
-
-
 @query("f01_price", f"SELECT ticker, date, {r6(*pr.PRICE_COLS)} FROM pf")
 def f01(t):
     return rounded(pr.price_features(t.px))
@@ -145,9 +141,9 @@ WITH s AS (SELECT DISTINCT ticker, date FROM px),
 w AS (SELECT s.ticker, s.date, AVG(CASE WHEN si.date >= s.date - 10 THEN short_vol_ratio END) AS a, AVG(short_vol_ratio) AS b,
  AVG(CASE WHEN si.date BETWEEN s.date - 20 AND s.date - 11 THEN short_vol_ratio END) AS p
  FROM s LEFT JOIN si ON si.ticker = s.ticker AND si.date BETWEEN s.date - 30 AND s.date GROUP BY 1, 2)
-SELECT ticker, date, ROUND(a, 9) AS short_vol_ratio_10d, ROUND(b, 9) AS short_vol_ratio_30d, ROUND(a - p, 9) AS short_ratio_momentum FROM w""")
+SELECT ticker, date, ROUND(a, 12) AS short_vol_ratio_10d, ROUND(b, 12) AS short_vol_ratio_30d, ROUND(a - p, 12) AS short_ratio_momentum FROM w""")
 def f07(t):
-    return rounded(ev.short_interest_features(t.px, t.si), 9)
+    return rounded(ev.short_interest_features(t.px, t.si), 12)
 
 
 _STATES = """

@@ -26,6 +26,8 @@ COUNTRIES = ["United States", "Canada", "Germany", "United Kingdom", "France", "
              "Iceland", "Japan", "South Korea", "Singapore", "Malaysia"]
 REGION_OF_SEGMENT = {"AUTOMOBILE": "north_america", "BUILDING": "emea", "FURNITURE": "nordics",
                      "HOUSEHOLD": "asia_pacific"}
+AGREEMENT_WORDS = ["offtake agreement", "supply contract", "foundry agreement", "cloud agreement", "epc agreement",
+                   "joint venture", "equity investment", "license agreement", "memorandum"]
 NAICS_OF_LINE = {1: "541511", 2: "334413", 3: "518210"}
 
 
@@ -312,6 +314,33 @@ class Tables:
             (F.col("event_id") % 60 - 10).cast("double").alias("latitude"),
             (F.col("user_id") * 7 % 180 - 40).cast("double").alias("longitude"))
 
+    @cached_property
+    def facts(self):
+        """Reported facts: orders as periods of 0-119 days with three concepts of one measure."""
+        concept = case_col(F.col("o_orderstatus"), {"F": "Revenues", "O": "SalesRevenueNet", "P": "GrossProfit"})
+        return self.ord.select(
+            "ticker", concept.alias("concept"), F.col("day").alias("start"),
+            F.date_add("day", (F.col("o_custkey") % 120).cast("int")).alias("end"), F.col("o_totalprice").alias("val"),
+            F.date_add("day", (F.col("o_custkey") % 7 + 120).cast("int")).alias("filed"), F.lit("10-Q").alias("form"))
+
+    @cached_property
+    def filing(self):
+        """Agreement filings: each document's whole text plus one agreement sentence."""
+        word = F.element_at(F.array(*[F.lit(w) for w in AGREEMENT_WORDS]), (F.col("doc_id") % len(AGREEMENT_WORDS)).cast("int") + 1)
+        unit = F.when(F.col("doc_id") % 3 == 0, " gigawatt").otherwise(" MW")
+        text = F.concat(F.col("text"), F.lit(" Item 1.01 entry. The "), word, F.lit(" with Nation_"),
+                        (F.col("n_chars") % 25).cast("string"), F.lit(" Corp covers "), (F.col("n_chars") % 997).cast("string"),
+                        unit, F.lit("! Terms follow."))
+        return self.raw("documents").select(
+            F.col("doc_id").alias("filing_id"), F.concat(F.lit("NATION_"), (F.col("doc_id") % 25).cast("string")).alias("filer_ticker"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
+            F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), text.alias("text"))
+
+    @cached_property
+    def companies(self):
+        """Company names of the entities with their dictionary order."""
+        return self.nat.select(F.lower("ticker").alias("company_name"), "ticker", F.col("n_nationkey").alias("ord"))
+
     @cached_property
     def epx(self):
         """A second price panel whose days overlap the events and documents."""
@@ -455,6 +484,14 @@ SQL_VIEWS: dict[str, str] = {
               FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "positions": """SELECT ts AS timestamp, day, user_id AS mmsi, CAST(user_id % 120 AS INTEGER) AS vessel_type,
               CAST(event_id % 60 - 10 AS DOUBLE) AS latitude, CAST(user_id * 7 % 180 - 40 AS DOUBLE) AS longitude FROM ev""",
+    "facts": """SELECT ticker, CASE o_orderstatus WHEN 'F' THEN 'Revenues' WHEN 'O' THEN 'SalesRevenueNet' ELSE 'GrossProfit' END AS concept,
+              day AS "start", day + CAST(o_custkey % 120 AS INTEGER) AS "end", o_totalprice AS val,
+              day + CAST(o_custkey % 7 + 120 AS INTEGER) AS filed, '10-Q' AS form FROM ord""",
+    "filing": f"""SELECT doc_id AS filing_id, 'NATION_' || (doc_id % 25)::VARCHAR AS filer_ticker, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date,
+              'doc/' || doc_id::VARCHAR AS url, text || ' Item 1.01 entry. The ' || {case_sql(f'doc_id % {len(AGREEMENT_WORDS)}', dict(enumerate(AGREEMENT_WORDS)))}
+              || ' with Nation_' || (n_chars % 25)::VARCHAR || ' Corp covers ' || (n_chars % 997)::VARCHAR
+              || CASE WHEN doc_id % 3 = 0 THEN ' gigawatt' ELSE ' MW' END || '! Terms follow.' AS text FROM documents""",
+    "companies": "SELECT lower(ticker) AS company_name, ticker, n_nationkey AS ord FROM nat",
     "epx": f"""SELECT 'NATION_' || (user_id % 25)::VARCHAR AS ticker, day AS date,
               CAST(SUM(CAST(value AS {_D})) AS DOUBLE) / COUNT(*) AS close_price, COUNT(*) AS volume FROM ev GROUP BY 1, 2""",
     "pf": """SELECT ticker, date, close_price / NULLIF(LAG(close_price, 1) OVER w, 0) - 1 AS return_1d,

@@ -100,7 +100,7 @@ def normalize_name(name: str | Column) -> Column:
     """Lower case, trimmed, legal-form endings removed one after the other."""
     s = F.trim(F.lower(col(name)))
     for suffix in LEGAL_SUFFIXES:
-        s = F.when(F.endswith(s, F.lit(suffix)), F.trim(F.substr(s, F.lit(1), F.length(s) - len(suffix)))).otherwise(s)
+        s = F.trim(F.regexp_replace(s, suffix + r"\z", ""))
     return s
 
 

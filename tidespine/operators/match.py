@@ -4,24 +4,30 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from tidespine.functions.text import normalize_name
 
 CUTOFF = 0.85
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio 2M/T of two names; runs only on the few candidate pairs."""
-    matcher, last, out = difflib.SequenceMatcher(), None, []
-    for x, y in zip(a, b):
-        if y != last:
-            matcher.set_seq2(y)  # the second sequence is indexed once and reused
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+def similarity(a: str, b: str) -> Column:
+    """Matching-block ratio 2M/T of two names; runs only on the few candidate pairs.
+
+    The worker function is built here so that it travels with the job by value.
+    """
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        matcher, last, out = difflib.SequenceMatcher(), None, []
+        for left, right in zip(x, y):
+            if right != last:
+                matcher.set_seq2(right)  # the second sequence is indexed once and reused
+                last = right
+            matcher.set_seq1(left)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(ratios, DoubleType())(F.col(a), F.col(b))
 
 
 def _bigrams(df: DataFrame, name: str, keep_all: list[str]) -> DataFrame:
@@ -112,9 +118,8 @@ def gram_contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, patter
     """
     patterns = patterns.select(pattern).where(F.length(pattern) > 0).distinct()
     q = min(int(patterns.agg(F.min(F.length(pattern))).first()[0]), 8)
-    n = F.length(text)
-    grams = F.when(n >= q, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr(F.col(text), i, F.lit(q)))))
+    # A zero-width lookahead captures the q characters at every position in one linear pass.
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), 1))
     heads = patterns.withColumn("_g", F.substring(pattern, 1, q))
     hits = texts.select(*keys, F.explode(grams).alias("_g")).join(heads, "_g").select(*keys, pattern)
     return hits.join(texts.select(*keys, text), keys).where(F.contains(F.col(text), F.col(pattern))).select(*keys, pattern)

@@ -46,7 +46,7 @@ def layer_momentum(spine: DataFrame, returns: DataFrame, layers: DataFrame, valu
     known = returns.where(F.col(value).isNotNull()).join(layers, "ticker").select("ticker", "layer", "date", value)
     group = known.groupBy("layer", "date").agg(F.sum(value).alias("_gs"), F.count(value).alias("_gn"))
     every = known.groupBy("date").agg(F.sum(value).alias("_as"), F.count(value).alias("_an"))
-    df = (spine.join(layers, "ticker", "left").join(known.select(*KEYS, value), KEYS, "left")
+    df = (spine.select(*KEYS).join(layers, "ticker", "left").join(known.select(*KEYS, value), KEYS, "left")
           .join(group, ["layer", "date"], "left").join(F.broadcast(every), "date", "left"))
     own = F.col(value).isNotNull().cast("int")
     gn, gs = F.coalesce("_gn", F.lit(0)), F.coalesce("_gs", F.lit(0.0))
