@@ -131,9 +131,9 @@ def e07(t):
     return rounded(evl.spearman_ic(t.panel))
 
 
-@query("e08_half_spread", f"WITH {_IC} SELECT date, (a > b)::INTEGER::DOUBLE AS hit, ROUND(a - b, 6) AS spread FROM hs WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("e08_half_spread", f"WITH {_IC} SELECT date, (a > b)::INTEGER::DOUBLE AS hit, ROUND(a - b, 12) AS spread FROM hs WHERE a IS NOT NULL AND b IS NOT NULL")
 def e08(t):
-    return rounded(evl.half_spread(t.panel))
+    return rounded(evl.half_spread(t.panel), 12)
 
 
 @query("e09_ic_summary", f"""WITH {_IC}, i AS (SELECT COUNT(ic) AS months, AVG(ic) AS m, STDDEV_SAMP(ic) AS s FROM ic WHERE ic IS NOT NULL), h AS (SELECT AVG((a > b)::INTEGER) AS hr, AVG(a - b) AS sp FROM hs WHERE a IS NOT NULL AND b IS NOT NULL)
@@ -242,9 +242,9 @@ def m03(t):
         *KEYS, "lgbm_return", "rf_return", "ridge_return", "expected_annual_return", "confidence_low", "confidence_high"))
 
 
-_NNLS = """WITH g AS (SELECT SUM(p1*p1) AS aa, SUM(p1*p2) AS ab, SUM(p2*p2) AS bb, SUM(p1*y) AS ay, SUM(p2*y) AS by FROM (SELECT l_quantity AS p1, l_discount * 1000 AS p2, l_extendedprice / 1000 AS y FROM lineitem)),
- s AS (SELECT *, (bb*ay - ab*by) / (aa*bb - ab*ab) AS wa, (aa*by - ab*ay) / (aa*bb - ab*ab) AS wb FROM g), w AS (SELECT CASE WHEN wa >= 0 AND wb >= 0 THEN wa WHEN ay*ay/aa >= by*by/bb THEN ay/aa ELSE 0 END AS a,
- CASE WHEN wa >= 0 AND wb >= 0 THEN wb WHEN ay*ay/aa >= by*by/bb THEN 0 ELSE by/bb END AS b FROM s)"""
+_NNLS = """WITH g AS (SELECT SUM(p1*p1) AS aa, SUM(p1*p2) AS ab, SUM(p2*p2) AS bb, SUM(p1*y) AS ay, SUM(p2*y) AS cy FROM (SELECT l_quantity AS p1, l_discount * 1000 AS p2, l_extendedprice / 1000 AS y FROM lineitem)),
+ s AS (SELECT *, (bb*ay - ab*cy) / (aa*bb - ab*ab) AS wa, (aa*cy - ab*ay) / (aa*bb - ab*ab) AS wb FROM g), w AS (SELECT CASE WHEN wa >= 0 AND wb >= 0 THEN wa WHEN ay*ay/aa >= cy*cy/bb THEN ay/aa ELSE 0 END AS a,
+ CASE WHEN wa >= 0 AND wb >= 0 THEN wb WHEN ay*ay/aa >= cy*cy/bb THEN 0 ELSE cy/bb END AS b FROM s)"""
 
 
 @query("m06_blend_weights", _NNLS + " SELECT 'p1' AS model, ROUND(a / (a + b), 6)::DOUBLE AS weight FROM w UNION ALL SELECT 'p2', ROUND(b / (a + b), 6)::DOUBLE FROM w")

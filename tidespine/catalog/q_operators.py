@@ -572,11 +572,11 @@ def a18(t):
     return t.panel.groupBy("layer").agg(F.round(m, 6).alias("mean"), F.round(s, 6).alias("sd"), F.round(m / (s / F.sqrt(F.count("actual"))), 4).alias("t"))
 
 
-@query("a19_peer_mean", """SELECT a.ticker, a.date, ROUND(CASE WHEN COUNT(b.ticker) >= 2 THEN AVG(b.short_vol_ratio) END, 9) AS peers FROM (SELECT si.*, layer FROM si JOIN nat USING (ticker)) a
+@query("a19_peer_mean", """SELECT a.ticker, a.date, ROUND(CASE WHEN COUNT(b.ticker) >= 2 THEN AVG(b.short_vol_ratio) END, 12) AS peers FROM (SELECT si.*, layer FROM si JOIN nat USING (ticker)) a
  LEFT JOIN (SELECT si.*, layer FROM si JOIN nat USING (ticker)) b ON a.layer = b.layer AND a.date = b.date AND a.ticker <> b.ticker GROUP BY 1, 2""")
 def a19(t):
     out = mk.layer_momentum(t.si, t.si, t.layers, "short_vol_ratio", 2, 5)
-    return rounded(out.select("ticker", "date", F.col("own_layer_momentum_20d").alias("peers")), 9)
+    return rounded(out.select("ticker", "date", F.col("own_layer_momentum_20d").alias("peers")), 12)
 
 
 @query("a20_profile", "SELECT COUNT(*) AS n, COUNT(DISTINCT ticker) AS tickers, MIN(date) AS first_day, MAX(date) AS last_day FROM px")

@@ -371,7 +371,8 @@ def s33(t):
     sk.write_by(t.preds.withColumn("month", F.trunc("date", "month")).withColumn("version", lit(1)), path, "month", "horizon")
     again = t.preds.where("date < date'1998-01-01'").withColumn("month", F.trunc("date", "month")).withColumn("version", lit(2))
     sk.write_by(again, path, "month", "horizon")
-    return t.spark.read.parquet(path).groupBy("date", "horizon").agg(F.count(lit(1)).alias("n"), F.max("version").alias("version"))
+    back = rd.read_partitions(t.spark, path, "date date, version int, month date, horizon string")
+    return back.groupBy("date", "horizon").agg(F.count(lit(1)).alias("n"), F.max("version").alias("version"))
 
 
 @query("s34_upsert", "SELECT pair, date, CASE WHEN date >= DATE '1998-01-01' THEN rate * 2 ELSE rate END AS rate FROM rates")

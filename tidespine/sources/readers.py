@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pyspark.sql.types import StructType
+
 from tidespine.functions.scalar import any_not_null
 from tidespine.schemas import empty, schema_of
 
@@ -37,6 +39,11 @@ def scan(spark: SparkSession, path: str, table: str, base: str | None = None) ->
         raise
 
 
+def read_partitions(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A partitioned table with declared types. Without them a folder ``horizon=20d`` reads as the number 20."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def register_views(spark: SparkSession, views: dict[str, str]) -> list[str]:
     """Create a temp view per existing partitioned source, columns merged by name; returns their names."""
     made = []
