@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidespine.functions.dates import quarter_end, quarter_label
+from tidespine.session import spread
 
 MONEY = "decimal(18,2)"
 
@@ -55,7 +56,8 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(scan) if name in ("lineitem", "orders", "documents", "pages", "events") else scan
 
     @cached_property
     def nat(self):

@@ -26,7 +26,7 @@ class Span:
     hi: int = 0
 
 
-_PARTS = {"sum": ("s",), "count": ("n",), "avg": ("s", "n"), "stddev": ("s", "n", "q"),
+_PARTS = {"sum": ("s", "n"), "count": ("n",), "avg": ("s", "n"), "stddev": ("s", "n", "q"),
           "min": ("lo",), "max": ("hi",)}
 
 
@@ -35,7 +35,9 @@ def span_agg(spine: DataFrame, facts: DataFrame, by: Sequence[str], on: str, spa
     """One row per distinct (by, on) of the spine with one column per span.
 
     With ``by`` empty both sides shrink to one row per day first, so the single window group is
-    bounded by the calendar.
+    bounded by the calendar. Counts and exact sums (integers, decimals) are differences of two running
+    sums, which cost one step per row whatever the span; floating sums keep a sliding frame, because
+    a difference of running sums would lose digits.
     """
     by = list(by)
     facts_on = facts_on or on
@@ -52,23 +54,32 @@ def span_agg(spine: DataFrame, facts: DataFrame, by: Sequence[str], on: str, spa
                 "lo": F.min(v), "hi": F.max(v)}[p].alias(name))
         plan.append((s, tag))
     daily = facts.where(F.col(facts_on).isNotNull()).groupBy(*by, F.col(facts_on).alias("__day")).agg(*parts.values())
+    exact = {f.name for f in daily.schema.fields if f.dataType.typeName() in ("long", "decimal")}
     days = spine.select(*by, F.col(on).alias("__day")).distinct().withColumn("__want", F.lit(True))
     rows = daily.unionByName(days, allowMissingColumns=True)
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.unix_date("__day"))
+
+    def running(name: str, upto: int) -> Column:
+        return F.coalesce(F.sum(name).over(w.rangeBetween(Window.unboundedPreceding, upto)), F.lit(0))
+
+    def total(name: str, s: Span) -> Column:
+        if name in exact:
+            return running(name, s.hi) - running(name, s.lo - 1)
+        return F.sum(name).over(w.rangeBetween(s.lo, s.hi))
+
     outs = []
     for s, tag in plan:
         f = w.rangeBetween(s.lo, s.hi)
-        total = F.sum(f"_s{tag}").over(f)
-        n = F.coalesce(F.sum(f"_n{tag}").over(f), F.lit(0).cast("long"))
+        n = total(f"_n{tag}", s)
         if s.how == "sum":
-            e = total
+            e = F.when(n > 0, total(f"_s{tag}", s))
         elif s.how == "count":
-            e = n
+            e = n.cast("long")
         elif s.how == "avg":
-            e = F.try_divide(total.cast("double"), n.cast("double"))
+            e = F.try_divide(total(f"_s{tag}", s).cast("double"), n.cast("double"))
         elif s.how == "stddev":
-            sq = F.sum(f"_q{tag}").over(f)
-            ss = sq - F.try_divide(total.cast("double") * total.cast("double"), n.cast("double"))
+            sq, sm = F.sum(f"_q{tag}").over(f), total(f"_s{tag}", s).cast("double")
+            ss = sq - F.try_divide(sm * sm, n.cast("double"))
             e = F.when(n > 1, F.sqrt(F.greatest(ss, F.lit(0.0)) / (n - 1)))
         elif s.how == "min":
             e = F.min(f"_lo{tag}").over(f)

@@ -58,8 +58,10 @@ def row_number_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column
     )
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """One row per (group, value) with its number of rows, or the summed weight of its rows."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -69,9 +71,13 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     return df.join(ranks, [*by, value], "left")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group, one column per entry."""
-    counted = weight_before(value_counts(df, by, value), by, [F.col(value)], "_n")
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float],
+                    weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group, one column per entry.
+
+    ``weight`` names a column that says how many rows each row stands for.
+    """
+    counted = weight_before(value_counts(df, by, value, weight), by, [F.col(value)], "_n")
     aggs = []
     for name, q in quantiles.items():
         pos = F.lit(float(q)) * (F.col("total") - 1)
@@ -87,5 +93,5 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dic
     return wide.select(*by, *outs)
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    return exact_quantiles(df, by, value, {out: 0.5})
+def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
+    return exact_quantiles(df, by, value, {out: 0.5}, weight)

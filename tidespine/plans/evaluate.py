@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidespine.functions.scalar import change
 from tidespine.operators.calendar import calendar_index
+from tidespine.operators.dedup import symmetrise
 from tidespine.operators.intervals import interval_rows
 from tidespine.operators.ranking import average_rank, exact_median, exact_quantiles, row_number_in_group
 from tidespine.plans.price import HORIZONS
+from tidespine.session import cut_lineage
 
 MODELS = ["lgbm_return", "rf_return", "ridge_return"]
 LIQUID_BILLIONS = 1.0
@@ -59,8 +61,9 @@ def peer_correlation(preds: DataFrame, prices: DataFrame, top_n: int = 10, days:
     at = "_pos" if positional else "fact_day"
     a = ret.select(*keys, "ticker", at, "_r")
     b = ret.select(*keys, F.col("ticker").alias("_peer"), at, F.col("_r").alias("_s"))
-    pairs = a.join(b, [*keys, at]).where(F.col("ticker") != F.col("_peer")).groupBy(*keys, "ticker", "_peer").agg(
+    half = a.join(b, [*keys, at]).where(F.col("ticker") < F.col("_peer")).groupBy(*keys, "ticker", "_peer").agg(
         F.count(F.lit(1)).alias("_m"), pearson("_r", "_s").alias("_c"))
+    pairs = symmetrise(half, "ticker", "_peer")  # each pair is correlated once and read both ways
     mean = pairs.where((F.col("_m") >= min_overlap) & F.col("_c").isNotNull()).groupBy(*keys, "ticker").agg(
         F.avg("_c").alias("_mean"))
     priced = ret.select(*keys, "ticker").distinct()
@@ -120,6 +123,7 @@ def on_rebalance(panel: DataFrame, on: str = "date") -> DataFrame:
 def spearman_ic(panel: DataFrame, predicted: str = "predicted", actual: str = "actual", on: str = "date",
                 min_rows: int = 4) -> DataFrame:
     """Rank correlation per day with average ranks for ties; days with too few rows or no spread drop out."""
+    panel = cut_lineage(panel.select(on, predicted, actual))  # ranked twice and joined back twice
     ranked = average_rank(average_rank(panel, [on], predicted, "_rp"), [on], actual, "_ra")
     return ranked.groupBy(on).agg(F.count(F.lit(1)).alias("n"), pearson("_rp", "_ra").alias("ic")).where(
         (F.col("n") >= min_rows) & F.col("ic").isNotNull())
@@ -128,6 +132,7 @@ def spearman_ic(panel: DataFrame, predicted: str = "predicted", actual: str = "a
 def half_spread(panel: DataFrame, predicted: str = "predicted", actual: str = "actual", on: str = "date",
                 min_rows: int = 4) -> DataFrame:
     """Mean outcome of the upper half by prediction minus the lower half, and whether it is positive."""
+    panel = cut_lineage(panel.select(on, predicted, actual))
     mid = exact_median(panel, [on], predicted, "_mid")
     rows = panel.join(F.broadcast(mid), on)  # one row per day
     up = F.col(predicted) >= F.col("_mid")

@@ -13,6 +13,7 @@ from tidespine.operators.graph import hops_to_set, proximity
 from tidespine.operators.intervals import Span, span_agg
 from tidespine.operators.ranking import exact_median
 from tidespine.operators.windows import realised_volatility, rolling_correlation
+from tidespine.session import cut_lineage
 
 KEYS = ["ticker", "date"]
 SUPPLY_COLS = ["own_layer_momentum_20d", "ecosystem_momentum_20d", "supply_chain_correlation_60d",
@@ -124,10 +125,9 @@ def nearest_expiry(contracts: DataFrame, target: int, longest: int) -> DataFrame
     return dates.groupBy(*KEYS).agg(F.min_by("expiry", F.struct(F.abs(ahead - target), F.col("expiry"))).alias("expiry"))
 
 
-def _quotes(contracts: DataFrame, expiry: DataFrame) -> DataFrame:
-    """One row per (ticker, date, type, strike) of the chosen expiry: summed sizes, smallest positive iv."""
-    chosen = contracts.join(expiry, [*KEYS, "expiry"], "left_semi")
-    return chosen.groupBy(*KEYS, "option_type", "strike").agg(
+def _quotes(contracts: DataFrame) -> DataFrame:
+    """One row per (ticker, date, expiry, type, strike): summed sizes, contracts, smallest positive iv."""
+    return contracts.groupBy(*KEYS, "expiry", "option_type", "strike").agg(
         F.sum("oi").alias("oi"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("iv") > 0, F.col("iv"))).alias("iv"))
 
@@ -151,29 +151,28 @@ def option_features(contracts: DataFrame, prices: DataFrame) -> DataFrame:
 
     Contracts are reduced to (type, strike) cells first; the spot is the median near-term strike.
     """
-    contracts = contracts.select(*KEYS, "expiry", "option_type", "strike", "iv", "oi", "volume")
-    near = _quotes(contracts, nearest_expiry(contracts, 30, 45))
-    mid = _quotes(contracts, nearest_expiry(contracts, 90, 180))
-    spots = exact_median(contracts.join(nearest_expiry(contracts, 30, 45), [*KEYS, "expiry"], "left_semi"),
-                         KEYS, "strike", "spot").where("spot > 0")
+    cells = cut_lineage(_quotes(contracts))  # small next to the contracts, and read many times
+    near = cells.join(nearest_expiry(cells, 30, 45), [*KEYS, "expiry"], "left_semi")
+    mid = cells.join(nearest_expiry(cells, 90, 180), [*KEYS, "expiry"], "left_semi")
+    spots = exact_median(near, KEYS, "strike", "spot", weight="n").where("spot > 0")
     near = near.join(spots, KEYS)
     put, call, spot = F.col("option_type") == "put", F.col("option_type") == "call", F.col("spot")
     sums = lambda c, side: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
-    cells = near.groupBy(*KEYS).agg(
+    picks = near.groupBy(*KEYS).agg(
         F.max("spot").alias("spot"), _nearest(spot).alias("_atm"),
         F.coalesce(ratio(sums("oi", put), sums("oi", call)), F.lit(0.0)).alias("put_call_oi_ratio"),
         F.coalesce(ratio(sums("volume", put), sums("volume", call)), F.lit(0.0)).alias("put_call_vol_ratio"),
         _nearest(spot * 0.925, put & F.col("strike").between(spot * 0.88, spot * 0.97)).alias("_put"),
         _nearest(spot * 1.075, call & F.col("strike").between(spot * 1.03, spot * 1.12)).alias("_call"))
-    wings = near.drop("spot").join(cells.select(*KEYS, "_put", "_call"), KEYS).groupBy(*KEYS).agg(
+    wings = near.drop("spot").join(picks.select(*KEYS, "_put", "_call"), KEYS).groupBy(*KEYS).agg(
         F.coalesce(F.min(F.when(put & (F.col("strike") == F.col("_put")), F.col("iv"))), F.lit(0.0)).alias("_piv"),
         F.coalesce(F.min(F.when(call & (F.col("strike") == F.col("_call")), F.col("iv"))), F.lit(0.0)).alias("_civ"))
-    near_iv = _iv_at_the_money(near.drop("spot"), cells.select(*KEYS, "_atm"))
+    near_iv = _iv_at_the_money(near.drop("spot"), picks.select(*KEYS, "_atm"))
     mid_atm = mid.join(spots, KEYS).groupBy(*KEYS).agg(_nearest(spot).alias("_atm"))
     mid_iv = _iv_at_the_money(mid, mid_atm).withColumnRenamed("_iv", "_iv_mid")
     vol = realised_volatility(prices.select(*KEYS, "close_price"), "close_price", "ticker", "date", "_hv")
-    days = contracts.select(*KEYS).distinct()
-    df = (days.join(cells, KEYS, "left").join(wings, KEYS, "left").join(near_iv, KEYS, "left").join(mid_iv, KEYS, "left"))
+    days = cells.select(*KEYS).distinct()
+    df = (days.join(picks, KEYS, "left").join(wings, KEYS, "left").join(near_iv, KEYS, "left").join(mid_iv, KEYS, "left"))
     df = asof_join(df, vol.select("ticker", F.col("date").alias("_pd"), "_hv"), on="date", right_on="_pd",
                    by=["ticker"], left_unique=True)
     rows = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -237,6 +236,7 @@ def graph_features(spine: DataFrame, prices: DataFrame, edges: DataFrame, deals:
                    hubs: Sequence[str] = HUBS) -> DataFrame:
     """All five graph features per (ticker, date). Hop distances are computed once per entity."""
     spine = spine.select(*KEYS).distinct()
+    edges = cut_lineage(edges)  # read by three features and by every hop
     nodes = spine.select("ticker").distinct()
     hops = hops_to_set(nodes.unionByName(edges.select(F.col("ticker_from").alias("ticker"))).distinct(), edges, hubs)
     hops = hops.select("ticker", proximity("hops").alias("graph_hops_to_hyperscaler"))

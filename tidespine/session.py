@@ -53,3 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder, for tables a job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the session has cores (one small file, say).
+
+    CPU-heavy parsing would otherwise run on a single core. A large input has more splits than cores and
+    passes through untouched, so no shuffle is added at scale. Meant for plain scans, whose split count
+    is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
