@@ -182,8 +182,8 @@ FROM s LEFT JOIN mom USING (ticker, date) LEFT JOIN cnt USING (ticker, date) LEF
 def f09(t):
     from tidespine.operators.graph import decayed_edges
 
-    edges = decayed_edges(t.deals, "2001-12-31")
-    return rounded(mk.graph_features(t.px, t.px, edges, t.deals, ["NATION_3", "NATION_7"]))
+    px, deals = t.stored("px"), t.stored("deals")
+    return rounded(mk.graph_features(px, px, decayed_edges(deals, "2001-12-31"), deals, ["NATION_3", "NATION_7"]))
 
 
 _OWN = """
@@ -228,7 +228,7 @@ SELECT px.ticker, px.date, ROUND(CASE WHEN px.ticker IN ('NATION_1', 'NATION_2',
   ROUND(CAST(COALESCE(s, 0.0) AS DOUBLE), 6) AS geo_weighted_tailwind_score
 FROM px LEFT JOIN moat USING (date) LEFT JOIN sc ON sc.ticker = px.ticker AND sc.y = year(px.date)""")
 def f11(t):
-    return rounded(ma.attach_energy(spine_of(t.px), t.zones, t.capacity, t.energy, t.exposure,
+    return rounded(ma.attach_energy(spine_of(t.stored("px")), t.zones, t.capacity, t.energy, t.exposure,
                                     ["NATION_1", "NATION_2", "NATION_12"]))
 
 
@@ -245,8 +245,9 @@ FROM px JOIN nat USING (ticker)""")
 def f12_momentum(t):
     from tidespine.operators.calendar import calendar_change, with_calendar
 
-    ret = calendar_change(with_calendar(t.px), "close_price", 20, "ret_20d")
-    return rounded(mk.layer_momentum(spine_of(t.px), ret, t.layers))
+    px = t.stored("px")
+    ret = calendar_change(with_calendar(px), "close_price", 20, "ret_20d")
+    return rounded(mk.layer_momentum(spine_of(px), ret, t.layers))
 
 
 _CORR = f"""{_CAL},
@@ -264,7 +265,8 @@ cm AS (SELECT ticker, idx, CASE WHEN COUNT(*) >= 5 THEN AVG(cv / sqrt(vx * vy))
 @query("f12_peer_correlation", f"""WITH {_CORR}
 SELECT pi.ticker, pi.date, ROUND(c, 5) AS supply_chain_correlation_60d FROM pi LEFT JOIN cm USING (ticker, idx)""")
 def f12_corr(t):
-    return rounded(mk.peer_correlation(spine_of(t.px), t.px, t.peers), 5)
+    px = t.stored("px")
+    return rounded(mk.peer_correlation(spine_of(px), px, t.peers), 5)
 
 
 @query("f12_peer_surprise", """
@@ -276,8 +278,9 @@ def f12_surprise(t):
 
 @query("f12_supply_chain")
 def f12(t):
-    base = mk.base_currency_prices(t.px, t.currencies, t.rates)
-    return rounded(mk.supply_chain_features(spine_of(t.px), t.px, t.layers, t.peers, t.er, base), 5)
+    px = t.stored("px")
+    base = mk.base_currency_prices(px, t.currencies, t.rates)
+    return rounded(mk.supply_chain_features(spine_of(px), px, t.layers, t.peers, t.stored("er"), base), 5)
 
 
 @query("f13_fx", """
@@ -286,7 +289,8 @@ cal AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTI
 m AS (SELECT a.ticker, a.date, a.u / NULLIF(b.u, 0) - 1 AS r FROM fi a JOIN fi b ON a.ticker = b.ticker AND b.idx = a.idx - 20)
 SELECT px.ticker, px.date, ROUND(r, 6) AS fx_adjusted_return_20d FROM px LEFT JOIN m ON m.ticker = px.ticker AND m.date = px.date""")
 def f13(t):
-    return rounded(mk.fx_features(spine_of(t.px), t.px, t.currencies, t.rates))
+    px = t.stored("px")
+    return rounded(mk.fx_features(spine_of(px), px, t.currencies, t.rates))
 
 
 _CYBER = """

@@ -17,37 +17,37 @@ def labelled(t):
     """Price features with the 20-row forward return and the group."""
     from tidespine.plans.price import labels_all, price_features
 
-    y = labels_all(t.px, {"20d": 20}).where("label_return_20d is not null").withColumnRenamed("label_return_20d", "label_return")
-    return price_features(t.px).join(y, KEYS).join(t.layers, "ticker")
+    px = t.stored("px")
+    y = labels_all(px, {"20d": 20}).where("label_return_20d is not null").withColumnRenamed("label_return_20d", "label_return")
+    return price_features(px).join(y, KEYS).join(t.layers, "ticker")
 
 
 def sources(t) -> ds.Sources:
     """Every source role on the test tables."""
     names = t.award_names
-    news = t.news
-    return ds.Sources(ohlcv=t.px, layers=t.layers, peers=t.peers, tables={
-        "fundamentals": _fundamentals(t), "insider_trades": t.tr, "congress_trades": t.cg, "scored_news": news, "short_interest": t.si,
-        "earnings": t.er, "edges": _edges(t), "deals": t.deals, "hubs": ["NATION_3", "NATION_7"],
-        "holdings": t.hold.withColumn("ticker", F.concat(lit("NATION_"), F.regexp_extract("ticker", r"(\d+)", 1))),
-        "shares": t.shares.withColumn("ticker", F.concat(lit("NATION_"), F.regexp_extract("ticker", r"(\d+)", 1))),
-        "zone_queue": t.zones, "capacity": t.capacity, "country_energy": t.energy, "geo_exposure": t.exposure, "power_tickers": ["NATION_1", "NATION_2"],
-        "currencies": t.currencies, "fx": t.rates, "threats": t.threats,
-        "options": t.options.withColumn("ticker", F.concat(lit("NATION_"), F.regexp_extract("ticker", r"(\d+)", 1))),
-        "awards": t.awards, "award_names": names, "queue": t.queue, "patent_apps": t.apps, "patent_grants": t.grants,
-        "assignee_names": names.withColumnRenamed("awardee_name", "assignee_name"), "postings": t.postings, "jolts": t.jolts,
-        "trade": t.trade, "observations": t.obs, "hyperscaler_q": t.hq})
+    px, deals = t.stored("px"), t.stored("deals")
+    entity = F.concat(lit("NATION_"), F.regexp_extract("ticker", r"(\d+)", 1))
+    return ds.Sources(ohlcv=px, layers=t.layers, peers=t.peers, tables={
+        "fundamentals": _fundamentals(t), "insider_trades": t.tr, "congress_trades": t.cg, "scored_news": t.news, "short_interest": t.si,
+        "earnings": t.stored("er"), "edges": _edges(deals), "deals": deals, "hubs": ["NATION_3", "NATION_7"],
+        "holdings": t.hold.withColumn("ticker", entity), "shares": t.shares.withColumn("ticker", entity),
+        "zone_queue": t.stored("zones"), "capacity": t.stored("capacity"), "country_energy": t.stored("energy"), "geo_exposure": t.exposure,
+        "power_tickers": ["NATION_1", "NATION_2"], "currencies": t.currencies, "fx": t.stored("rates"), "threats": t.threats,
+        "options": t.options.withColumn("ticker", entity), "awards": t.awards, "award_names": names, "queue": t.queue,
+        "patent_apps": t.apps, "patent_grants": t.grants, "assignee_names": names.withColumnRenamed("awardee_name", "assignee_name"),
+        "postings": t.postings, "jolts": t.stored("jolts"), "trade": t.stored("trade"), "observations": t.stored("obs"), "hyperscaler_q": t.stored("hq")})
 
 
 def _fundamentals(t):
     from tidespine.plans.filings import derive_ratios, valuation
 
-    return valuation(derive_ratios(t.fq), t.px)
+    return valuation(derive_ratios(t.stored("fq")), t.stored("px"))
 
 
-def _edges(t):
+def _edges(deals):
     from tidespine.operators.graph import decayed_edges
 
-    return decayed_edges(t.deals, "2001-12-31")
+    return decayed_edges(deals, "2001-12-31")
 
 
 def profile(df, cols):

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidespine.functions.dates import quarter_end, quarter_label
-from tidespine.session import spread
+from tidespine.session import cut_lineage, spread
 
 MONEY = "decimal(18,2)"
 
@@ -54,11 +54,21 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return spread(scan) if name in ("lineitem", "orders", "documents", "pages", "events") else scan
 
+    def stored(self, name: str) -> DataFrame:
+        """A view written once to the shared folder, like the stored source table it stands for.
+
+        Used where one query reads the view many times; plain views suit single reads.
+        """
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(getattr(self, name))
+        return self._stored[name]
+
     @cached_property
     def nat(self):
         return self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(

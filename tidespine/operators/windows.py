@@ -63,27 +63,50 @@ def rolling_correlation(returns: DataFrame, pairs: DataFrame, value: str, length
                         entity: str = "ticker", peer: str = "peer", idx: str = "idx") -> DataFrame:
     """(entity, peer, idx, corr, overlap): rolling Pearson correlation on the shared calendar.
 
-    Rows with either side missing are skipped; the frame counts calendar rows. Deviations from each
-    series' own mean keep the sums of squares well conditioned.
+    One row per calendar position the entity has; positions where either side is missing do not count.
+    The frame counts calendar rows. Its sums are put together from blocks of ``length`` positions: the
+    tail of the previous block plus the head of the current one. Each row is touched twice whatever the
+    length, nothing is subtracted, and so no digits are lost. Values are centred first for the same reason.
     """
-    stats = returns.groupBy(entity).agg(F.avg(value).alias("_mu"))
-    centred = returns.join(stats, entity).select(entity, idx, (F.col(value) - F.col("_mu")).alias("_x"))
-    left = centred.join(pairs, entity)
-    right = centred.select(F.col(entity).alias(peer), idx, F.col("_x").alias("_y"))
-    both = left.join(right, [peer, idx]).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    want = left.select(entity, peer, idx).distinct()
-    rows = want.join(both, [entity, peer, idx], "left")
-    w = Window.partitionBy(entity, peer).orderBy(idx).rangeBetween(-(length - 1), 0)
-    n = F.count("_x").over(w)
-    sums = {k: F.sum(e).over(w) for k, e in {
-        "x": F.col("_x"), "y": F.col("_y"), "xy": F.col("_x") * F.col("_y"),
-        "xx": F.col("_x") * F.col("_x"), "yy": F.col("_y") * F.col("_y")}.items()}
-    rows = rows.select(entity, peer, idx, n.alias("overlap"), *[v.alias(f"_{k}s") for k, v in sums.items()])
-    vx = F.col("overlap") * F.col("_xxs") - F.col("_xs") * F.col("_xs")
-    vy = F.col("overlap") * F.col("_yys") - F.col("_ys") * F.col("_ys")
-    cov = F.col("overlap") * F.col("_xys") - F.col("_xs") * F.col("_ys")
-    corr = F.when((F.col("overlap") >= min_overlap) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-    return rows.select(entity, peer, idx, "overlap", corr.alias("corr"))
+    stats = returns.groupBy(entity).agg(F.avg(value).alias("_mu"), F.min(idx).alias("_a"), F.max(idx).alias("_z"))
+    # Dense positions make the tail of the previous block a plain lag; added rows drop out at the end.
+    grid = stats.select(entity, "_mu", F.explode(F.sequence("_a", "_z")).alias(idx))
+    known = returns.select(entity, idx, F.col(value).alias("_v"), F.lit(True).alias("_given"))
+    dense = grid.join(known, [entity, idx], "left").select(entity, idx, "_given", (F.col("_v") - F.col("_mu")).alias("_x"))
+    right = dense.where("_x is not null").select(F.col(entity).alias(peer), idx, F.col("_x").alias("_y"))
+    rows = dense.join(pairs, entity).join(right, [peer, idx], "left")
+    x, y = F.when(F.col("_y").isNotNull(), F.col("_x")), F.when(F.col("_x").isNotNull(), F.col("_y"))
+    rows = rows.select(entity, peer, idx, "_given", x.alias("_x"), y.alias("_y"), F.floor(F.col(idx) / length).alias("_block"))
+    rows = rows.repartition(entity, peer)
+    x, y = F.col("_x"), F.col("_y")
+    parts = {"n": F.when(x.isNotNull(), 1.0), "x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}
+    block = Window.partitionBy(entity, peer, "_block")
+    zero = F.lit(0.0)
+
+    def sums(order):
+        w = block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.struct(*[F.coalesce(F.sum(e).over(w), zero).alias(k) for k, e in parts.items()])
+
+    rows = rows.select(entity, peer, idx, "_given", "_block", sums(F.col(idx)).alias("_head"), sums(F.col(idx).desc()).alias("_tail"))
+    along = Window.partitionBy(entity, peer).orderBy(idx)
+    back = F.lag("_tail", length - 1).over(along)
+    start = F.first(F.struct("_block", "_tail")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(entity, peer, idx, "_given", "_block", "_head", back.alias("_back"), start.alias("_start")).where("_given")
+    # A frame that fills exactly one block is its head alone; otherwise it begins in the block before,
+    # or with the first row of the series.
+    whole = F.col(idx) % length == length - 1
+    early = F.when(F.col("_start._block") < F.col("_block"), F.col("_start._tail"))
+    before = F.when(~whole, F.coalesce("_back", early))
+    rows = rows.withColumn("_before", before).select(
+        entity, peer, idx, *[(F.col(f"_head.{k}") + F.coalesce(F.col(f"_before.{k}"), zero)).alias(f"_{k}") for k in parts])
+    n = F.col("_n")
+    xx, yy = n * F.col("_xx"), n * F.col("_yy")
+    vx, vy = xx - F.col("_x") * F.col("_x"), yy - F.col("_y") * F.col("_y")
+    cov = n * F.col("_xy") - F.col("_x") * F.col("_y")
+    # A constant side leaves only rounding noise, far below its own sum of squares.
+    varies = (vx > xx * 1e-12) & (vy > yy * 1e-12)
+    return rows.select(entity, peer, idx, n.cast("long").alias("overlap"),
+                       F.when((n >= min_overlap) & varies, cov / F.sqrt(vx * vy)).alias("corr"))
 
 
 def rank_position(df: DataFrame, value: str, by: str, on: str, rows: int, min_rows: int, out: str,

@@ -70,8 +70,8 @@ def peer_correlation(spine: DataFrame, panel: DataFrame, pairs: DataFrame, lengt
                      min_peers: int = 5, price: str = "close_price", gaps: bool = True) -> DataFrame:
     """Mean rolling correlation with the fixed peers, at the latest calendar row on or before each day."""
     calendar = calendar_index(panel)
-    returns = daily_returns(panel, calendar, price, gaps).where(F.col("ret").isNotNull())
-    corr = rolling_correlation(returns.select("ticker", "idx", "ret"), pairs, "ret", length, min_overlap)
+    returns = cut_lineage(daily_returns(panel, calendar, price, gaps).where(F.col("ret").isNotNull()).select("ticker", "idx", "ret"))
+    corr = rolling_correlation(returns, pairs, "ret", length, min_overlap)
     mean = corr.where(F.col("corr").isNotNull()).groupBy("ticker", "idx").agg(
         F.when(F.count("corr") >= min_peers, F.avg("corr")).alias("supply_chain_correlation_60d"))
     days = asof_join(spine.select("date").distinct(), calendar.withColumnRenamed("date", "_c"), on="date",
@@ -118,16 +118,20 @@ def fx_features(spine: DataFrame, panel: DataFrame, currencies: DataFrame, rates
     return spine.select(*KEYS).join(moved.select(*KEYS, FX_COLS[0]), KEYS, "left")
 
 
+def _nearest_expiry(target: int, longest: int) -> Column:
+    ahead = F.date_diff("expiry", "date")
+    key = F.struct(F.abs(ahead - target).alias("d"), F.col("expiry").alias("e"))
+    return F.min(F.when((ahead > 0) & (ahead <= longest), key))["e"]
+
+
 def nearest_expiry(contracts: DataFrame, target: int, longest: int) -> DataFrame:
     """Per (ticker, date): the expiry nearest ``target`` days ahead, at most ``longest``; ties go earlier."""
-    ahead = F.date_diff("expiry", "date")
-    dates = contracts.select("ticker", "date", "expiry").distinct().where((ahead > 0) & (ahead <= longest))
-    return dates.groupBy(*KEYS).agg(F.min_by("expiry", F.struct(F.abs(ahead - target), F.col("expiry"))).alias("expiry"))
+    return contracts.groupBy(*KEYS).agg(_nearest_expiry(target, longest).alias("expiry")).where("expiry is not null")
 
 
-def _quotes(contracts: DataFrame) -> DataFrame:
+def _quotes(contracts: DataFrame, *flags: Column) -> DataFrame:
     """One row per (ticker, date, expiry, type, strike): summed sizes, contracts, smallest positive iv."""
-    return contracts.groupBy(*KEYS, "expiry", "option_type", "strike").agg(
+    return contracts.groupBy(*KEYS, "expiry", "option_type", "strike", *flags).agg(
         F.sum("oi").alias("oi"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("iv") > 0, F.col("iv"))).alias("iv"))
 
@@ -151,9 +155,14 @@ def option_features(contracts: DataFrame, prices: DataFrame) -> DataFrame:
 
     Contracts are reduced to (type, strike) cells first; the spot is the median near-term strike.
     """
-    cells = cut_lineage(_quotes(contracts))  # small next to the contracts, and read many times
-    near = cells.join(nearest_expiry(cells, 30, 45), [*KEYS, "expiry"], "left_semi")
-    mid = cells.join(nearest_expiry(cells, 90, 180), [*KEYS, "expiry"], "left_semi")
+    chosen = contracts.groupBy(*KEYS).agg(_nearest_expiry(30, 45).alias("_near"), _nearest_expiry(90, 180).alias("_mid"))
+    chosen = cut_lineage(chosen)  # one row per day, read twice
+    wanted = (F.col("expiry") == F.col("_near")) | (F.col("expiry") == F.col("_mid"))
+    cells = contracts.join(chosen, KEYS).where(wanted)
+    cells = cut_lineage(_quotes(cells, F.col("expiry").eqNullSafe(F.col("_near")).alias("_is_near"),
+                                F.col("expiry").eqNullSafe(F.col("_mid")).alias("_is_mid")))  # two expiries per day, read six times
+    near = cells.where("_is_near").drop("_is_near", "_is_mid")
+    mid = cells.where("_is_mid").drop("_is_near", "_is_mid")
     spots = exact_median(near, KEYS, "strike", "spot", weight="n").where("spot > 0")
     near = near.join(spots, KEYS)
     put, call, spot = F.col("option_type") == "put", F.col("option_type") == "call", F.col("spot")
@@ -171,7 +180,7 @@ def option_features(contracts: DataFrame, prices: DataFrame) -> DataFrame:
     mid_atm = mid.join(spots, KEYS).groupBy(*KEYS).agg(_nearest(spot).alias("_atm"))
     mid_iv = _iv_at_the_money(mid, mid_atm).withColumnRenamed("_iv", "_iv_mid")
     vol = realised_volatility(prices.select(*KEYS, "close_price"), "close_price", "ticker", "date", "_hv")
-    days = cells.select(*KEYS).distinct()
+    days = chosen.select(*KEYS)
     df = (days.join(picks, KEYS, "left").join(wings, KEYS, "left").join(near_iv, KEYS, "left").join(mid_iv, KEYS, "left"))
     df = asof_join(df, vol.select("ticker", F.col("date").alias("_pd"), "_hv"), on="date", right_on="_pd",
                    by=["ticker"], left_unique=True)
@@ -210,14 +219,25 @@ def partner_momentum(spine: DataFrame, prices: DataFrame, edges: DataFrame, days
 def partner_deals(spine: DataFrame, deals: DataFrame, edges: DataFrame, days: int = 90) -> DataFrame:
     """Deals of direct partners in [d-days, d] that do not involve the entity itself.
 
-    Deals shrink to (party_a, party_b, day) counts first; a deal both of whose parties are partners
-    counts once because the entity is made distinct per cell.
+    Inclusion and exclusion on (party_a, party_b, day) counts: every partner's deals, minus deals between
+    two partners (counted for both), minus the partners' deals with the entity. The three signed parts
+    add up per day; no deal is listed once per entity and made distinct.
     """
     cells = deals.groupBy("party_a", "party_b", "date").agg(F.count(F.lit(1)).alias("_n"))
     links = edges.select(F.col("ticker_from").alias("ticker"), F.col("ticker_to").alias("_party")).distinct()
-    touched = cells.withColumn("_party", F.explode(F.array_distinct(F.array("party_a", "party_b")))).join(links, "_party")
-    touched = touched.where((F.col("ticker") != F.col("party_a")) & (F.col("ticker") != F.col("party_b")))
-    facts = touched.select("ticker", "party_a", "party_b", "date", "_n").distinct()
+    links = links.where(F.col("ticker") != F.col("_party"))
+    by_party = cells.select(F.explode(F.array_distinct(F.array("party_a", "party_b"))).alias("_party"), "date", "_n")
+    by_party = by_party.groupBy("_party", "date").agg(F.sum("_n").alias("_n"))
+    each = links.join(by_party, "_party").select("ticker", "date", "_n")
+    pairs = cells.where(F.col("party_a") != F.col("party_b")).groupBy(
+        F.least("party_a", "party_b").alias("_party"), F.greatest("party_a", "party_b").alias("_other"), "date").agg(F.sum("_n").alias("_n"))
+    second = links.withColumnRenamed("_party", "_other")
+    shared = pairs.join(links, "_party").join(second, ["ticker", "_other"], "left_semi").select("ticker", "date", (-F.col("_n")).alias("_n"))
+    sides = F.explode(F.array(F.struct(F.col("_party").alias("ticker"), F.col("_other").alias("_party")),
+                              F.struct(F.col("_other").alias("ticker"), F.col("_party").alias("_party")))).alias("_e")
+    own = pairs.select(sides, "date", "_n").select("_e.*", "date", "_n").join(links, ["ticker", "_party"], "left_semi").select(
+        "ticker", "date", (-F.col("_n")).alias("_n"))
+    facts = each.unionByName(shared).unionByName(own)
     return span_agg(spine, facts, ["ticker"], "date", [Span("_d", "sum", F.col("_n"), -days)]).select(
         *KEYS, zero_fill(F.col("_d").cast("double")).alias("graph_deal_count_90d"))
 
