@@ -362,9 +362,11 @@ class Tables:
 
     @cached_property
     def peers(self):
-        """Correlation peers: every entity of another group (the fixed sample of 20 covers them all)."""
-        other = self.layers.select(F.col("ticker").alias("peer"), F.col("layer").alias("peer_layer"))
-        return self.layers.join(F.broadcast(other), F.col("layer") != F.col("peer_layer")).select("ticker", "peer")
+        """Correlation peers by the library's rule, from the small registry of entities and groups."""
+        from tidespine.plans.market import correlation_peers
+
+        registry = [(r["ticker"], r["layer"]) for r in self.layers.orderBy("ticker").collect()]
+        return self.spark.createDataFrame(correlation_peers(registry), "ticker string, peer string")
 
     @cached_property
     def preds(self):

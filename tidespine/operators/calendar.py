@@ -37,9 +37,9 @@ def fill_gaps(df: DataFrame, calendar: DataFrame, value: str, by: str = "ticker"
     calendar x entity product is formed.
     """
     rows = df.join(calendar, on, "inner").where(F.col(value).isNotNull())
-    last = calendar.agg(F.max(idx).alias("_last"))
+    last = calendar.agg(F.max(idx)).scalar()  # one number, as a scalar subquery
     nxt = F.lead(idx).over(Window.partitionBy(by).orderBy(idx))
-    rows = rows.withColumn("_next", nxt).join(F.broadcast(last))
+    rows = rows.withColumn("_next", nxt).withColumn("_last", last)
     stretched = rows.select(
         by, value, F.explode(F.sequence(F.col(idx), F.coalesce(F.col("_next") - 1, F.col("_last")))).alias(idx))
     return stretched.join(calendar, idx, "inner").select(by, on, idx, value)

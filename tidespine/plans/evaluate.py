@@ -144,10 +144,12 @@ def half_spread(panel: DataFrame, predicted: str = "predicted", actual: str = "a
 
 def ic_summary(ics: DataFrame, spreads: DataFrame) -> DataFrame:
     """One row: mean IC, its deviation and t statistic, hit rate, mean spread."""
-    a = ics.agg(F.count("ic").alias("months"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"))
+    on = ics.columns[0]
+    both = ics.join(spreads, on, "full").agg(
+        F.count("ic").alias("months"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"),
+        F.avg("hit").alias("hit_rate"), F.avg("spread").alias("mean_spread"))
     t = F.when(F.col("ic_std") > 0, F.col("mean_ic") / (F.col("ic_std") / F.sqrt("months"))).otherwise(0.0)
-    b = spreads.agg(F.avg("hit").alias("hit_rate"), F.avg("spread").alias("mean_spread"))
-    return a.withColumn("ic_tstat", t).join(F.broadcast(b))
+    return both.withColumn("ic_tstat", t)
 
 
 def date_split(df: DataFrame, cutoff: str, start: str, end: str, on: str = "date") -> DataFrame:

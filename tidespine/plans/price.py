@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidespine.functions.scalar import change, ratio
-from tidespine.operators.intervals import distinct_in_span, Span, span_agg
 from tidespine.operators.windows import trailing
 
 PRICE_COLS = ["return_1d", "return_5d", "return_20d", "sma_20_deviation", "volatility_20d", "volume_ratio"]
@@ -38,16 +37,14 @@ def daily_matrix(ohlcv: DataFrame, positions: DataFrame | None, news: DataFrame
     prices = price_features(ohlcv, day)
     d = F.lit(day).cast("date")
     before = (F.to_date("timestamp") >= F.date_sub(d, 7)) & (F.to_date("timestamp") < d)
-    if positions is None:
-        prices = prices.withColumn("taiwan_cargo_ratio", F.lit(1.0))
-    else:
-        cargo = positions.where(before & (F.col("corridor") == "taiwan_strait") & F.col("vessel_type").between(70, 89))
-        prices = prices.join(F.broadcast(cargo.agg((F.count_distinct("mmsi") / 7.0).alias("taiwan_cargo_ratio"))))
-    if news is None:
-        prices = prices.withColumn("sentiment_mean", F.lit(0.0))
-    else:
-        mean = news.where(before).agg(F.coalesce(F.avg("net_sentiment"), F.lit(0.0)).alias("sentiment_mean"))
-        prices = prices.join(F.broadcast(mean))
+    cargo = sentiment = None
+    if positions is not None:
+        seen = positions.where(before & (F.col("corridor") == "taiwan_strait") & F.col("vessel_type").between(70, 89))
+        cargo = seen.agg(F.count_distinct("mmsi") / 7.0).scalar()
+    if news is not None:
+        sentiment = news.where(before).agg(F.coalesce(F.avg("net_sentiment"), F.lit(0.0))).scalar()
+    prices = prices.withColumns({"taiwan_cargo_ratio": F.lit(1.0) if cargo is None else cargo,
+                                 "sentiment_mean": F.lit(0.0) if sentiment is None else sentiment})
     return prices.withColumn("feature_date", F.lit(day))
 
 
