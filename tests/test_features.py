@@ -154,3 +154,21 @@ def test_no_feature_sees_the_future(spark):
     for full, part in checks:
         keep = lambda df: sorted(map(tuple, df.where(F.col("date") <= F.lit(cut)).collect()), key=repr)
         assert keep(full) == keep(part)
+
+
+def test_priced_day_shortcut_equals_the_carried_path(spark):
+    from tidespine.plans import dataset as ds
+    from tidespine.plans.price import price_features
+
+    px = spark.createDataFrame([(t, day(3 * i + (t == "B")), 100.0 + i, 10) for i in range(12) for t in "AB"], "ticker string, date date, close_price double, volume long")
+    tables = {
+        "insider_trades": spark.createDataFrame([("A", day(i), f"p{i % 3}", "PS"[i % 2], 1e5 * i) for i in range(30)], "ticker string, transaction_date date, insider_name string, transaction_code string, value double"),
+        "congress_trades": spark.createDataFrame([("B", day(9), "sale", 5.0)], "ticker string, trade_date date, transaction_type string, amount_mid double"),
+        "short_interest": spark.createDataFrame([("A", day(i), i / 50) for i in range(30)], "ticker string, date date, short_vol_ratio double"),
+    }
+    src = ds.Sources(px, spark.createDataFrame([("A", "l"), ("B", "m")], "ticker string, layer string"), spark.createDataFrame([], "ticker string, peer string"), tables)
+    cols = [*ev.INSIDER_COLS, *ev.SHORT_COLS]
+    fast, slow = (sorted(map(tuple, ds.feature_matrix(price_features(px), src, flag).select("ticker", "date", *cols).collect()), key=repr) for flag in (True, False))
+    assert fast == slow
+    one = ds.inference_matrix(src, str(day(18))).select("ticker", "date", *cols).collect()
+    assert [tuple(one[0])] == [r for r in fast if r[1] == day(18)]

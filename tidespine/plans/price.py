@@ -7,19 +7,21 @@ from tidespine.functions.scalar import change, ratio
 from tidespine.operators.windows import trailing
 
 PRICE_COLS = ["return_1d", "return_5d", "return_20d", "sma_20_deviation", "volatility_20d", "volume_ratio"]
-HISTORY_DAYS = 400
 HORIZONS = {"5d": 5, "20d": 20, "65d": 65, "252d": 252, "756d": 756, "1260d": 1260, "2520d": 2520, "5040d": 5040}
 
 
-def price_features(ohlcv: DataFrame, filter_date: str | None = None) -> DataFrame:
+def price_features(ohlcv: DataFrame, filter_date: str | None = None, history_days: int | None = None) -> DataFrame:
     """Returns over 1/5/20 rows, deviation from and dispersion around the trailing mean, volume ratio.
 
     The trailing frame is the current row and the 20 before it (21 rows). A single-date request filters
-    after the windows; the scan is bounded explicitly because a date filter cannot move below a window.
+    after the windows; later rows are cut at the scan, because a date filter cannot move below a window.
+    ``history_days`` also cuts earlier rows; leave it open unless every entity trades often enough.
     """
     if filter_date:
         day = F.lit(filter_date).cast("date")
-        ohlcv = ohlcv.where((F.col("date") <= day) & (F.col("date") >= F.date_sub(day, HISTORY_DAYS)))
+        ohlcv = ohlcv.where(F.col("date") <= day)
+        if history_days is not None:
+            ohlcv = ohlcv.where(F.col("date") >= F.date_sub(day, history_days))
     rows = Window.partitionBy("ticker").orderBy("date")
     mean = trailing("ticker", "date", 20)
     avg_close = F.avg("close_price").over(mean)
