@@ -13,13 +13,10 @@ from tidespine.session import cut_lineage
 def write_by(df: DataFrame, path: str, *parts: str, mode: str = "overwrite") -> None:
     """One folder per partition value; existing partitions not in ``df`` stay untouched.
 
-    Rows are spread by the partition columns plus a hash of the rest, so a hot partition is written by
-    many tasks instead of one.
+    The rebalance hint lets the adaptive planner split a hot partition over several tasks and merge
+    small ones into few files.
     """
-    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = [c for c in df.columns if c not in parts]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(max(1, files // 4))) if spread else F.lit(0)
-    (df.repartition(files, *parts, salt).write.mode(mode)
+    (df.hint("rebalance", *parts).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
