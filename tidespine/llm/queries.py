@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidespine.llm import bpe, sharding, token_file
+from tidespine.llm import bpe, decontam, sharding, simhash, token_file, toxicity
+from tidespine.llm.common import stored
 from tidespine.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,26 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
     return got.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    n_hit = decontam.hit_words(F.col("spans"))
+    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+                      (n_hit > 0).alias("contaminated"))
+
+
+@query()
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "document-fingerprints")
+    return simhash.with_component(prints, "doc_id").select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    got = toxicity.score(docs, model, keep=["doc_id"])
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
