@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidespine.llm import bpe, decontam, sharding, simhash, token_file, toxicity
+from tidespine.llm import bpe, decontam, langid, licenses, secrets, sharding, simhash, token_file, topk, toxicity
 from tidespine.llm.common import stored
 from tidespine.session import scratch_path
 
@@ -32,6 +32,15 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query()
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs, learn=~held_out)
+    got = langid.identify(docs, model, keep=["doc_id"])
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +49,16 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licenses.scan(docs, licenses.inverse_frequencies(docs, licenses.vocabulary())).select("doc_id", "licences.*")
+    at, base = F.col("places.at"), F.array_sort(F.array_distinct("places.label"))
+    return got.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
+                      F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, F.col("found.label"))), ",").alias("labels"),
+                      F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("found.share"), F.lit(0.0))).alias("score"))
+
+
 @query()
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-file")
@@ -47,13 +66,35 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("""
+WITH v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), z -> z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5""")
+def op5_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 @query()
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
     return got.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[p : p + least(len(w), 10) - 1] AS win
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT r, p, n, w[p : p + n - 1] AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT r, p, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS k FROM m) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)""")
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
@@ -62,6 +103,15 @@ def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (n_hit > 0).alias("contaminated"))
 
 
+@query()
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    n = [F.size(F.filter("base", lambda s: s["kind"] == 0)), F.size(F.filter("base", lambda s: s["kind"] == 1)), F.size(F.filter("base", lambda s: s["kind"] == 2))]
+    return got.select("doc_id", *[c.cast("long").alias(f"n_{k}") for c, k in zip(n, secrets.KINDS)], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+                      secrets.written(F.col("spans")).alias("spans"))
+
+
 @query()
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "document-fingerprints")
