@@ -2,38 +2,14 @@ import random
 
 import numpy as np
 import pytest
-import regex
-import xxhash
 from pyspark.sql import functions as F
 
+from tests_llm_brute import brute_components, brute_fingerprint, brute_matches
 from tidespine.llm import components, decontam, simhash
 
 DOCS = "doc_id long, text string"
 
 
-def brute_fingerprint(text):
-    words = [w for w in regex.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
-    shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-
-
-def brute_components(values, radius=4):
-    parent = {v: v for v in values}
-
-    def top(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
-
-    values = list(parent)
-    for i, a in enumerate(values):
-        for b in values[:i]:
-            if (a ^ b).bit_count() <= radius:
-                parent[max(top(a), top(b))] = min(top(a), top(b))
-    return {v: top(v) for v in values}
-
-
 def texts(seed=3, n=160):
     rnd = random.Random(seed)
     words = ["".join(rnd.choice("aeiouéßnrst") for _ in range(rnd.randrange(1, 7))) for _ in range(200)]
@@ -136,24 +112,6 @@ def test_connected_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_matches(docs, items, window):
-    split = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
-    low = lambda t: split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    out = []
-    for doc, text in docs:
-        words, hit, found = low(text), set(), set()
-        for item, other in items:
-            w = low(other)
-            for at in range(max(min(1, len(w)), len(w) - window + 1)):
-                part = w[at:at + window]
-                for i in range(len(words) - len(part) + 1):
-                    if words[i:i + len(part)] == part:
-                        hit.update(range(i, i + len(part)))
-                        found |= {item} - {None}
-        out.append((doc, len(words), len(hit), sorted(found)))
-    return out
-
-
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_matches_against_brute_force(spark, block_bytes):
     rnd = random.Random(9)
