@@ -20,9 +20,8 @@ def corpus(spark, tmp_path_factory):
         text = line(rnd.randrange(30, 90))
         if i % 7 == 0:
             text += " vexqar vexqen " + line(3) + " vexqus"
-            labels.append((i, 1, 1))
-        elif i % 5 == 0:
-            labels.append((i, 1, 0))
+        if i % 3:  # labels are a fair sample: the class prior is their toxic share
+            labels.append((i, 1, int(i % 7 == 0)))
         if i % 50 == 3:
             text += " " + items[i % 8][1] + " " + line(5)
         if i % 60 == 4:
