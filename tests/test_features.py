@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from conftest import by_key, day
 from pyspark.sql import functions as F
@@ -105,13 +107,19 @@ def test_layer_momentum_excludes_self_and_needs_peers(spark):
     assert out["X"]["own_layer_momentum_20d"] is None and out["X"]["ecosystem_momentum_20d"] is None
 
 
-def test_correlation_peers_are_fixed_and_foreign():
-    layers = [(f"T{i:02d}", f"L{i % 3}") for i in range(60)]
-    pairs = mk.correlation_peers(layers)
+def test_correlation_peers_are_fixed_and_foreign(spark):
+    layers = [(f"T{i:02d}", f"L{i % 3}") for i in range(60)] + [("ALONE", "L9")]
+    df = spark.createDataFrame(layers, "ticker string, layer string")
+    pairs = sorted(map(tuple, mk.correlation_peers(df).collect()))
     group = dict(layers)
-    assert pairs == mk.correlation_peers(layers) and len(pairs) == 60 * 20
+    assert pairs == sorted(map(tuple, mk.correlation_peers(df.repartition(5)).collect())) and len(pairs) == len(set(pairs)) == 61 * 20
     assert all(group[a] != group[b] for a, b in pairs)
-
+    ring = sorted(group, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    for ticker in ("T00", "ALONE"):
+        at = ring.index(ticker)
+        others = [t for t in ring[at + 1:] + ring[:at] if group[t] != group[ticker]]
+        assert sorted(p for t, p in pairs if t == ticker) == sorted(others[:20])
+    assert mk.correlation_peers(df.where("layer = 'L1'")).count() == 0
 
 def test_fx_return_only_for_foreign(spark):
     px = spark.createDataFrame([(t, day(i), 100.0 + i) for t in ("E", "U") for i in range(30)], "ticker string, date date, close_price double")

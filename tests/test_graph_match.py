@@ -5,9 +5,9 @@ import re
 import pytest
 from conftest import by_key, day
 
-from tidespine.functions.text import AliasTagger, normalize_name
+from tidespine.functions.text import normalize_name
 from tidespine.operators.graph import decayed_edges, hops_to_set, proximity
-from tidespine.operators.match import contains_pairs, first_security, fuzzy_pairs, gram_contains_pairs, match_names
+from tidespine.operators.match import contains_pairs, first_security, fuzzy_pairs, match_names, tag_entities
 from tidespine.plans.market import partner_deals, partner_momentum, power_deals
 
 EDGES = "ticker_from string, ticker_to string, edge_weight double"
@@ -94,15 +94,18 @@ def test_normalize_name(spark):
     assert out == names
 
 
-def test_contains_paths_agree(spark):
-    rng = random.Random(1)
-    texts = [(i, "".join(rng.choice("ab \n") for _ in range(rng.randrange(60)))) for i in range(60)]
-    pats = {"".join(rng.choice("ab ") for _ in range(rng.randrange(2, 6))) for _ in range(20)}
-    t, p = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in pats], "p string")
-    want = {(i, x) for i, s in texts for x in pats if x in s}
-    for f in (contains_pairs, gram_contains_pairs):
-        got = [tuple(r) for r in f(t, p, "text", "p", ["id"]).collect()]
-        assert len(got) == len(want) and set(got) == want
+@pytest.mark.parametrize("size", [0, 3, 6000])
+def test_contains_pairs_for_any_dictionary(spark, size):
+    rng = random.Random(size)
+    texts = [(i, "".join(rng.choice("abcde \n") for _ in range(rng.randrange(80)))) for i in range(60)] + [(99, None)]
+    pats = set()
+    while len(pats) < size:
+        pats.add("".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 12))))
+    t = spark.createDataFrame(texts, "id int, text string")
+    p = spark.createDataFrame([(x,) for x in sorted(pats)] + [("",), (None,)], "p string")
+    got = [tuple(r) for r in contains_pairs(t, p, "text", "p", ["id"]).collect()]
+    want = {(i, x) for i, s in texts for x in pats if s and x in s}
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_first_security(spark):
@@ -117,7 +120,9 @@ def test_alias_tagger_matches_regex_search(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     from pyspark.sql import functions as F
 
-    out = by_key(df.withColumn("tags", AliasTagger(aliases).tags(F.col("text"))), "i")
+    rows = spark.createDataFrame([(k, n) for k, names in aliases.items() for n in names], "entity string, alias string")
+    assert {tuple(r["tags"]) for r in tag_entities(df, F.col("text"), rows.limit(0)).collect()} == {()}
+    out = by_key(tag_entities(df, F.col("text"), rows), "i")
     for i, s in enumerate(texts):
         want = sorted(k for k, names in aliases.items() if re.search("|".join(rf"\b{re.escape(n)}\b" for n in names), s, re.IGNORECASE))
         assert out[i]["tags"] == want

@@ -255,7 +255,7 @@ span AS (SELECT ticker, MIN(idx) AS a FROM pi GROUP BY 1),
 grid AS (SELECT s.ticker, c.idx FROM span s JOIN cal c ON c.idx >= s.a),
 ff AS (SELECT g.ticker, g.idx, close_price FROM grid g ASOF JOIN pi ON g.ticker = pi.ticker AND g.idx >= pi.idx),
 ret AS (SELECT ticker, idx, close_price / NULLIF(LAG(close_price) OVER (PARTITION BY ticker ORDER BY idx), 0) - 1 AS r FROM ff),
-pr AS (SELECT a.ticker, b.ticker AS peer FROM nat a JOIN nat b ON a.layer <> b.layer),
+pr AS (SELECT ticker, peer FROM peers),
 xy AS (SELECT pr.ticker, pr.peer, x.idx, x.r AS x, y.r AS y FROM pr JOIN ret x ON x.ticker = pr.ticker JOIN ret y ON y.ticker = pr.peer AND y.idx = x.idx WHERE x.r IS NOT NULL AND y.r IS NOT NULL),
 cw AS (SELECT ticker, peer, idx, COUNT(*) OVER w AS n, covar_pop(x, y) OVER w AS cv, var_pop(x) OVER w AS vx, var_pop(y) OVER w AS vy FROM xy
   WINDOW w AS (PARTITION BY ticker, peer ORDER BY idx RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)),

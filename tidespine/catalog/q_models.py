@@ -260,25 +260,31 @@ def m07(t):
     return evl.fold_metrics(oof)
 
 
-@query("m08_group_training")
-def m08(t):
+def trained_groups(t):
+    """Two groups trained first, then the run resumed: (report, folder of the models)."""
     from tidespine.session import scratch_path
 
-    df = labelled(t).select(*KEYS, "layer", *PANEL_FEATURES, "label_return").cache()
+    root, df = scratch_path(t.spark, "models"), labelled(t).select(*KEYS, "layer", *PANEL_FEATURES, "label_return")
     pairs = t.layers.select("layer", lit("20d").alias("horizon")).distinct()
-    done = pairs.where("layer <> 'ASIA' and layer <> 'EUROPE'")
-    report = ml.train_groups(lambda layer, _h: (df.where(c("layer") == layer), PANEL_FEATURES), pairs, done, scratch_path(t.spark, "models"), SMALL)
-    return t.spark.createDataFrame(report, "layer string, horizon string, n long")
+    rows = lambda layer, _h: (df.where(c("layer") == layer), PANEL_FEATURES)
+    first = ml.train_groups(rows, pairs.where("layer in ('ASIA', 'EUROPE')"), pairs.limit(0), root, SMALL)
+    done = ml.finished_pairs(t.spark, root)
+    return first + ml.train_groups(rows, pairs, done, root, SMALL), root
+
+
+@query("m08_group_training", """SELECT layer, '20d' AS horizon, COUNT(*) AS n FROM (SELECT pf.ticker, pf.date, LEAD(close_price, 20) OVER (PARTITION BY px.ticker ORDER BY px.date) / NULLIF(close_price, 0) - 1 AS y
+ FROM px JOIN pf ON pf.ticker = px.ticker AND pf.date = px.date) JOIN nat USING (ticker) WHERE y IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 100""")
+def m08(t):
+    return t.spark.createDataFrame(trained_groups(t)[0], "layer string, horizon string, n long")
 
 
 @query("m09_predict_and_rank")
 def m09(t):
     from tidespine.plans.price import price_features
 
-    df = labelled(t).select(*KEYS, "layer", *PANEL_FEATURES, "label_return")
-    model = ml.train_in_sample(df, PANEL_FEATURES, "label_return", SMALL)
-    day = price_features(t.px, "2001-05-15")
-    return rounded(ml.predict_groups(day, t.layers, {"ASIA": model, "EUROPE": model, "AMERICA": model}, "20d", "2001-05-15"))
+    report, root = trained_groups(t)
+    models = {layer: ml.Ensemble.load(t.spark, f"{root}/layer={layer}/horizon={horizon}") for layer, horizon, _ in report}
+    return rounded(ml.predict_groups(price_features(t.px, "2001-05-15"), t.layers, models, "20d", "2001-05-15"))
 
 
 @query("m10_backtest")

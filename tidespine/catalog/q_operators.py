@@ -11,7 +11,7 @@ from tidespine.operators.asof import asof_change, asof_join
 from tidespine.operators.calendar import calendar_change, calendar_index, calendar_lag, fill_gaps, with_calendar
 from tidespine.operators.graph import decayed_edges, hops_to_set, neighbour_mean, proximity
 from tidespine.operators.intervals import Span, distinct_in_span, interval_rows, span_agg
-from tidespine.operators.match import contains_pairs, first_security, fuzzy_pairs, gram_contains_pairs, match_names
+from tidespine.operators.match import contains_pairs, first_security, fuzzy_pairs, match_names, tag_entities
 from tidespine.operators.windows import (full_mean, full_sum, rank_position, realised_volatility, rolling_correlation,
                                          span_return, streak, trailing)
 from tidespine.plans import deals as dl, filings as fl, market as mk
@@ -172,8 +172,9 @@ def _tag_sql() -> str:
 
 @query("p15_entity_tags", _tag_sql())
 def p15(t):
-    tagger = tx.AliasTagger(ALIASES)
-    return t.raw("documents").select("doc_id", F.array_join(tagger.tags(F.col("text")), ",").alias("tags"))
+    aliases = t.spark.createDataFrame([(k, name) for k, names in ALIASES.items() for name in names], "entity string, alias string")
+    tagged = tag_entities(t.raw("documents").select("doc_id", "text"), F.col("text"), aliases)
+    return tagged.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 def _classify_sql(keywords, default, expr):
@@ -413,11 +414,10 @@ def j17_words(t):
     return contains_pairs(docs, p, "low", "word", ["doc_id"])
 
 
-@query("j17_contains_grams", """SELECT doc_id, p AS pattern FROM (SELECT DISTINCT substr(text, 1, 24) AS p FROM benchmark), documents WHERE contains(text, p)""")
+@query("j17_contains_grams", """SELECT doc_id, p AS pattern FROM (SELECT DISTINCT text AS p FROM benchmark), documents WHERE contains(documents.text, p)""")
 def j17_grams(t):
     docs = t.raw("documents").select("doc_id", "text")
-    p = t.raw("benchmark").select(F.substring("text", 1, 24).alias("pattern")).distinct()
-    return gram_contains_pairs(docs, p, "text", "pattern", ["doc_id"])
+    return contains_pairs(docs, t.raw("benchmark").select(F.col("text").alias("pattern")), "text", "pattern", ["doc_id"])
 
 
 _KW = _classify_sql(tx.DEAL_KEYWORDS, "customer_contract", "text")
@@ -673,13 +673,11 @@ def w14(t):
 
 
 @query("w15_rolling_correlation", """WITH cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM si)), x AS (SELECT ticker, idx, short_vol_ratio AS v FROM si JOIN cal USING (date)),
- xy AS (SELECT a.ticker, b.ticker AS peer, a.idx, a.v AS x, b.v AS y FROM x a JOIN nat na ON na.ticker = a.ticker JOIN nat nb ON nb.layer = na.layer AND nb.ticker <> na.ticker LEFT JOIN x b ON b.ticker = nb.ticker AND b.idx = a.idx),
- p AS (SELECT a.ticker, nb.ticker AS peer, a.idx, a.v AS x, b.v AS y FROM x a JOIN nat na ON na.ticker = a.ticker JOIN nat nb ON nb.layer = na.layer AND nb.ticker <> na.ticker LEFT JOIN x b ON b.ticker = nb.ticker AND b.idx = a.idx),
+ p AS (SELECT a.ticker, pr.peer, a.idx, a.v AS x, b.v AS y FROM x a JOIN peers pr ON pr.ticker = a.ticker LEFT JOIN x b ON b.ticker = pr.peer AND b.idx = a.idx),
  w AS (SELECT ticker, peer, idx, COUNT(y) OVER r AS n, covar_pop(CASE WHEN y IS NOT NULL THEN x END, y) OVER r AS cv, var_pop(CASE WHEN y IS NOT NULL THEN x END) OVER r AS vx, var_pop(y) OVER r AS vy FROM p WINDOW r AS (PARTITION BY ticker, peer ORDER BY idx RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))
  SELECT ticker, peer, CAST(idx AS INTEGER) AS idx, n AS overlap, ROUND(CASE WHEN n >= 30 AND vx > 1e-18 AND vy > 1e-18 THEN cv / sqrt(vx * vy) END, 5) AS corr FROM w""")
 def w15(t):
-    other = t.layers.select(F.col("ticker").alias("peer"), "layer")
-    pairs = t.layers.join(F.broadcast(other), "layer").where("ticker <> peer").select("ticker", "peer")
+    pairs = t.peers
     x = with_calendar(t.si).select("ticker", "idx", "short_vol_ratio")
     return rounded(rolling_correlation(x, pairs, "short_vol_ratio", 60, 30), 5)
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tidespine.catalog.base import query
 from tidespine.catalog.views import case_col
 from tidespine.functions.scalar import rounded
-from tidespine.functions.text import AliasTagger
 from tidespine.plans import filings as pf
 from tidespine.schemas import empty
 from tidespine.session import scratch_path
@@ -162,9 +161,7 @@ def s11(t):
     body = F.concat(lit("Filing\n"), first, lit("\n"), first, lit("\n\n\n\n"), wrapped, lit("\nno trade (N"), letters, lit(")"))
     docs = o.select(c("o_orderkey").alias("doc_id"), c("c_name").alias("politician_name"), body.alias("text"))
     watch = o.where("c_nationkey < 20").select(F.explode(F.array(F.concat(lit("N"), letters), F.concat(lit("M"), letters))).alias("ticker")).distinct()
-    # The closing line repeats the first ticker within three lines of the wrapped trade, so it yields one more sale.
-    out = sf.disclosure_trades(docs, watch)
-    return out.where(~((F.startswith("ticker", lit("N"))) & (c("amount_high") == 200.0)))
+    return sf.disclosure_trades(docs, watch)
 
 
 @query("s12_fact_json", """SELECT ticker, day AS "start", day + 90 AS "end", o_totalprice AS val, day + 120 AS filed, CASE o_orderstatus WHEN 'F' THEN '10-K' ELSE '10-Q' END AS form, 'a' || o_orderkey::VARCHAR AS accn
@@ -300,10 +297,10 @@ _EDGE = r"[^\p{L}\p{N}_]"
 @query("s25_news_rows", rf"""SELECT doc_id::VARCHAR AS url, lang AS title, trim(left(lang || ' ' || text, 500)) AS content_snippet, CAST(CAST(n_chars AS FLOAT) AS FLOAT) AS tone_score,
  array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(lower(lang || ' ' || text), '(^|{_EDGE})(en|the)($|{_EDGE})') THEN 'ENG' END, CASE WHEN regexp_matches(lower(lang || ' ' || text), '(^|{_EDGE})(fr|le)($|{_EDGE})') THEN 'FRA' END], lambda x: x IS NOT NULL)), ',') AS tags FROM documents""")
 def s25(t):
-    tagger = AliasTagger({"ENG": ["en", "the"], "FRA": ["fr", "le"]})
+    aliases = t.spark.createDataFrame([("ENG", "en"), ("ENG", "the"), ("FRA", "fr"), ("FRA", "le")], "entity string, alias string")
     arts = t.raw("documents").select(lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"), text("doc_id").alias("url"), c("lang").alias("title"),
                                      c("text").alias("excerpt"), F.concat(text("n_chars"), lit(",1,2")).alias("tone"))
-    out = feeds.news_rows(arts, tagger, "gdelt")
+    out = feeds.news_rows(arts, aliases, "gdelt")
     return out.select("url", "title", "content_snippet", "tone_score", F.array_join("mentioned_tickers", ",").alias("tags"))
 
 

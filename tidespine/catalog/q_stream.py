@@ -69,42 +69,72 @@ def x04(t):
     return drain(t, sp.enrich_types(stream(t), vessels), "typed").groupBy("vessel_type").agg(F.count(lit(1)).alias("n"))
 
 
-@query("x05_cargo_counts", f"""WITH {_MSG}, p2 AS (SELECT timestamp::DATE AS d, mmsi, corridor FROM ps WHERE mmsi::BIGINT % 120 BETWEEN 70 AND 89),
- s AS (SELECT DISTINCT d - k AS start_day, corridor, mmsi FROM p2, (SELECT UNNEST(range(7))::INTEGER AS k))
- SELECT start_day AS window_start, start_day + 7 AS window_end, corridor, COUNT(DISTINCT mmsi) AS vessels FROM s GROUP BY 1, 2, 3""")
-def x05(t):
-    vessels = t.raw("events").select(c("user_id").cast("string").alias("mmsi"), (c("user_id") % 120).cast("int").alias("vessel_type")).distinct()
-    typed = sp.enrich_types(sp.parse_positions(messages(t)), vessels)
-    out = sp.cargo_counts(typed)
-    return out.select(F.to_date("window_start").alias("window_start"), F.to_date("window_end").alias("window_end"), "corridor", "vessels")
+_COUNTS = f"""WITH {_MSG}, p2 AS (SELECT timestamp::DATE AS d, mmsi, corridor FROM ps WHERE mmsi::BIGINT % 120 BETWEEN 70 AND 89),
+ s AS (SELECT DISTINCT d - k AS start_day, corridor, mmsi FROM p2, (SELECT UNNEST(range(7))::INTEGER AS k)),
+ f AS (SELECT start_day AS window_start, start_day + 7 AS window_end, corridor, COUNT(DISTINCT mmsi) AS vessels FROM s GROUP BY 1, 2, 3)
+ SELECT * FROM f"""
 
 
-@query("x05_cargo_counts_stream")
-def x05_stream(t):
+def typed_batch(t):
     vessels = t.raw("events").select(c("user_id").cast("string").alias("mmsi"), (c("user_id") % 120).cast("int").alias("vessel_type")).distinct()
+    return vessels, sp.cargo_counts(sp.enrich_types(sp.parse_positions(messages(t)), vessels))
+
+
+def as_days(df):
+    return df.withColumns({w: F.to_date(w) for w in ("window_start", "window_end")})
+
+
+@query("x05_cargo_counts", _COUNTS)
+def x05(t):
+    return as_days(typed_batch(t)[1])
+
+
+def streamed_counts(t):
+    vessels, _ = typed_batch(t)
     path = scratch_path(t.spark, "counts")
     sp.write_counts(sp.cargo_counts(sp.enrich_types(stream(t), vessels)), path, scratch_path(t.spark, "counts-state")).awaitTermination()
     return t.spark.read.parquet(path)
 
 
+@query("x05_cargo_counts_stream", _COUNTS + " WHERE window_end <= (SELECT MAX(timestamp) - INTERVAL 1 DAY FROM ps WHERE mmsi::BIGINT % 120 BETWEEN 70 AND 89)")
+def x05_stream(t):
+    return as_days(streamed_counts(t))
+
+
+@query("x05_cargo_counts_drained", _COUNTS)
+def x05_drained(t):
+    return as_days(sp.with_open_windows(streamed_counts(t), typed_batch(t)[1], ["window_start", "corridor"]))
+
+
 @query("x06_drop_redelivered", f"WITH {_MSG} SELECT COUNT(*) AS n, COUNT(DISTINCT mmsi) AS vessels FROM (SELECT DISTINCT mmsi, timestamp FROM ps)")
 def x06(t):
     once = drain(t, sp.drop_redelivered(stream(t, copies=2), "60 days"), "once")
     return once.agg(F.count(lit(1)).alias("n"), F.count_distinct("mmsi").alias("vessels"))
 
 
-@query("x07_news_sentiment", """SELECT start_day AS window_start, start_day + 7 AS window_end, ticker, ROUND(AVG(net_sentiment), 6) AS sentiment_mean, ROUND(STDDEV_SAMP(net_sentiment), 6) AS sentiment_std, COUNT(net_sentiment) AS article_count
- FROM (SELECT day - k AS start_day, ticker, net_sentiment FROM tagged, (SELECT UNNEST(range(7))::INTEGER AS k)) GROUP BY 1, 2, 3""")
+_SENTIMENT = """SELECT start_day AS window_start, start_day + 7 AS window_end, ticker, ROUND(AVG(net_sentiment), 6) AS sentiment_mean, ROUND(STDDEV_SAMP(net_sentiment), 6) AS sentiment_std, COUNT(net_sentiment) AS article_count
+ FROM (SELECT day - k AS start_day, ticker, net_sentiment FROM tagged, (SELECT UNNEST(range(7))::INTEGER AS k)) GROUP BY 1, 2, 3"""
+
+
+@query("x07_news_sentiment", _SENTIMENT)
 def x07(t):
-    out = sn.rolling_sentiment(t.news)
-    return rounded(out.withColumns({w: F.to_date(w) for w in ("window_start", "window_end")}))
+    return rounded(as_days(sn.rolling_sentiment(t.news)))
 
 
-@query("x07_news_sentiment_stream")
-def x07_stream(t):
+def streamed_sentiment(t):
     path = scratch_path(t.spark, "articles")
     t.news.select("timestamp", "mentioned_tickers", "net_sentiment").repartitionByRange(4, "timestamp").write.parquet(path)
     rows = t.spark.readStream.schema("timestamp timestamp, mentioned_tickers array<string>, net_sentiment double").parquet(path)
     out = scratch_path(t.spark, "sentiment")
     sp.write_counts(sn.rolling_sentiment(rows), out, scratch_path(t.spark, "sentiment-state")).awaitTermination()
-    return rounded(t.spark.read.parquet(out))
+    return t.spark.read.parquet(out)
+
+
+@query("x07_news_sentiment_stream", f"SELECT * FROM ({_SENTIMENT}) WHERE window_end <= (SELECT MAX(day) - INTERVAL 1 DAY FROM tagged)")
+def x07_stream(t):
+    return rounded(as_days(streamed_sentiment(t)))
+
+
+@query("x07_news_sentiment_drained", _SENTIMENT)
+def x07_drained(t):
+    return rounded(as_days(sp.with_open_windows(streamed_sentiment(t), sn.rolling_sentiment(t.news), ["window_start", "ticker"])))

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidespine.functions.dates import quarter_end, quarter_label
-from tidespine.session import cut_lineage, spread
+from tidespine.session import cut_lineage
 
 MONEY = "decimal(18,2)"
 
@@ -57,8 +57,7 @@ class Tables:
         self._stored: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return spread(scan) if name in ("lineitem", "orders", "documents", "pages", "events") else scan
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def stored(self, name: str) -> DataFrame:
         """A view written once to the shared folder, like the stored source table it stands for.
@@ -362,11 +361,10 @@ class Tables:
 
     @cached_property
     def peers(self):
-        """Correlation peers by the library's rule, from the small registry of entities and groups."""
+        """Correlation peers by the library's rule, from the registry of entities and groups."""
         from tidespine.plans.market import correlation_peers
 
-        registry = [(r["ticker"], r["layer"]) for r in self.layers.orderBy("ticker").collect()]
-        return self.spark.createDataFrame(correlation_peers(registry), "ticker string, peer string")
+        return correlation_peers(self.layers)
 
     @cached_property
     def preds(self):
@@ -506,6 +504,11 @@ SQL_VIEWS: dict[str, str] = {
               || ' with Nation_' || (n_chars % 25)::VARCHAR || ' Corp covers ' || (n_chars % 997)::VARCHAR
               || CASE WHEN doc_id % 3 = 0 THEN ' gigawatt' ELSE ' MW' END || '! Terms follow.' AS text FROM documents""",
     "companies": "SELECT lower(ticker) AS company_name, ticker, n_nationkey AS ord FROM nat",
+    "peers": """SELECT a.ticker, b.ticker AS peer FROM (SELECT s.*, UNNEST(range(least(20, n)::BIGINT)) AS i FROM (
+              SELECT ticker, layer, g, SUM((layer <> g)::INTEGER) OVER (PARTITION BY g ORDER BY md5(ticker)) AS k, SUM((layer <> g)::INTEGER) OVER (PARTITION BY g) AS n
+              FROM nat, (SELECT DISTINCT layer AS g FROM nat)) s WHERE layer = g AND n > 0) a
+              JOIN (SELECT ticker, layer, g, SUM((layer <> g)::INTEGER) OVER (PARTITION BY g ORDER BY md5(ticker)) AS k FROM nat, (SELECT DISTINCT layer AS g FROM nat)) b
+              ON b.layer <> b.g AND b.g = a.g AND b.k = (a.k + i) % a.n + 1""",
     "epx": f"""SELECT 'NATION_' || (user_id % 25)::VARCHAR AS ticker, day AS date,
               CAST(SUM(CAST(value AS {_D})) AS DOUBLE) / COUNT(*) AS close_price, COUNT(*) AS volume FROM ev GROUP BY 1, 2""",
     "pf": """SELECT ticker, date, close_price / NULLIF(LAG(close_price, 1) OVER w, 0) - 1 AS return_1d,

@@ -48,6 +48,10 @@ CORRIDORS: dict[str, tuple[float, float, float, float]] = {
 OVER_A_MILLION = 1_500_000.0
 
 
+# Units of contracted capacity.
+GIGAWATT, MEGAWATT = "GW|gigawatt", "MW|megawatt"
+
+
 def classify(text: str | Column, keywords: Mapping[str, Sequence[str]], default: str) -> Column:
     """First class, in mapping order, with a keyword inside the text (case-insensitive)."""
     low = F.lower(col(text))
@@ -70,7 +74,7 @@ def deal_mw(text: str | Column) -> Column:
     def figure(unit):
         raw = F.regexp_extract(col(text), rf"(?i)(\d[\d,]*(?:\.\d+)?)\s*-?\s*(?:{unit})", 1)
         return F.nullif(F.regexp_replace(raw, ",", ""), F.lit("")).try_cast("double")
-    return F.coalesce(figure("GW|gigawatt") * 1000.0, figure("MW|megawatt"))
+    return F.coalesce(figure(GIGAWATT) * 1000.0, figure(MEGAWATT))
 
 
 def strip_markup(html: str | Column) -> Column:
@@ -126,47 +130,3 @@ def security_id(static_id: str | Column, isin: str | Column) -> Column:
     """Nine-character id: the listed one, else characters 3-11 of a 12-character US code."""
     code = col(isin)
     return F.coalesce(col(static_id), F.when((F.length(code) == 12) & F.startswith(code, F.lit("US")), F.substring(code, 3, 9)))
-
-
-class AliasTagger:
-    """Entity tags by case-insensitive whole-word alias match, in one regex pass per text.
-
-    A zero-width lookahead finds the longest alias at every start position; shorter aliases that start
-    there are prefixes of it, and whether they end on a word boundary is known from the alias itself.
-    So each hit maps to a fixed list of entities, and no alias is missed by overlaps. The dictionary is
-    a literal in the plan, so its size is checked; use ``operators.match.contains_pairs`` beyond it.
-    """
-
-    LIMIT = 5000
-
-    def __init__(self, aliases: Mapping[str, Sequence[str]]):
-        flat: dict[str, set[str]] = {}
-        for entity, names in aliases.items():
-            for n in names:
-                flat.setdefault(n.lower(), set()).add(entity)
-        if len(flat) > self.LIMIT:
-            raise ValueError("dictionary too large for a literal; use contains_pairs")
-        self.names = sorted(flat, key=lambda n: (-len(n), n))
-        self.owners = {
-            long: sorted({e for n, es in flat.items() if long.startswith(n) and self._ends_word(long, n) for e in es})
-            for long in self.names}
-
-    @staticmethod
-    def _ends_word(long: str, short: str) -> bool:
-        if len(short) == len(long):
-            return True
-        word = lambda ch: ch.isalnum() or ch == "_"
-        return word(short[-1]) != word(long[len(short)])
-
-    def tags(self, text: Column) -> Column:
-        """Sorted distinct entities mentioned in ``text``."""
-        names = "|".join(re.escape(n) for n in self.names)
-        hits = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)(?=\b({names})\b)"), 1)
-        owners = F.create_map(*[x for n in self.names for x in
-                                (F.lit(n), F.array(*[F.lit(e) for e in self.owners[n]]))])
-        found = F.flatten(F.transform(F.array_distinct(hits), lambda h: F.try_element_at(owners, h)))
-        return F.array_sort(F.array_distinct(found))
-
-
-def tag_article(title: str, content: str, tagger: AliasTagger) -> Column:
-    return tagger.tags(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))

@@ -93,36 +93,45 @@ def match_names(raw_names: DataFrame, targets: DataFrame, cutoff: float = CUTOFF
     return last.join(owner, "name").select("raw", "ticker")
 
 
-LITERAL_PATTERNS = 2000
+GRAM_LENGTHS = (8, 4, 2, 1)
 
 
-def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
-    """(keys, pattern) for every pattern that occurs anywhere in the text.
+def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str], whole_words: bool = False) -> DataFrame:
+    """(keys, pattern) for every pattern that occurs anywhere in the text, for dictionaries of any size.
 
-    Up to LITERAL_PATTERNS patterns (checked) are tested inside each row: no join, no shuffle, and the
-    text never leaves its task. A larger dictionary takes the gram join below.
+    A pattern is looked up by its head: its first 8, 4, 2 or 1 characters, as many as it has, so a short pattern does not shorten the heads of
+    long ones. The distinct grams of a text meet the heads in an equi-join and only keys and patterns go on; the text is
+    joined once to its candidates and they are verified inside the row. ``whole_words`` asks for word boundaries at both ends. Empty and null
+    patterns match nothing. The only values on the driver are the head lengths in use, at most four.
     """
-    patterns = patterns.select(pattern).where(F.length(pattern) > 0).distinct()
-    few = [r[0] for r in patterns.limit(LITERAL_PATTERNS + 1).collect()]
-    if len(few) > LITERAL_PATTERNS:
-        return gram_contains_pairs(texts, patterns, text, pattern, keys)
-    listed = F.array(*[F.lit(p) for p in sorted(few)]).cast("array<string>")
-    return texts.select(*keys, F.explode(F.filter(listed, lambda p: F.contains(F.col(text), p))).alias(pattern))
-
-
-def gram_contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
-    """The same pairs by an equi-join on fixed-length grams, for dictionaries of any size.
-
-    Each pattern is looked up by its first q characters among the distinct q-grams of the text, where q
-    is the shortest pattern length (one value to the driver); hits are verified on the whole text.
-    """
-    patterns = patterns.select(pattern).where(F.length(pattern) > 0).distinct()
-    q = min(int(patterns.agg(F.min(F.length(pattern))).first()[0]), 8)
+    size, head = F.length(pattern), F.lit(None).cast("int")
+    for q in reversed(GRAM_LENGTHS):
+        head = F.when(size >= q, F.lit(q)).otherwise(head)
+    heads = patterns.select(pattern).where(size > 0).distinct().withColumn("_q", head)
+    in_use = sorted(r["_q"] for r in heads.select("_q").distinct().collect())
     # A zero-width lookahead captures the q characters at every position in one linear pass.
-    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), 1))
-    heads = patterns.withColumn("_g", F.substring(pattern, 1, q))
-    hits = texts.select(*keys, F.explode(grams).alias("_g")).join(heads, "_g").select(*keys, pattern)
-    return hits.join(texts.select(*keys, text), keys).where(F.contains(F.col(text), F.col(pattern))).select(*keys, pattern)
+    grams = [F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), 1)) for q in in_use]
+    rows = texts.select(*keys, F.explode(F.concat(F.array().cast("array<string>"), *grams)).alias("_g"))
+    hits = rows.join(heads.withColumn("_g", F.substring(F.col(pattern), F.lit(1), F.col("_q"))), "_g")
+    hits = hits.groupBy(*keys).agg(F.collect_set(pattern).alias("_p"))  # at most the patterns whose heads a text has
+    found = F.filter("_p", lambda p: F.contains(F.col(text), p))
+    if whole_words:
+        quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+        found = F.filter(found, lambda p: F.regexp_like(F.col(text), quoted(p)))
+    return texts.select(*keys, text).join(hits, keys).select(*keys, F.explode(found).alias(pattern))
+
+
+def tag_entities(df: DataFrame, text: Column, aliases: DataFrame, out: str = "tags") -> DataFrame:
+    """``df`` with ``out``: the sorted distinct entities whose aliases the text names, as whole words in any case.
+
+    ``aliases`` is (entity, alias), of any size. Tags belong to a text, so they are found by its digest and copies
+    share them; texts without a hit, and null, get an empty array.
+    """
+    keyed = df.withColumn("_low", F.lower(text)).withColumn("_key", F.sha2("_low", 256))
+    names = aliases.select("entity", F.lower("alias").alias("_alias")).distinct()
+    hits = contains_pairs(keyed.where("_key is not null"), names, "_low", "_alias", ["_key"], whole_words=True)
+    tags = hits.join(names, "_alias").groupBy("_key").agg(F.array_sort(F.collect_set("entity")).alias(out))
+    return keyed.drop("_low", out).join(tags, "_key", "left").drop("_key").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def first_security(holdings: DataFrame, targets: DataFrame) -> DataFrame:

@@ -25,15 +25,15 @@ ENERGY_COLS = ["us_power_moat_score", "geo_weighted_tailwind_score"]
 
 # Fixed values.
 THREAT_METRICS = ["cve_critical", "cve_high", "cisa_kev", "otx_pulse"]
-AI_INDUSTRY_CODES = ["334413", "518210", "541511", "541512", "541519"]
-DATA_CENTER_STATES = ["AZ", "GA", "NV", "OH", "OR", "TX", "VA", "WA"]
+AI_INDUSTRY_CODES = ["541511", "541512", "541519", "518210", "334413"]
+DATA_CENTER_STATES = ["VA", "TX", "OH", "AZ", "NV", "OR", "GA", "WA"]
 AI_PATENT_GROUP = "G06N"
 OPENINGS_SERIES = "JTS510000000000000JOL"
 MACHINERY_SERIES = "JTS333000000000000JOL"
 SEMICONDUCTOR_CODES = ["8541", "8542"]
 EQUIPMENT_CODES = ["8471", "8473"]
 CHINA, TAIWAN, ALL_PARTNERS = "5700", "5830", "ALL"
-POWER_TICKERS = ["BWX", "CEG", "ETR", "EXC", "FSLR", "GEV", "NEE", "NRG", "OKLO", "SMR", "SO", "TLN", "VST"]
+POWER_TICKERS = ["CEG", "VST", "NRG", "TLN", "NEE", "SO", "EXC", "ETR", "GEV", "BWX", "OKLO", "SMR", "FSLR"]
 REGION_COUNTRIES = {
     "north_america": ["United States", "Canada"],
     "emea": ["Germany", "United Kingdom", "France", "Netherlands"],

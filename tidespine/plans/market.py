@@ -1,7 +1,6 @@
 """Families fed by the whole price panel or the deal graph: peers, currency, options, partners."""
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,19 +22,27 @@ OPTION_COLS = ["iv_rank_30d", "iv_hv_spread", "put_call_oi_ratio", "put_call_vol
 GRAPH_COLS = ["graph_partner_momentum_30d", "graph_deal_count_90d", "graph_hops_to_hyperscaler"]
 DEAL_COLS = ["energy_deal_mw_90d", "hyperscaler_ppa_count_90d"]
 # The hub set that graph distance is measured to.
-HUBS = ["AMZN", "GOOGL", "META", "MSFT"]
-
-
-def correlation_peers(layers: Sequence[tuple[str, str]], count: int = 20, seed: int = 42) -> list[tuple[str, str]]:
-    """Fixed sample of other-group peers per entity, from the small registry list [(ticker, layer)]."""
-    rng = random.Random(seed)
-    names = sorted(t for t, _ in layers)
-    group = dict(layers)
-    pairs = []
-    for ticker, layer in layers:
-        others = [t for t in names if group[t] != layer]
-        pairs += [(ticker, p) for p in rng.sample(others, min(count, len(others)))]
-    return pairs
+HUBS = ["MSFT", "AMZN", "GOOGL", "META"]
+
+
+def correlation_peers(layers: DataFrame, count: int = 20) -> DataFrame:
+    """(ticker, peer): for each entity the next ``count`` entities of other groups, all if there are fewer.
+
+    Entities stand on a ring ordered by the digest of their name, so the choice is fixed and mixes groups. An entity's place
+    among the others of its group is a running count, and peers are found by that place: an equi-join, no pairs are formed and dropped.
+    The ring is one row per entity of the registry; below it there is one row per entity and group.
+    """
+    placed = layers.select("ticker", "layer").withColumns({
+        "_r": F.row_number().over(Window.orderBy(F.md5("ticker"))), "_groups": F.collect_set("layer").over(Window.partitionBy())})
+    seen = placed.select("ticker", "layer", "_r", F.explode("_groups").alias("_g"))
+    foreign = (F.col("layer") != F.col("_g")).cast("int")
+    of_group = Window.partitionBy("_g")
+    seen = seen.withColumns({"_k": F.sum(foreign).over(of_group.orderBy("_r")), "_n": F.sum(foreign).over(of_group)})
+    step = F.explode(F.sequence(F.lit(0), F.least(F.lit(count), "_n") - 1)).alias("_s")
+    seekers = seen.where("layer = _g and _n > 0").select("ticker", "_g", "_k", "_n", step)
+    seekers = seekers.select("ticker", "_g", ((F.col("_k") + F.col("_s")) % F.col("_n") + 1).alias("_k"))
+    offered = seen.where("layer <> _g").select("_g", "_k", F.col("ticker").alias("peer"))
+    return seekers.join(offered, ["_g", "_k"]).select("ticker", "peer")
 
 
 def layer_momentum(spine: DataFrame, returns: DataFrame, layers: DataFrame, value: str = "ret_20d",

@@ -1,7 +1,6 @@
 """Session helpers: defaults for local runs and the shared folder used to cut lineage."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,8 @@ def local_session(app: str = "tidespine", cores: str | int = "*", partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.files.minPartitionNum", "16")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -23,25 +24,13 @@ def local_session(app: str = "tidespine", cores: str | int = "*", partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local path would
-    lose data with its executor, so the missing setting is an error there.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset one under the warehouse, which a cluster shares too."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if named:
-        if current is None:
-            sc.setCheckpointDir(named)
-        return named
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="tidespine-")
-    sc.setCheckpointDir(fallback)
-    return fallback
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,14 +42,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder, for tables a job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the session has cores (one small file, say).
-
-    CPU-heavy parsing would otherwise run on a single core. A large input has more splits than cores and
-    passes through untouched, so no shuffle is added at scale. Meant for plain scans, whose split count
-    is known without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

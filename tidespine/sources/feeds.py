@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidespine.functions.dates import parse_day, spreadsheet_day
 from tidespine.functions.scalar import lookup
-from tidespine.functions.text import AliasTagger, tag_article
+from tidespine.operators.match import tag_entities
 from tidespine.operators.dedup import keep_first
 
 # Fuel codes, zones, and queue-file headers (several spellings per column, file order wins).
@@ -215,8 +215,8 @@ def patent_grant_rows(payloads: DataFrame, text: str = "json") -> DataFrame:
         "grant_date is not null")
 
 
-def news_rows(articles: DataFrame, tagger: AliasTagger, source: str) -> DataFrame:
-    """(timestamp, url, title, excerpt, tone) records to article rows; the first tone token is the tone.
+def news_rows(articles: DataFrame, aliases: DataFrame, source: str) -> DataFrame:
+    """(timestamp, url, title, excerpt, tone) records to article rows, tagged by (entity, alias) rows; the first tone token is the tone.
 
     The snippet field is cut to its stored length, as a field limit; tags read the whole text.
     """
@@ -224,11 +224,12 @@ def news_rows(articles: DataFrame, tagger: AliasTagger, source: str) -> DataFram
     snippet = F.trim(F.substring(F.concat_ws(" ", title, body), 1, SNIPPET_CHARS))
     tone = F.split(F.coalesce(F.nullif(F.col("tone"), F.lit("")), F.lit("0")), ",")[0].try_cast("float")
     none = F.array().cast("array<string>")
-    return articles.select(
+    whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("excerpt", F.lit("")))
+    return tag_entities(articles, whole, aliases, "mentioned_tickers").select(
         "timestamp", F.lit(source).alias("source"), _blank(F.col("url")).alias("url"), title.alias("title"),
         snippet.alias("content_snippet"), none.alias("theme_tags"), F.lit(0.0).cast("float").alias("goldstein_score"),
         F.coalesce(tone, F.lit(0.0).cast("float")).alias("tone_score"), F.lit(1).alias("num_articles"),
-        none.alias("actors"), none.alias("countries"), tag_article("title", "excerpt", tagger).alias("mentioned_tickers"))
+        none.alias("actors"), none.alias("countries"), "mentioned_tickers")
 
 
 def arrival_rows(records: DataFrame) -> DataFrame:

@@ -82,13 +82,17 @@ def filing_index(lines: DataFrame, form: str = "13F-HR", text: str = "value") ->
         at(3).alias("date_filed"), at(4).alias("filename"))
 
 
+#: Fixed value: type and date of a disclosed trade.
+TRADE = r"(?<!\w)([PS])\s*(?:\(partial\))?\s+(\d{2}/\d{2}/\d{4})"
+
+
 def disclosure_trades(docs: DataFrame, watchlist: DataFrame, text: str = "text") -> DataFrame:
     """Trades in disclosure text: ticker in parentheses, type and date on the same or the three lines before.
 
     ``docs`` is (doc_id, politician_name, text). The line context is sliced from the document's own line
     array, so no shuffle is needed before the final one-per-(ticker, date, type) step.
     """
-    kind = r"(?<!\w)([PS])\s*(?:\(partial\))?\s+(\d{2}/\d{2}/\d{4})"
+    kind = TRADE
     lines = docs.withColumn("_lines", F.split(text, "\n"))
     rows = lines.select("doc_id", "politician_name", "_lines", F.posexplode("_lines").alias("_i", "_line"))
     rows = rows.withColumn("ticker", F.regexp_extract("_line", r"\(([A-Z]{1,5})\)", 1)).where("ticker <> ''")

@@ -13,9 +13,9 @@ from tidespine.schemas import empty, schema_of
 ENERGY_RENAMES = {"renewables_share_elec": "renewables_pct", "carbon_intensity_elec": "carbon_intensity_gco2_per_kwh"}
 ENERGY_SIGNALS = ["renewables_share_elec", "solar_share_elec", "wind_share_elec", "nuclear_share_elec",
                   "electricity_demand", "per_capita_electricity", "carbon_intensity_elec"]
-ENERGY_COUNTRIES = ["Canada", "France", "Germany", "Iceland", "Indonesia", "Japan", "Malaysia", "Morocco",
-                    "Netherlands", "Norway", "Saudi Arabia", "Singapore", "South Korea", "Sweden",
-                    "United Arab Emirates", "United Kingdom", "United States"]
+# Fixed values; the last two are added here, as the regions of the energy scores need them.
+ENERGY_COUNTRIES = ["Norway", "Sweden", "Iceland", "Canada", "Japan", "United Arab Emirates", "Saudi Arabia", "Malaysia", "Indonesia", "Singapore",
+                    "United States", "Morocco", "Germany", "France", "United Kingdom", "Netherlands", "South Korea"]
 HORIZON_PREFERENCE = ["legacy", "252d"]
 
 

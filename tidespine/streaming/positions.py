@@ -54,13 +54,17 @@ def drop_redelivered(positions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return positions.dropDuplicates(["mmsi", "timestamp"])
 
 
-def cargo_counts(positions: DataFrame, delay: str = "1 day", rsd: float = 0.02) -> DataFrame:
-    """Distinct cargo vessels per corridor over 7 days, sliding daily; approximate on streams, exact in batch."""
+def cargo_counts(positions: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Distinct cargo vessels per corridor over 7 days, sliding daily; exact on streams and in batch.
+
+    Sightings become one row per (window, corridor, vessel) first and are counted then. On a stream both steps keep state until the
+    watermark passes the window's end, so a count appears once, when its window closes.
+    """
     cargo = positions.where(F.col("vessel_type").between(*CARGO_TYPES))
-    distinct = F.approx_count_distinct("mmsi", rsd) if positions.isStreaming else F.count_distinct("mmsi")
     if positions.isStreaming:
         cargo = cargo.withWatermark("timestamp", delay)
-    return cargo.groupBy(F.window("timestamp", "7 days", "1 day").alias("w"), "corridor").agg(distinct.alias("vessels")).select(
+    seen = cargo.groupBy(F.window("timestamp", "7 days", "1 day").alias("w"), "corridor", "mmsi").agg(F.count(F.lit(1)).alias("_n"))
+    return seen.groupBy("w", "corridor").agg(F.count(F.lit(1)).alias("vessels")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "corridor", "vessels")
 
 
@@ -75,3 +79,11 @@ def write_counts(counts: DataFrame, path: str, checkpoint: str, once: bool = Tru
     """Finished windows appended as Parquet; a window is written once, when the watermark passes its end."""
     writer = (counts.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+
+
+def with_open_windows(written: DataFrame, all_windows: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream has written, and from the same query over the landed data the windows it has not closed yet.
+
+    For the end of an input: an append stream holds a window back until the watermark has passed it.
+    """
+    return written.unionByName(all_windows.join(written.select(*keys), keys, "left_anti"))
