@@ -276,7 +276,18 @@ def f12_surprise(t):
     return rounded(mk.peer_surprise(spine_of(t.px), t.er, t.layers))
 
 
-@query("f12_supply_chain")
+_BASE = """bp AS (SELECT px.ticker, px.date, CASE WHEN COALESCE(currency, 'USD') = 'USD' THEN close_price ELSE close_price * rate END AS close_price
+  FROM px LEFT JOIN currencies c USING (ticker) LEFT JOIN rates r ON r.pair = c.pair AND r.date = px.date),
+bpi AS (SELECT ticker, date, idx, bp.close_price FROM bp JOIN cal USING (date) WHERE bp.close_price IS NOT NULL)"""
+_MOMENTUM = """SELECT CASE WHEN COUNT(*) >= {least} THEN AVG(r) END FROM r20 JOIN nat n USING (ticker) WHERE r20.date = pi.date AND n.layer {op} a.layer AND r20.ticker <> pi.ticker"""
+_SUPPLY = f"""{_CORR.replace(_CAL, _CAL + "," + chr(10) + _BASE).replace("FROM pi GROUP BY 1)", "FROM bpi GROUP BY 1)").replace("ASOF JOIN pi ON g.ticker = pi.ticker AND g.idx >= pi.idx", "ASOF JOIN bpi ON g.ticker = bpi.ticker AND g.idx >= bpi.idx")},
+sup AS (SELECT px.ticker, px.date, ROUND(AVG(e.eps_surprise_pct), 5) AS peer_eps_surprise_mean FROM px JOIN nat a USING (ticker)
+  LEFT JOIN (SELECT er.*, layer FROM er JOIN nat USING (ticker)) e ON e.layer = a.layer AND e.ticker <> px.ticker AND e.quarter_end BETWEEN px.date - 90 AND px.date GROUP BY 1, 2)"""
+
+
+@query("f12_supply_chain", f"""WITH {_SUPPLY}
+SELECT pi.ticker, pi.date, ROUND(({_MOMENTUM.format(least=2, op='=')}), 5) AS own_layer_momentum_20d, ROUND(({_MOMENTUM.format(least=5, op='<>')}), 5) AS ecosystem_momentum_20d,
+ ROUND(c, 5) AS supply_chain_correlation_60d, peer_eps_surprise_mean FROM pi JOIN nat a USING (ticker) LEFT JOIN cm USING (ticker, idx) LEFT JOIN sup ON sup.ticker = pi.ticker AND sup.date = pi.date""")
 def f12(t):
     px = t.stored("px")
     base = mk.base_currency_prices(px, t.currencies, t.rates)

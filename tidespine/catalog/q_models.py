@@ -69,41 +69,55 @@ def e02(t):
     return evl.liquidity(t.preds.select(*KEYS, "horizon"), caps, KEYS)
 
 
-_PEER = """r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY expected_annual_return DESC NULLS LAST, ticker) AS rank FROM preds WHERE horizon = '20d'),
- top AS (SELECT date, ticker FROM r WHERE rank <= 10),
- w AS (SELECT top.date, top.ticker, px.date AS pd, close_price / NULLIF(LAG(close_price) OVER (PARTITION BY top.date, top.ticker ORDER BY px.date), 0) - 1 AS ret FROM top JOIN px ON px.ticker = top.ticker AND px.date BETWEEN top.date - 90 AND top.date),
- v0 AS (SELECT *, COUNT(*) OVER (PARTITION BY date, ticker) AS n, row_number() OVER (PARTITION BY date, ticker ORDER BY pd DESC) AS pos FROM w WHERE ret IS NOT NULL), v AS (SELECT * FROM v0 WHERE n > 5),
- pr AS (SELECT a.date, a.ticker, b.ticker AS peer, COUNT(*) AS m, covar_pop(a.ret, b.ret) / NULLIF(sqrt(var_pop(a.ret) * var_pop(b.ret)), 0) AS cc FROM v a JOIN v b ON a.date = b.date AND a.{at} = b.{at} AND a.ticker <> b.ticker GROUP BY 1, 2, 3),
- k AS (SELECT date, COUNT(DISTINCT ticker) AS k FROM v GROUP BY 1), mm AS (SELECT date, ticker, AVG(cc) AS mean FROM pr WHERE m >= 10 AND cc IS NOT NULL GROUP BY 1, 2)
- SELECT r.ticker, r.date, ROUND(CASE WHEN o.ticker IS NULL THEN NULL WHEN k = 1 THEN 0.0 ELSE mean END, 4) AS peer_correlation_90d
- FROM r LEFT JOIN (SELECT DISTINCT date, ticker FROM v) o ON o.date = r.date AND o.ticker = r.ticker LEFT JOIN k ON k.date = r.date LEFT JOIN mm ON mm.date = r.date AND mm.ticker = r.ticker"""
-
-
-@query("e03_peer_correlation", "WITH " + _PEER.format(at="pd"))
+_PEER = """r AS (SELECT *, CAST(row_number() OVER (PARTITION BY date, horizon ORDER BY expected_annual_return DESC NULLS LAST, ticker) AS INTEGER) AS rank FROM preds),
+ top AS (SELECT date, horizon, ticker FROM r WHERE rank <= 10),
+ w AS (SELECT top.date, top.horizon, top.ticker, px.date AS pd, close_price / NULLIF(LAG(close_price) OVER (PARTITION BY top.date, top.horizon, top.ticker ORDER BY px.date), 0) - 1 AS ret FROM top JOIN px ON px.ticker = top.ticker AND px.date BETWEEN top.date - 90 AND top.date),
+ v0 AS (SELECT *, COUNT(*) OVER (PARTITION BY date, horizon, ticker) AS n, row_number() OVER (PARTITION BY date, horizon, ticker ORDER BY pd DESC) AS pos FROM w WHERE ret IS NOT NULL), v AS (SELECT * FROM v0 WHERE n > 5),
+ pr AS (SELECT a.date, a.horizon, a.ticker, b.ticker AS peer, COUNT(*) AS m, covar_pop(a.ret, b.ret) / NULLIF(sqrt(var_pop(a.ret) * var_pop(b.ret)), 0) AS cc FROM v a JOIN v b ON a.date = b.date AND a.horizon = b.horizon AND a.{at} = b.{at} AND a.ticker <> b.ticker GROUP BY 1, 2, 3, 4),
+ k AS (SELECT date, horizon, COUNT(DISTINCT ticker) AS k FROM v GROUP BY 1, 2), mm AS (SELECT date, horizon, ticker, AVG(cc) AS mean FROM pr WHERE m >= 10 AND cc IS NOT NULL GROUP BY 1, 2, 3),
+ pc AS (SELECT r.*, ROUND(CASE WHEN o.ticker IS NULL THEN NULL WHEN k = 1 THEN 0.0 ELSE mean END, 4) AS peer_correlation_90d
+ FROM r LEFT JOIN (SELECT DISTINCT date, horizon, ticker FROM v) o USING (date, horizon, ticker) LEFT JOIN k USING (date, horizon) LEFT JOIN mm USING (date, horizon, ticker))"""
+SETS = ["date", "horizon"]
+
+
+@query("e03_peer_correlation", "WITH " + _PEER.format(at="pd") + " SELECT ticker, date, horizon, peer_correlation_90d FROM pc")
 def e03(t):
-    ranked = evl.rank_predictions(t.preds.where("horizon = '20d'"), ["date"])
-    return evl.peer_correlation(ranked, t.px).select(*KEYS, "peer_correlation_90d")
+    return evl.peer_correlation(t.preds, t.px, keys=SETS).select(*KEYS, "horizon", "peer_correlation_90d")
 
 
-@query("e03_peer_correlation_positional", "WITH " + _PEER.format(at="pos"))
+@query("e03_peer_correlation_positional", "WITH " + _PEER.format(at="pos") + " SELECT ticker, date, horizon, peer_correlation_90d FROM pc")
 def e03_pos(t):
-    ranked = evl.rank_predictions(t.preds.where("horizon = '20d'"), ["date"])
-    return evl.peer_correlation(ranked, t.px, positional=True).select(*KEYS, "peer_correlation_90d")
+    return evl.peer_correlation(t.preds, t.px, positional=True, keys=SETS).select(*KEYS, "horizon", "peer_correlation_90d")
 
 
-@query("e04_enrich")
-def e04(t):
+_ENRICHED = """, caps AS (SELECT ticker, MAX(close_price) / 2e5 AS cap FROM px GROUP BY 1)
+ SELECT ticker, date, horizon, rank, expected_annual_return, lgbm_return, rf_return, ridge_return, ROUND(cap, 6) AS market_cap_b, COALESCE(cap >= 1.0, FALSE) AS is_liquid,
+ ROUND(CASE WHEN expected_annual_return <> 0 THEN ((sign(lgbm_return) = sign(expected_annual_return))::INTEGER + (sign(rf_return) = sign(expected_annual_return))::INTEGER
+ + (sign(ridge_return) = sign(expected_annual_return))::INTEGER) / 3.0::DOUBLE END, 6) AS model_agreement, peer_correlation_90d FROM pc LEFT JOIN caps USING (ticker)"""
+
+
+def enriched(t, preds, positional):
+    """Enrichment written by month and read back, as the job stores it."""
     from tidespine.session import scratch_path
-    from tidespine.sources.readers import preferred_predictions
     from tidespine.sources.sinks import write_by
 
-    chosen = preferred_predictions(t.preds)
-    ranked = evl.rank_predictions(chosen, ["date"])
     caps = t.px.groupBy("ticker").agg((F.max("close_price") / 2e5).alias("market_cap_b"))
+    out = evl.enrich(evl.rank_predictions(preds, SETS), caps, t.px, positional, SETS)
     path = scratch_path(t.spark, "enriched")
-    out = evl.enrich(ranked, caps, t.px).withColumn("month", F.trunc("date", "month"))
-    write_by(out, path, "month")
-    return t.spark.read.parquet(path).drop("month")
+    write_by(out.withColumn("month", F.trunc("date", "month")), path, "month")
+    return rounded(t.spark.read.parquet(path).drop("month"), 6)
+
+
+@query("e04_enrich", "WITH " + _PEER.format(at="pd") + _ENRICHED + " WHERE horizon = '20d'")
+def e04(t):
+    from tidespine.sources.readers import preferred_predictions
+
+    return enriched(t, preferred_predictions(t.preds), False)
+
+
+@query("e04_enrich_positional", "WITH " + _PEER.format(at="pos") + _ENRICHED)
+def e04_pos(t):
+    return enriched(t, t.preds, True)
 
 
 @query("e05_score_predictions", """WITH x AS (SELECT p.*, i, o, xd, o / i - 1 AS y FROM preds p JOIN (SELECT ticker, date, close_price AS i, '5d' AS horizon, LEAD(close_price, 5) OVER w AS o, LEAD(date, 5) OVER w AS xd FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)

@@ -43,14 +43,20 @@ def liquidity(preds: DataFrame, caps: DataFrame, keys: Sequence[str] = ("ticker"
 
 
 def peer_correlation(preds: DataFrame, prices: DataFrame, top_n: int = 10, days: int = 90, min_returns: int = 5,
-                     min_overlap: int = 10, positional: bool = False, keys: Sequence[str] = ("date",)) -> DataFrame:
-    """Mean pairwise return correlation among the ``top_n`` ranked entities of each prediction set.
+                     min_overlap: int = 10, positional: bool = False, keys: Sequence[str] = ("date",),
+                     score: str = "expected_annual_return") -> DataFrame:
+    """Mean pairwise return correlation among the ``top_n`` entities of each prediction set, by ``rank`` or else by ``score``.
 
     Returns align by date, or with ``positional`` by position from the newest row. Pairs form only
     inside the fixed top_n, so a set contributes at most top_n * (top_n - 1) of them.
     """
     keys = list(keys)
-    top = preds.where(F.col("rank") <= top_n).select(*keys, "ticker").distinct()
+    if "rank" not in preds.columns:  # a row_number with a bound: each task keeps its own best before the shuffle
+        best = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), "ticker")
+        top = preds.select(*keys, "ticker", F.row_number().over(best).alias("_rank")).where(F.col("_rank") <= top_n)
+    else:
+        top = preds.where(F.col("rank") <= top_n)
+    top = top.select(*keys, "ticker").distinct()
     rows = interval_rows(top, prices.select("ticker", F.col("date").alias("_pd"), "close_price"), ["ticker"], "date",
                          -days, 0, right_on="_pd")
     w = Window.partitionBy(*keys, "ticker").orderBy("fact_day")
@@ -79,9 +85,9 @@ def rank_predictions(preds: DataFrame, by: Sequence[str], score: str = "expected
     return ranked.withColumn("rank", F.col("rank").cast("int")).drop("group_size")
 
 
-def enrich(preds: DataFrame, caps: DataFrame, prices: DataFrame) -> DataFrame:
-    """Agreement, liquidity and peer correlation for one resolved prediction set per date."""
-    return peer_correlation(model_agreement(liquidity(preds, caps)), prices)
+def enrich(preds: DataFrame, caps: DataFrame, prices: DataFrame, positional: bool = False, keys: Sequence[str] = ("date",)) -> DataFrame:
+    """Agreement, liquidity and peer correlation for each prediction set named by ``keys``."""
+    return peer_correlation(model_agreement(liquidity(preds, caps)), prices, positional=positional, keys=keys)
 
 
 def realised(preds: DataFrame, prices: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:

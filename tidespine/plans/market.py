@@ -10,7 +10,6 @@ from tidespine.operators.asof import asof_join
 from tidespine.operators.calendar import calendar_change, calendar_index, fill_gaps, with_calendar
 from tidespine.operators.graph import hops_to_set, proximity
 from tidespine.operators.intervals import Span, span_agg
-from tidespine.operators.ranking import exact_median
 from tidespine.operators.windows import realised_volatility, rolling_correlation
 from tidespine.session import cut_lineage
 
@@ -143,52 +142,44 @@ def _quotes(contracts: DataFrame, *flags: Column) -> DataFrame:
         F.min(F.when(F.col("iv") > 0, F.col("iv"))).alias("iv"))
 
 
-def _nearest(target: Column, cond: Column | None = None) -> Column:
-    """Strike nearest the target (ties to the lower), as a (distance, strike) minimum."""
-    key = F.struct(F.abs(F.col("strike") - target).alias("d"), F.col("strike").alias("k"))
-    return F.min(key if cond is None else F.when(cond, key))["k"]
-
-
-def _iv_at_the_money(quotes: DataFrame, atm: DataFrame) -> DataFrame:
-    """Implied volatility at the money: the call's if any call trades there, else any contract's; 0 if none."""
-    at = quotes.join(atm, KEYS).where(F.col("strike") == F.col("_atm"))
-    call = F.col("option_type") == "call"
-    return at.groupBy(*KEYS).agg(
-        F.coalesce(F.when(F.max(call), F.min(F.when(call, F.col("iv")))).otherwise(F.min("iv")), F.lit(0.0)).alias("_iv"))
-
-
 def option_features(contracts: DataFrame, prices: DataFrame) -> DataFrame:
     """Six option features per (ticker, date) that has contracts; zeros when no near expiry exists.
 
-    Contracts are reduced to (type, strike) cells first; the spot is the median near-term strike.
+    Contracts are reduced to (expiry, type, strike) cells first; the spot is the median near-term strike. A day of an entity has
+    at most a few hundred cells, so spot, picks and their volatilities are windows and one aggregate over the same layout.
     """
     chosen = contracts.groupBy(*KEYS).agg(_nearest_expiry(30, 45).alias("_near"), _nearest_expiry(90, 180).alias("_mid"))
-    chosen = cut_lineage(chosen)  # one row per day, read twice
     wanted = (F.col("expiry") == F.col("_near")) | (F.col("expiry") == F.col("_mid"))
-    cells = contracts.join(chosen, KEYS).where(wanted)
-    cells = cut_lineage(_quotes(cells, F.col("expiry").eqNullSafe(F.col("_near")).alias("_is_near"),
-                                F.col("expiry").eqNullSafe(F.col("_mid")).alias("_is_mid")))  # two expiries per day, read six times
-    near = cells.where("_is_near").drop("_is_near", "_is_mid")
-    mid = cells.where("_is_mid").drop("_is_near", "_is_mid")
-    spots = exact_median(near, KEYS, "strike", "spot", weight="n").where("spot > 0")
-    near = near.join(spots, KEYS)
-    put, call, spot = F.col("option_type") == "put", F.col("option_type") == "call", F.col("spot")
+    cells = _quotes(contracts.join(chosen, KEYS).where(wanted), F.col("expiry").eqNullSafe(F.col("_near")).alias("_is_near"),
+                    F.col("expiry").eqNullSafe(F.col("_mid")).alias("_is_mid"))
+    day = Window.partitionBy(*KEYS)
+    near, mid = F.col("_is_near"), F.col("_is_mid")
+    put, call = near & (F.col("option_type") == "put"), near & (F.col("option_type") == "call")
+    strike, spot = F.col("strike"), F.col("spot")
+    cells = cells.withColumn("spot", F.percentile(F.when(near, strike.cast("double")), 0.5, F.col("n")).over(day)).where("spot > 0")
+    picked = lambda target, cond: F.min(F.when(cond, F.struct(F.abs(strike - target).alias("d"), strike.alias("k")))).over(day)["k"]
+    cells = cells.withColumns({
+        "_atm": picked(spot, near), "_mid_atm": picked(spot, mid),
+        "_put": picked(spot * 0.925, put & strike.between(spot * 0.88, spot * 0.97)),
+        "_call": picked(spot * 1.075, call & strike.between(spot * 1.03, spot * 1.12))})
     sums = lambda c, side: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
-    picks = near.groupBy(*KEYS).agg(
-        F.max("spot").alias("spot"), _nearest(spot).alias("_atm"),
+    least_iv = lambda cond: F.min(F.when(cond, F.col("iv")))
+
+    def at_the_money(side: Column, at: str) -> Column:
+        """The call's volatility if any call trades there, else any contract's; 0 if none."""
+        here = side & (strike == F.col(at))
+        calls = here & (F.col("option_type") == "call")
+        return F.coalesce(F.when(F.max(calls), least_iv(calls)).otherwise(least_iv(here)), F.lit(0.0))
+
+    picks = cells.groupBy(*KEYS).agg(
+        F.max("spot").alias("spot"), F.max("_put").alias("_put"), F.max("_call").alias("_call"),
         F.coalesce(ratio(sums("oi", put), sums("oi", call)), F.lit(0.0)).alias("put_call_oi_ratio"),
         F.coalesce(ratio(sums("volume", put), sums("volume", call)), F.lit(0.0)).alias("put_call_vol_ratio"),
-        _nearest(spot * 0.925, put & F.col("strike").between(spot * 0.88, spot * 0.97)).alias("_put"),
-        _nearest(spot * 1.075, call & F.col("strike").between(spot * 1.03, spot * 1.12)).alias("_call"))
-    wings = near.drop("spot").join(picks.select(*KEYS, "_put", "_call"), KEYS).groupBy(*KEYS).agg(
-        F.coalesce(F.min(F.when(put & (F.col("strike") == F.col("_put")), F.col("iv"))), F.lit(0.0)).alias("_piv"),
-        F.coalesce(F.min(F.when(call & (F.col("strike") == F.col("_call")), F.col("iv"))), F.lit(0.0)).alias("_civ"))
-    near_iv = _iv_at_the_money(near.drop("spot"), picks.select(*KEYS, "_atm"))
-    mid_atm = mid.join(spots, KEYS).groupBy(*KEYS).agg(_nearest(spot).alias("_atm"))
-    mid_iv = _iv_at_the_money(mid, mid_atm).withColumnRenamed("_iv", "_iv_mid")
+        F.coalesce(least_iv(put & (strike == F.col("_put"))), F.lit(0.0)).alias("_piv"),
+        F.coalesce(least_iv(call & (strike == F.col("_call"))), F.lit(0.0)).alias("_civ"),
+        at_the_money(near, "_atm").alias("_iv"), F.when(F.max(mid), at_the_money(mid, "_mid_atm")).alias("_iv_mid"))
     vol = realised_volatility(prices.select(*KEYS, "close_price"), "close_price", "ticker", "date", "_hv")
-    days = chosen.select(*KEYS)
-    df = (days.join(picks, KEYS, "left").join(wings, KEYS, "left").join(near_iv, KEYS, "left").join(mid_iv, KEYS, "left"))
+    df = chosen.select(*KEYS).join(picks, KEYS, "left")
     df = asof_join(df, vol.select("ticker", F.col("date").alias("_pd"), "_hv"), on="date", right_on="_pd",
                    by=["ticker"], left_unique=True)
     rows = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -208,10 +199,14 @@ def option_features(contracts: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def partner_momentum(spine: DataFrame, prices: DataFrame, edges: DataFrame, days: int = 30) -> DataFrame:
-    """Edge-weighted mean of the partners' price change inside [d-days, d], for each own day d."""
+    """Edge-weighted mean of the partners' price change inside [d-days, d], for each own day d.
+
+    A partner's change is computed once per day of the spine's calendar and then meets its edges; weighted sums per (entity, day)
+    combine before the shuffle, and the spine joins last.
+    """
     links = edges.select(F.col("ticker_from").alias("ticker"), F.col("ticker_to").alias("partner"), "edge_weight")
-    asked = spine.select(*KEYS).join(links, "ticker")
-    probe = asked.select("partner", "date").distinct().withColumn("_want", F.lit(True))
+    calendar = spine.agg(F.collect_set("date")).scalar()  # one value per calendar day
+    probe = links.select("partner").distinct().select("partner", F.explode(calendar).alias("date"), F.lit(True).alias("_want"))
     rows = prices.select(F.col("ticker").alias("partner"), "date", F.col("close_price").alias("_p"))
     w = Window.partitionBy("partner").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
     moved = rows.unionByName(probe, allowMissingColumns=True).select(
@@ -219,8 +214,9 @@ def partner_momentum(spine: DataFrame, prices: DataFrame, edges: DataFrame, days
         F.when(F.count("_p").over(w) >= 2, change(F.last("_p", ignorenulls=True).over(w),
                                                   F.first("_p", ignorenulls=True).over(w))).alias("_r"))
     moved = moved.where("_want and _r is not null").drop("_want")
-    return asked.join(moved, ["partner", "date"]).groupBy(*KEYS).agg(
+    mean = links.join(moved, "partner").groupBy(*KEYS).agg(
         ratio(F.sum(F.col("edge_weight") * F.col("_r")), F.sum("edge_weight")).alias("graph_partner_momentum_30d"))
+    return mean.join(spine.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
 def partner_deals(spine: DataFrame, deals: DataFrame, edges: DataFrame, days: int = 90) -> DataFrame:
