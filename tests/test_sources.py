@@ -104,16 +104,20 @@ def test_schemas_and_absent_tables(spark):
 
 def test_upsert_guard_and_partitions(spark):
     path = scratch_path(spark, "t")
-    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
-    sk.upsert_table(spark, path, make([(1, "a"), (2, "b")]), ["k"])
-    sk.upsert_table(spark, path, make([(2, "c"), (3, "d")]), ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string, part string")
+    sk.upsert_table(spark, path, make([(1, "a", "x"), (2, "b", "y"), (5, "e", "y")]), ["k"], "part")
+    files = lambda part: {r[0] for r in spark.read.format("binaryFile").load(f"{path}/part={part}/*.parquet").select("path").collect()}
+    untouched, old = files("x"), files("y")
+    sk.upsert_table(spark, path, make([(2, "c", "y"), (3, "d", "z")]), ["k"], "part")
+    assert sorted((r["k"], r["v"], r["part"]) for r in spark.read.parquet(path).collect()) == [(1, "a", "x"), (2, "c", "y"), (3, "d", "z"), (5, "e", "y")]
+    assert files("x") == untouched and not files("y") & old
+    assert {r[0] for r in rd.partition_values(spark, path, "part").collect()} == {"x", "y", "z"} and rd.partition_values(spark, path + "-none").count() == 0
     parts = scratch_path(spark, "p")
     dated = lambda v, *ds: spark.createDataFrame([(v, day(x)) for x in ds], "v string, date date")
     sk.write_dates(dated("old", 0, 1), parts)
     sk.write_dates(dated("new", 1), parts)
     assert {(r["v"], r["date"]) for r in spark.read.parquet(parts).collect()} == {("old", day(0)), ("new", day(1))}
-    assert rd.latest_partition(spark.read.parquet(parts)).collect()[0]["v"] == "new"
+    assert rd.latest_partition(spark, parts).collect()[0]["v"] == "new"
     wanted = dated("w", 0, 6, 7, 31)
     assert {r["date"] for r in sk.missing_snapshots(wanted, dated("h", 1), "week").collect()} == {day(7), day(31)}
     assert {r["date"] for r in sk.missing_snapshots(wanted, dated("h", 1), "month").collect()} == {day(31)}

@@ -46,14 +46,6 @@ def f02(t):
     return rounded(pr.daily_matrix(t.epx, pos, t.news, "2024-01-15"))
 
 
-@query("f03_fundamentals", f"""
-SELECT px.ticker, px.date, {", ".join(f"ROUND({c}, 6) AS {c}" for c in ("revenue", "gross_profit", "capex", "rd_expense"))}
-FROM (SELECT * FROM px) px ASOF LEFT JOIN fq ON px.ticker = fq.ticker AND px.date >= fq.period_end""")
-def f03(t):
-    cols = ["revenue", "gross_profit", "capex", "rd_expense"]
-    return rounded(fl.attach_fundamentals(spine_of(t.px), t.fq, cols=cols))
-
-
 _DERIVED = """
 d0 AS (SELECT *, year(period_end) AS y, quarter(period_end) AS q FROM fq),
 d1 AS (SELECT a.*, b.revenue AS prior FROM d0 a LEFT JOIN d0 b ON a.ticker = b.ticker AND a.y = b.y + 1 AND a.q = b.q),
@@ -81,6 +73,21 @@ def f03b(t):
     return rounded(wide.select("ticker", "period_end", *fl.FUNDAMENTAL_COLS))
 
 
+_RATIOS = _DERIVED + """,
+fr AS (SELECT ticker, period_end, CASE WHEN t_ni > 0 THEN cap / t_ni END AS pe_ratio_trailing, CASE WHEN t_rev > 0 THEN cap / t_rev END AS price_to_sales,
+ CASE WHEN equity > 0 THEN cap / equity END AS price_to_book, revenue_growth_yoy, gross_profit / NULLIF(revenue, 0) AS gross_margin,
+ operating_income / NULLIF(revenue, 0) AS operating_margin, capex / NULLIF(revenue, 0) AS capex_to_revenue, CASE WHEN equity > 0 THEN long_term_debt / equity END AS debt_to_equity,
+ CASE WHEN current_liabilities > 0 THEN current_assets / current_liabilities END AS current_ratio, COALESCE(t_ni / NULLIF(t_rev, 0), 0.0) AS net_income_margin,
+ COALESCE((t_oi - t_cx) / NULLIF(t_rev, 0), 0.0) AS free_cash_flow_margin, CASE WHEN p_cx > 0 THEN t_cx / p_cx - 1 END AS capex_growth_yoy,
+ COALESCE(revenue_growth_yoy - p_yoy, 0.0) AS revenue_growth_accel, COALESCE(t_rd / NULLIF(t_rev, 0), 0.0) AS research_to_revenue FROM d4)"""
+
+
+@query("f03_fundamentals", f"""WITH {_RATIOS}
+SELECT px.ticker, px.date, {r6(*fl.FUNDAMENTAL_COLS)} FROM (SELECT * FROM px) px ASOF LEFT JOIN fr ON px.ticker = fr.ticker AND px.date >= fr.period_end""")
+def f03(t):
+    return rounded(fl.attach_fundamentals(spine_of(t.px), fl.valuation(fl.derive_ratios(t.fq), t.px)))
+
+
 @query("f04_insider", """
 WITH s AS (SELECT DISTINCT ticker, date FROM px),
 a AS (SELECT s.ticker, s.date, NULLIF(COUNT(DISTINCT CASE WHEN transaction_code = 'P' THEN insider_name END), 0) AS insider_cluster_buy_90d,

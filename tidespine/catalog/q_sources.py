@@ -348,35 +348,36 @@ def s30(t):
 # ---- sinks and incremental reads ----------------------------------------------------------------------
 
 
-@query("s31_sink_per_entity", "SELECT ticker, COUNT(*) AS n, MAX(date) AS last_day FROM px GROUP BY 1")
+@query("s31_sink_per_entity", "SELECT ticker, date, close_price, volume FROM px")
 def s31(t):
     path = scratch_path(t.spark, "entity")
     sk.write_per_entity(t.px, path)
-    return t.spark.read.parquet(path).groupBy("ticker").agg(F.count(lit(1)).alias("n"), F.max("date").alias("last_day"))
+    return t.spark.read.parquet(path).select("ticker", "date", "close_price", "volume")
 
 
-@query("s32_sink_entity_years", "SELECT ticker, CAST(year(date) AS INTEGER) AS year, COUNT(*) AS n FROM px GROUP BY 1, 2")
+@query("s32_sink_entity_years", "SELECT ticker, CAST(year(date) AS INTEGER) AS year, date, close_price, volume FROM px")
 def s32(t):
     path = scratch_path(t.spark, "years")
     sk.write_entity_years(t.px, path)
-    return t.spark.read.parquet(path).groupBy("ticker", "year").agg(F.count(lit(1)).alias("n"))
+    return t.spark.read.parquet(path).select("ticker", "year", "date", "close_price", "volume")
 
 
-@query("s33_sink_dates", "SELECT date, horizon, COUNT(*) AS n, CASE WHEN date < DATE '1998-01-01' THEN 2 ELSE 1 END AS version FROM preds GROUP BY 1, 2")
+@query("s33_sink_dates", "SELECT ticker, date, horizon, expected_annual_return, CASE WHEN date < DATE '1998-01-01' THEN 2 ELSE 1 END AS version FROM preds")
 def s33(t):
     path = scratch_path(t.spark, "preds")
     sk.write_by(t.preds.withColumn("month", F.trunc("date", "month")).withColumn("version", lit(1)), path, "month", "horizon")
     again = t.preds.where("date < date'1998-01-01'").withColumn("month", F.trunc("date", "month")).withColumn("version", lit(2))
     sk.write_by(again, path, "month", "horizon")
-    back = rd.read_partitions(t.spark, path, "date date, version int, month date, horizon string")
-    return back.groupBy("date", "horizon").agg(F.count(lit(1)).alias("n"), F.max("version").alias("version"))
+    back = rd.read_partitions(t.spark, path, "ticker string, date date, expected_annual_return double, version int, month date, horizon string")
+    return back.select("ticker", "date", "horizon", "expected_annual_return", "version")
 
 
 @query("s34_upsert", "SELECT pair, date, CASE WHEN date >= DATE '1998-01-01' THEN rate * 2 ELSE rate END AS rate FROM rates")
 def s34(t):
     path = scratch_path(t.spark, "fx")
-    sk.upsert_table(t.spark, path, t.rates.where("date < date'1999-01-01'"), ["pair", "date"])
-    sk.upsert_table(t.spark, path, t.rates.where("date >= date'1998-01-01'").withColumn("rate", c("rate") * 2), ["pair", "date"])
+    rates = t.rates.withColumn("month", F.date_format("date", "yyyy-MM"))
+    sk.upsert_table(t.spark, path, rates.where("date < date'1999-01-01'"), ["pair", "date"], "month")
+    sk.upsert_table(t.spark, path, rates.where("date >= date'1998-01-01'").withColumn("rate", c("rate") * 2), ["pair", "date"], "month")
     return t.spark.read.parquet(path).select("pair", "date", "rate")
 
 
@@ -401,9 +402,11 @@ def s36(t):
     return sk.unprocessed(t.ev.withColumnRenamed("day", "date"), done).groupBy("date").agg(F.count(lit(1)).alias("n"))
 
 
-@query("s37_latest_partition", "SELECT ticker, date, close_price FROM px WHERE date = (SELECT MAX(date) FROM px) ORDER BY ticker")
+@query("s37_latest_partition", "SELECT ticker, date, close_price FROM px WHERE date_trunc('month', date) = (SELECT date_trunc('month', MAX(date)) FROM px)")
 def s37(t):
-    return rd.latest_partition(t.px).select("ticker", "date", "close_price").orderBy("ticker")
+    path = scratch_path(t.spark, "by-day")
+    sk.write_by(t.px.withColumn("month", F.date_format("date", "yyyy-MM")), path, "month")
+    return rd.latest_partition(t.spark, path, "month").select("ticker", "date", "close_price")
 
 
 @query("s38_entity_history", "SELECT ticker, date, close_price FROM px WHERE ticker = 'NATION_7' ORDER BY date")

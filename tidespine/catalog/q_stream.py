@@ -53,20 +53,20 @@ def x01(t):
     return drain(t, stream(t), "positions").select(F.to_date("timestamp").alias("day"), "mmsi", "latitude", "longitude", "vessel_type")
 
 
-@query("x02_corridor_stream", f"WITH {_MSG} SELECT corridor, COUNT(*) AS n FROM ps GROUP BY 1")
+@query("x02_corridor_stream", f"WITH {_MSG} SELECT timestamp::DATE AS day, mmsi, corridor FROM ps")
 def x02(t):
-    return drain(t, stream(t), "corridors").groupBy("corridor").agg(F.count(lit(1)).alias("n"))
+    return drain(t, stream(t), "corridors").select(F.to_date("timestamp").alias("day"), "mmsi", "corridor")
 
 
-@query("x03_append_dates", f"WITH {_MSG} SELECT timestamp::DATE AS date, COUNT(*) AS n FROM ps GROUP BY 1")
+@query("x03_append_dates", f"WITH {_MSG} SELECT timestamp::DATE AS date, mmsi, longitude FROM ps")
 def x03(t):
-    return drain(t, stream(t), "dates").groupBy("date").agg(F.count(lit(1)).alias("n"))
+    return drain(t, stream(t), "dates").select("date", "mmsi", "longitude")
 
 
-@query("x04_type_enrichment", f"""WITH {_MSG} SELECT CASE WHEN vessel_type > 0 THEN vessel_type ELSE CAST(mmsi::BIGINT % 120 AS INTEGER) END AS vessel_type, COUNT(*) AS n FROM ps GROUP BY 1""")
+@query("x04_type_enrichment", f"""WITH {_MSG} SELECT CASE WHEN vessel_type > 0 THEN vessel_type ELSE CAST(mmsi::BIGINT % 120 AS INTEGER) END AS vessel_type, mmsi, timestamp::DATE AS day FROM ps""")
 def x04(t):
     vessels = t.raw("events").select(c("user_id").cast("string").alias("mmsi"), (c("user_id") % 120).cast("int").alias("vessel_type")).distinct()
-    return drain(t, sp.enrich_types(stream(t), vessels), "typed").groupBy("vessel_type").agg(F.count(lit(1)).alias("n"))
+    return drain(t, sp.enrich_types(stream(t), vessels), "typed").select("vessel_type", "mmsi", F.to_date("timestamp").alias("day"))
 
 
 _COUNTS = f"""WITH {_MSG}, p2 AS (SELECT timestamp::DATE AS d, mmsi, corridor FROM ps WHERE mmsi::BIGINT % 120 BETWEEN 70 AND 89),

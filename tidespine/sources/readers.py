@@ -90,10 +90,23 @@ def country_energy(raw: DataFrame, countries: list[str] = ENERGY_COUNTRIES) -> D
     return df.where(any_not_null(*[ENERGY_RENAMES.get(c, c) for c in ENERGY_SIGNALS]))
 
 
-def latest_partition(df: DataFrame, on: str = "date") -> DataFrame:
-    """Rows of the newest partition. The one-value maximum goes to the driver so the scan prunes statically."""
-    newest = df.agg(F.max(on)).first()[0]
-    return df.where(F.col(on) == F.lit(newest)) if newest is not None else df.limit(0)
+def partition_values(spark: SparkSession, path: str, on: str = "date") -> DataFrame:
+    """(on: string): the values of a partition column, from the file listing alone; none where nothing is stored."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    try:
+        paths = files.load(path).select("path")  # the content column is pruned, so no file is opened
+    except AnalysisException as exc:
+        if not _is_absent(exc):
+            raise
+        return spark.createDataFrame([], f"{on} string")
+    return paths.select(F.regexp_extract("path", rf"/{on}=([^/]+)/", 1).alias(on)).where(F.col(on) != "").distinct()
+
+
+def latest_partition(spark: SparkSession, path: str, on: str = "date") -> DataFrame:
+    """Rows of the newest partition of a stored table. Its name comes from the listing; the scan reads that partition only."""
+    newest = partition_values(spark, path, on).agg(F.max(on)).first()[0]
+    table = spark.read.parquet(path)
+    return table.where(F.col(on) == F.lit(newest).cast(table.schema[on].dataType))
 
 
 def entity_history(df: DataFrame, ticker: str, on: str = "date") -> DataFrame:

@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidespine.functions.dates import half_year_start
 from tidespine.operators.dedup import upsert
-from tidespine.session import cut_lineage
+from tidespine.session import scratch_path
+from tidespine.sources.readers import partition_values
 
 
 def write_by(df: DataFrame, path: str, *parts: str, mode: str = "overwrite") -> None:
@@ -37,23 +39,25 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge ``batch`` into the stored table, last row per key wins.
+def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], by: str) -> None:
+    """Merge ``batch`` into the stored table partitioned ``by`` a column its keys determine; the last row per key wins.
 
-    The merged rows are written to the shared checkpoint folder before the old files go, so a lost
-    executor cannot lose data half way.
+    Only partitions the batch touches are read and written, and the others keep their files. The merged rows are written to the shared folder
+    first and swapped in when the write commits, so a lost executor or a failed write leaves the old partitions or a whole copy.
     """
-    from pyspark.errors import AnalysisException
-
+    batch = batch.withColumn(by, F.col(by).cast("string"))
     try:
         current = spark.read.schema(batch.schema).parquet(path)
+        touched = [r[0] for r in batch.select(by).distinct().collect()]  # names of the partitions to write
+        current = current.where(F.col(by).isin(touched))
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         current = spark.createDataFrame([], batch.schema)
-    merged = cut_lineage(upsert(current, batch, keys))
-    write_table(merged, path)
-    return merged
+    aside = scratch_path(spark, "upsert")
+    upsert(current, batch, keys).write.parquet(aside)
+    merged = spark.read.schema(batch.schema).parquet(aside)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 PERIODS: dict[str, Callable[[str], Column]] = {
@@ -81,16 +85,11 @@ def stale(wanted: DataFrame, existing: DataFrame, period: str, on: str = "date")
 def guarded_write(spark: SparkSession, path: str, run_date: str, period: str,
                   extract: Callable[[], DataFrame]) -> bool:
     """Run the extract and write ``date=run_date`` unless the period is covered or nothing came back."""
-    from pyspark.errors import AnalysisException
-
     wanted = spark.range(1).select(F.lit(run_date).cast("date").alias("date"))
-    try:
-        existing = spark.read.parquet(path).select(F.col("date").cast("date").alias("date")).distinct()
-        if stale(wanted, existing, period).isEmpty():
-            return False
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
+    existing = partition_values(spark, path).select(F.col("date").cast("date").alias("date"))
+    newest = existing.agg(F.max("date").alias("date")).where("date is not null")
+    if not newest.isEmpty() and stale(wanted, newest, period).isEmpty():
+        return False
     batch = extract()
     if batch.isEmpty():
         return False
