@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidespine.catalog.base import query
+from tidespine.catalog import q_features
+from tidespine.catalog.base import ORACLE, query
 from tidespine.functions.scalar import rounded
-from tidespine.plans import dataset as ds, evaluate as evl, models as ml, scoring
+from tidespine.plans import dataset as ds, evaluate as evl, events as ev, filings as fl, macro as ma, market as mk, models as ml, scoring
 from tidespine.plans.attach import KEYS
+from tidespine.plans.price import PRICE_COLS
+from tidespine.schemas import FUNDAMENTAL_COLS
 
 c, lit = F.col, F.lit
 SMALL = ml.Settings(gbt_rounds=5, gbt_depth=3, trees=8, forest_depth=4)
@@ -50,13 +53,6 @@ def _edges(deals):
     return decayed_edges(deals, "2001-12-31")
 
 
-def profile(df, cols):
-    """Per feature: filled rows and rounded total, one small row each (keeps wide results comparable)."""
-    pairs = F.array(*[F.struct(lit(x).alias("feature"), c(x).cast("double").alias("v")) for x in cols])
-    return df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("feature").agg(
-        F.count("v").alias("filled"), F.round(F.sum("v"), 2).alias("total"))
-
-
 @query("e01_model_agreement", """SELECT ticker, date, horizon, ROUND(CASE WHEN expected_annual_return <> 0 THEN ((sign(lgbm_return) = sign(expected_annual_return))::INTEGER + (sign(rf_return) = sign(expected_annual_return))::INTEGER
  + (sign(ridge_return) = sign(expected_annual_return))::INTEGER) / 3.0::DOUBLE END, 6) AS model_agreement FROM preds""")
 def e01(t):
@@ -212,14 +208,56 @@ def e16(t):
 # ---- datasets ----------------------------------------------------------------------------------------
 
 
-@query("f23_training_dataset")
+#: Decimals a family's own query compares; the others compare six.
+DIGITS = dict.fromkeys(ev.INSIDER_COLS, 9) | dict.fromkeys(ev.SHORT_COLS, 12) | dict.fromkeys(mk.SUPPLY_COLS, 5) | dict.fromkeys([*ma.GOV_TICKER_COLS, "gov_ai_spend_30d"], 2)
+
+
+def compared(df, cols):
+    """Every feature of every row, each rounded as its family's query rounds it."""
+    kinds = dict(df.dtypes)
+    return df.select(*KEYS, *[F.round(x, DIGITS.get(x, 6)).alias(x) if kinds[x] == "double" else c(x) for x in cols])
+
+
+def _matrix_sql(spine: str, label: str = "") -> str:
+    """The whole matrix in SQL: the families' own statements joined on one spine, with the null policy of the assembly."""
+    entity = r"'NATION_' || regexp_extract(ticker, '(\d+)', 1)"
+    renamed = lambda view: f"(SELECT * REPLACE ({entity} AS ticker) FROM {view})"
+    keyed = [("f03_fundamentals", FUNDAMENTAL_COLS), ("f04_insider", ev.INSIDER_COLS), ("f07_short_interest", ev.SHORT_COLS), ("f08_earnings", fl.EARNINGS_COLS),
+             ("f09_graph", mk.GRAPH_COLS + mk.DEAL_COLS), ("f12_supply_chain", mk.SUPPLY_COLS), ("f13_fx", mk.FX_COLS)]
+    zeroed = [("f11_energy_geo", ma.ENERGY_COLS), ("f16_gov_ticker", ma.GOV_TICKER_COLS), ("f17_patents", ma.PATENT_COLS)]
+    by_day = [("f20_physical_ai", ma.PHYSICAL_COLS), ("f21_ai_economics", fl.AI_ECONOMICS_COLS)]
+    by_day_zeroed = [("f14_cyber", ma.CYBER_COLS), ("f16_gov_market", ma.GOV_MARKET_COLS), ("f18_labor", ma.LABOR_COLS), ("f19_trade", ma.TRADE_COLS)]
+    special = {
+        "f11_energy_geo": ORACLE["f11_energy_geo"].replace("('NATION_1', 'NATION_2', 'NATION_12')", "('NATION_1', 'NATION_2')"),
+        "f18_labor": ORACLE["f18_labor"].replace("SELECT day AS date FROM ev UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem", "SELECT date FROM px")}
+    owned = q_features._OWN.replace("FROM hold", f"FROM {renamed('hold')}").replace("LEFT JOIN shares", f"LEFT JOIN {renamed('shares')}")
+    owned = f"WITH {owned} SELECT b.ticker, b.date, own.* EXCLUDE (ticker, quarter, period_end) FROM (SELECT ticker, date FROM px) b ASOF LEFT JOIN own ON b.ticker = own.ticker AND b.date >= own.period_end"
+    options = ORACLE["f15_options"]
+    options = options[options.index("ex AS (SELECT DISTINCT"):].replace("FROM options", f"FROM {renamed('options')}").replace("FROM bpx", "FROM px")
+    parts, cols = [], []
+
+    def add(name, sql, names, on, zero):
+        parts.append(f"LEFT JOIN ({sql}) {name} USING ({on})")
+        cols.extend(f"CAST(COALESCE({name}.{x}, 0) AS DOUBLE) AS {x}" if zero else f"{name}.{x}" for x in names)
+
+    for on, group, zero in (("ticker, date", keyed, False), ("ticker, date", zeroed, True), ("date", by_day, False), ("date", by_day_zeroed, True)):
+        for name, names in group:
+            add(name, special.get(name, ORACLE[name]), names, on, zero)
+    add("f10_ownership", owned, fl.OWNERSHIP_COLS, "ticker, date", False)
+    add("f15_options", "WITH " + options, mk.OPTION_COLS, "ticker, date", True)
+    prices = ", ".join(f"ROUND(pf.{x}, 6) AS {x}" for x in PRICE_COLS)
+    news = ", ".join("CAST(0 AS BIGINT) AS article_count_7d" if x == "article_count_7d" else f"NULL::DOUBLE AS {x}" for x in ev.SENTIMENT_COLS)  # the news is years younger than the prices
+    return f"SELECT pf.ticker, pf.date, {prices}, {news}, {', '.join(cols)}{label} FROM pf {spine} " + " ".join(parts)
+
+
+@query("f23_training_dataset", _matrix_sql(f"JOIN ({ORACLE['f22_label_1y']}) f22 USING (ticker, date)", ", f22.label_return_1y"))
 def f23(t):
-    return profile(ds.training_dataset(sources(t)), [*ds.FEATURES, "label_return_1y"])
+    return compared(ds.training_dataset(sources(t)), [*ds.FEATURES, "label_return_1y"])
 
 
-@query("f24_inference_matrix")
+@query("f24_inference_matrix", f"SELECT * FROM ({_matrix_sql('')}) WHERE date = DATE '1999-06-15'")
 def f24(t):
-    return profile(ds.inference_matrix(sources(t), "1999-06-15"), ds.FEATURES)
+    return compared(ds.inference_matrix(sources(t), "1999-06-15"), ds.FEATURES)
 
 
 @query("p24_tier_columns", """WITH l AS (SELECT ticker, date, LEAD(close_price, 5) OVER (PARTITION BY ticker ORDER BY date) / NULLIF(close_price, 0) - 1 AS y FROM px)
