@@ -277,7 +277,7 @@ def p24(t):
 def m01(t):
     from tidespine.plans.price import price_features
 
-    f = price_features(t.px).select(*KEYS, "return_1d", "return_5d", "return_20d")
+    f = price_features(t.stored("px")).select(*KEYS, "return_1d", "return_5d", "return_20d")
     return rounded(ml.impute(f, ml.medians(f, ["return_1d", "return_5d", "return_20d"])), 9)
 
 

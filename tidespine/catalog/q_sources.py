@@ -18,6 +18,13 @@ def text(x):
     return (c(x) if isinstance(x, str) else x).cast("string")
 
 
+def landed(t, df, label):
+    """Payloads as a feed leaves them, in a folder of several files: extraction jobs start from there."""
+    path = scratch_path(t.spark, label)
+    df.repartition(16).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 # ---- scans -----------------------------------------------------------------------------------------
 
 
@@ -138,7 +145,7 @@ def s10(t):
         F.when(n == 7, "many").otherwise(text("l_quantity")), lit("</value></transactionShares><transactionPricePerShare><value>"), text("l_extendedprice"),
         lit("</value></transactionPricePerShare></transactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"))
     docs = t.li.select("ticker", F.date_add("day", 2).alias("filed_date"), xml.alias("xml"))
-    return rounded(sf.insider_transactions(docs), 4)
+    return rounded(sf.insider_transactions(landed(t, docs, "ownership")), 4)
 
 
 _LETTERS = "translate(c_nationkey::VARCHAR, '0123456789', 'ABCDEFGHIJ')"
@@ -161,7 +168,7 @@ def s11(t):
     body = F.concat(lit("Filing\n"), first, lit("\n"), first, lit("\n\n\n\n"), wrapped, lit("\nno trade (N"), letters, lit(")"))
     docs = o.select(c("o_orderkey").alias("doc_id"), c("c_name").alias("politician_name"), body.alias("text"))
     watch = o.where("c_nationkey < 20").select(F.explode(F.array(F.concat(lit("N"), letters), F.concat(lit("M"), letters))).alias("ticker")).distinct()
-    return sf.disclosure_trades(docs, watch)
+    return sf.disclosure_trades(landed(t, docs, "disclosures"), watch)
 
 
 @query("s12_fact_json", """SELECT ticker, day AS "start", day + 90 AS "end", o_totalprice AS val, day + 120 AS filed, CASE o_orderstatus WHEN 'F' THEN '10-K' ELSE '10-Q' END AS form, 'a' || o_orderkey::VARCHAR AS accn

@@ -96,13 +96,11 @@ def match_names(raw_names: DataFrame, targets: DataFrame, cutoff: float = CUTOFF
 GRAM_LENGTHS = (8, 4, 2, 1)
 
 
-def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str], whole_words: bool = False) -> DataFrame:
+def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
     """(keys, pattern) for every pattern that occurs anywhere in the text, for dictionaries of any size.
 
     A pattern is looked up by its head: its first 8, 4, 2 or 1 characters, as many as it has, so a short pattern does not shorten the heads of
-    long ones. The distinct grams of a text meet the heads in an equi-join and only keys and patterns go on; the text is
-    joined once to its candidates and they are verified inside the row. ``whole_words`` asks for word boundaries at both ends. Empty and null
-    patterns match nothing. The only values on the driver are the head lengths in use, at most four.
+    long ones. Empty and null patterns match nothing. The only values on the driver are the head lengths in use, at most four.
     """
     size, head = F.length(pattern), F.lit(None).cast("int")
     for q in reversed(GRAM_LENGTHS):
@@ -111,14 +109,28 @@ def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: st
     in_use = sorted(r["_q"] for r in heads.select("_q").distinct().collect())
     # A zero-width lookahead captures the q characters at every position in one linear pass.
     grams = [F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), 1)) for q in in_use]
-    rows = texts.select(*keys, F.explode(F.concat(F.array().cast("array<string>"), *grams)).alias("_g"))
-    hits = rows.join(heads.withColumn("_g", F.substring(F.col(pattern), F.lit(1), F.col("_q"))), "_g")
+    heads = heads.withColumn("_g", F.substring(F.col(pattern), F.lit(1), F.col("_q")))
+    return _verified(texts, heads, F.concat(F.array().cast("array<string>"), *grams), text, pattern, keys, lambda p: F.contains(F.col(text), p))
+
+
+def word_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
+    """(keys, pattern) for every pattern that occurs in the text with word boundaries at both ends.
+
+    A pattern is looked up by its first word, which must be a whole word of such a text; one without any word is tried on every text.
+    """
+    heads = patterns.select(pattern).where(F.length(pattern) > 0).distinct().withColumn("_g", F.regexp_extract(pattern, r"(?U)\w+", 0))
+    words = F.array_distinct(F.concat(F.split(text, r"(?U)\W+"), F.array(F.lit(""))))
+    quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    return _verified(texts, heads, words, text, pattern, keys, lambda p: F.contains(F.col(text), p) & F.regexp_like(F.col(text), quoted(p)))
+
+
+def _verified(texts: DataFrame, heads: DataFrame, parts: Column, text: str, pattern: str, keys: list[str], holds) -> DataFrame:
+    """Texts' parts meet the patterns' heads in an equi-join from which only keys and patterns go on; each text, dealt by its keys
+    once for both uses, then meets its candidates, and they are verified inside the row."""
+    placed = texts.select(*keys, text).repartition(*keys)
+    hits = placed.select(*keys, F.explode(parts).alias("_g")).join(heads.select(pattern, "_g"), "_g")
     hits = hits.groupBy(*keys).agg(F.collect_set(pattern).alias("_p"))  # at most the patterns whose heads a text has
-    found = F.filter("_p", lambda p: F.contains(F.col(text), p))
-    if whole_words:
-        quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-        found = F.filter(found, lambda p: F.regexp_like(F.col(text), quoted(p)))
-    return texts.select(*keys, text).join(hits, keys).select(*keys, F.explode(found).alias(pattern))
+    return placed.join(hits, keys).select(*keys, F.explode(F.filter("_p", holds)).alias(pattern))
 
 
 def tag_entities(df: DataFrame, text: Column, aliases: DataFrame, out: str = "tags") -> DataFrame:
@@ -129,7 +141,7 @@ def tag_entities(df: DataFrame, text: Column, aliases: DataFrame, out: str = "ta
     """
     keyed = df.withColumn("_low", F.lower(text)).withColumn("_key", F.sha2("_low", 256))
     names = aliases.select("entity", F.lower("alias").alias("_alias")).distinct()
-    hits = contains_pairs(keyed.where("_key is not null"), names, "_low", "_alias", ["_key"], whole_words=True)
+    hits = word_pairs(keyed.where("_key is not null"), names, "_low", "_alias", ["_key"])
     tags = hits.join(names, "_alias").groupBy("_key").agg(F.array_sort(F.collect_set("entity")).alias(out))
     return keyed.drop("_low", out).join(tags, "_key", "left").drop("_key").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
