@@ -263,6 +263,9 @@ def test_top_k(spark, sizes):
             want += [(q, rank, c, -s) for rank, (s, c) in enumerate(scored, 1)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
+    bare = topk.top_k(df.where("size(embedding) = 0 or vec_id = 500"), F.col("id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, bare)) == [(500, 1, 550, 0), (550, 1, 500, 0)]
+    assert topk.top_k(df.where("vec_id = 550"), F.col("id") % 50 == 0).count() == 0
 
 
 def test_toxicity_learns_stems(spark):

@@ -30,7 +30,7 @@ def in_batches(rows: DataFrame, name: str, size: int) -> DataFrame:
         ids, xs = [], []
 
         def close() -> pa.RecordBatch:
-            width = max(len(x) for x in xs)
+            width = max(1, *(len(x) for x in xs))
             data = np.zeros((len(xs), width), np.int64)  # a vector that ends early has zeros there
             for k, x in enumerate(xs):
                 data[k, :len(x)] = x
