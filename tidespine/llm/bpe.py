@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from tidespine.llm.common import slices
+from tidespine.llm.common import ship, slices
 from tidespine.llm.vocab import ChunkCache, read_definition
 
 NEVER = 1 << 60
@@ -151,6 +151,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
     whole. Other columns pass through; one named like a result is replaced by it. ``path`` names a vocabulary file
     that the driver reads and broadcasts (a few MB, whatever the table's size).
     """
+    ship(docs.sparkSession)
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
     kept = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])

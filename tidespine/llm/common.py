@@ -1,11 +1,16 @@
 """Helpers the text operators share: durable intermediate tables, word splitting, column checks."""
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import tidespine
 from tidespine.session import scratch_path
 
 #: The characters that belong to a word, and the ASCII characters that part words.
@@ -33,6 +38,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python once a session, whatever their path is. The archive is read by the driver alone."""
+    app, root = spark.sparkContext.applicationId, Path(tidespine.__file__).parent
+    if app in _shipped or not root.is_dir():
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for f in sorted(root.rglob("*.py")):
+            archive.write(f, f.relative_to(root.parent))
+    target = Path(tempfile.mkdtemp()) / "tidespine.zip"
+    target.write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds few rows and, unless one text is longer, at most ``size`` bytes of text."""
     for batch in batches:

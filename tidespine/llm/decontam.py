@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidespine.llm.common import slices, words_of
+from tidespine.llm.common import ship, slices, words_of
 
 
 class TestSuffixes:
@@ -124,6 +124,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     that pass through (all by default); one named like a result is replaced by it. Test text is broadcast one block of bounded size at a time; each block is a
     further step of the same pass, so a benchmark of any size is searched whole.
     """
+    ship(docs.sparkSession)
     results = ["n_words", "spans", "items"]
     kept = [f for f in docs.schema.fields if f.name in (docs.columns if keep is None else keep) and f.name not in results]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))

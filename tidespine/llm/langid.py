@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidespine.llm.common import slices, stored
+from tidespine.llm.common import ship, slices, stored
 
 #: Symbols: 0 stands before a text's start, a byte is its value plus one. A context is a number of 9 bits a symbol, oldest first.
 START, WIDTH = 0, 9
@@ -116,6 +116,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", id_col: str
     About ``per_label`` documents of each label are drawn by the hash of their ids (all if there are fewer), so the sample is bounded by the number
     of labels. Executors count; the driver gets the kept contexts' counts, bounded by ``contexts``.
     """
+    ship(docs.sparkSession)
     rows = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.select(F.col(label).cast("string").alias("label"), F.xxhash64(F.lit("langid"), id_col).alias("draw"), F.col(text).alias("text"))
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
     names = [f.name for f in kept]
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = names + [text] * (text not in names)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters")

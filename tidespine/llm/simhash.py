@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidespine.llm.common import slices, stored
+from tidespine.llm.common import ship, slices, stored
 from tidespine.llm.components import connected_components
 
 RADIUS = 4
@@ -39,6 +39,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Columns ``keep`` of ``docs`` and each text's fingerprint as a long (the 64 bits, signed). One pass, no shuffle."""
+    ship(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name in keep and f.name != name]
     names = [f.name for f in kept]
     carried = names + [text] * (text not in names)
@@ -179,6 +180,7 @@ def near_links(prints: DataFrame, name: str = "fingerprint", radius: int = RADIU
     ``shard_size`` distinct fingerprints or fewer are one shard; more are dealt by a tree from about ``sample_size`` of them, the only
     fingerprints the driver sees. Every fingerprint is at home in one shard, none is capped, and a shard's memory is its fingerprints'.
     """
+    ship(prints.sparkSession)
     spark = prints.sparkSession
     distinct = stored(prints.select(F.col(name).alias("f")).where(F.col("f").isNotNull()).distinct(), "fingerprints")
     total = distinct.count()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidespine.llm.common import slices
+from tidespine.llm.common import ship, slices
 from tidespine.llm.vocab import ChunkCache, read_definition
 
 #: Fixed values of the coding: values in a word, by selector; 120 values of no bits are zeros.
@@ -122,6 +122,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int, b
     with the document that takes it to ``block_ids`` ids, so it holds whole documents of any length. An empty table gives no blocks.
     Rows are dealt into ranges of (doc_id, hash of text): a task holds one range, streamed in sorted order.
     """
+    ship(docs.sparkSession)
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(vocabulary))
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -161,6 +162,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     Starts come from one total per part (as many rows as parts, hence the broadcast) and the counts in the blocks; nothing is sorted.
     """
+    ship(spark)
     blocks = spark.read.schema(BLOCK).parquet(path)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidespine.llm.common import stored
+from tidespine.llm.common import ship, stored
 
 VECTORS = "{0}_ids array<long>, {0}_width int, {0}_data binary"
 
@@ -91,6 +91,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     Candidates are ordered by the signs of their leading components, so that a block's vectors lean the same way, and cut into ranges; each batch of queries meets each
     range once, in its own task row of bounded size. A range returns k rows for a query, and the last step ranks those.
     """
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     rows = stored(quantised(vectors, scale, id_col, vector), "vectors")
     lean = F.aggregate(F.slice("x", 1, 30), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x >= 0, 1).otherwise(0))

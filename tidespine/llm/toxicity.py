@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidespine.llm.common import slices, stored, words_of
+from tidespine.llm.common import ship, slices, stored, words_of
 
 
 @dataclass(frozen=True)
@@ -109,6 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setti
 
     A label counts once an id, 1 before 0; null labels and ids are not labels. Texts that repeat in a sample count once. Nulls are empty texts.
     """
+    ship(docs.sparkSession)
     if learn is not None:
         docs, labels = docs.where(learn), labels.where(learn)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
@@ -163,6 +164,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
     names = [f.name for f in kept]
     if model is None:
         return docs.select(*names, F.lit(0.0).alias(name))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = names + [text] * (text not in names)
 
