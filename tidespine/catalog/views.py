@@ -294,8 +294,8 @@ class Tables:
 
     @cached_property
     def exposure(self):
-        """Exposure by customer segment for entities with rich customers; the others use the default."""
-        c = self.raw("customer").where(F.col("c_acctbal") > 9900).join(self.nat, F.col("c_nationkey") == F.col("n_nationkey"))
+        """Exposure by customer segment; entities whose name ends in 5 report none and use the default."""
+        c = self.raw("customer").join(self.nat.where("ticker not like '%5'"), F.col("c_nationkey") == F.col("n_nationkey"))
         return c.groupBy("ticker", case_col(F.col("c_mktsegment"), REGION_OF_SEGMENT, "other").alias("region")).agg(
             F.count(F.lit(1)).cast("double").alias("weight"))
 
@@ -486,7 +486,7 @@ SQL_VIEWS: dict[str, str] = {
               ROUND(CAST(SUM(CAST(o_totalprice AS {_D})) AS DOUBLE) / COUNT(*) / 6e2, 6) AS carbon_intensity_gco2_per_kwh
               FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "exposure": f"""SELECT ticker, {case_sql('c_mktsegment', REGION_OF_SEGMENT, "'other'")} AS region, CAST(COUNT(*) AS DOUBLE) AS weight
-              FROM customer JOIN nat ON c_nationkey = n_nationkey WHERE c_acctbal > 9900 GROUP BY 1, 2""",
+              FROM customer JOIN nat ON c_nationkey = n_nationkey WHERE ticker NOT LIKE '%5' GROUP BY 1, 2""",
     "currencies": "SELECT ticker, CASE WHEN layer = 'AFRICA' THEN 'USD' ELSE layer END AS currency, layer AS pair FROM nat",
     "rates": "SELECT layer AS pair, day AS date, 1.0::DOUBLE + COUNT(*)::DOUBLE / 10.0 AS rate FROM ord GROUP BY 1, 2",
     "options": f"""SELECT p_brand AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,

@@ -2,8 +2,8 @@
 
 Both sides are reduced to one row per (key, time), unioned, and the latest right payload is carried
 forward by a running window: one shuffle, no row blow-up. Reducing first keeps a hot key small (a day
-resolution key has at most one row per calendar day). For timestamps, ``bucket`` additionally splits a
-key into time buckets; the last payload of earlier buckets is carried into each bucket as a seed row,
+resolution key has at most one row per calendar day). Timestamps are always split into time buckets, an hour long unless
+``bucket_seconds`` says otherwise; the last payload of earlier buckets is carried into each bucket as a seed row,
 so the result stays exact while no task sees more than one bucket of one key.
 """
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Bucket of a timestamp axis where the caller names none.
+BUCKET_SECONDS = 3600
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None,
               by: Sequence[str] = (), tolerance_days: int | None = None, lag_days: int = 0,
@@ -27,6 +30,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None =
     """
     by = list(by)
     right_on = right_on or on
+    if bucket_seconds is None and "timestamp" in left.schema[on].dataType.typeName():
+        bucket_seconds = BUCKET_SECONDS  # a day bounds a key's rows by the calendar, a timestamp by nothing
     cols = [c for c in (cols or right.columns) if c not in by and c != right_on]
     right = right.where(F.col(right_on).isNotNull())
     visible = F.date_add(F.col(right_on), lag_days) if lag_days else F.col(right_on)
