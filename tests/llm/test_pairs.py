@@ -35,7 +35,7 @@ def test_fingerprints_and_components(spark):
         if i is not None:
             small[comp[want[t]]] = min(i, small.get(comp[want[t]], i))
     expected = sorted((i if i is not None else -1, f"{want[t]:016x}", small.get(comp[want[t]], -1)) for i, t in rows)
-    for sizes in ({}, {"shard_size": 20, "sample_size": 60}):
+    for sizes in ({}, {"shard_size": 20, "sample_size": 60}, {"shard_size": 20, "sample_size": 60, "query_size": 5}):
         got = simhash.with_component(prints, "doc_id", **sizes).select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("f"), "component_id").collect()
         assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == expected
     assert len(small) < len(set(want.values())) - 5

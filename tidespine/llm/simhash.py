@@ -174,11 +174,13 @@ def forest(queries: np.ndarray, points: np.ndarray, near: np.ndarray) -> np.ndar
     return np.concatenate([np.stack([queries, points[of_query]], 1), np.stack([points[moved], points[label[moved]]], 1)])
 
 
-def near_links(prints: DataFrame, name: str = "fingerprint", radius: int = RADIUS, shard_size: int = 1 << 15, sample_size: int = 1 << 13) -> DataFrame:
+def near_links(prints: DataFrame, name: str = "fingerprint", radius: int = RADIUS, shard_size: int = 1 << 15, sample_size: int = 1 << 13,
+               query_size: int = 1 << 20) -> DataFrame:
     """(a, b): links between distinct values of ``prints[name]`` that connect exactly what pairs within ``radius`` bits connect.
 
     ``shard_size`` distinct fingerprints or fewer are one shard; more are dealt by a tree from about ``sample_size`` of them, the only
-    fingerprints the driver sees. Every fingerprint is at home in one shard, none is capped, and a shard's memory is its fingerprints'.
+    fingerprints the driver sees. Every fingerprint is at home in one shard and none is capped: a shard with more than ``query_size`` queries is
+    split, each part holding the shard's own fingerprints and a share of the queries, so a task's memory is bounded.
     """
     ship(prints.sparkSession)
     spark = prints.sparkSession
@@ -200,12 +202,15 @@ def near_links(prints: DataFrame, name: str = "fingerprint", radius: int = RADIU
         linker = Linker(radius)
         here, home = shard["f"].to_numpy().view(np.uint64), shard["home"].to_numpy()
         points, queries = np.sort(here[home]), np.sort(here[~home])
-        linker.among(points)
+        if shard["salt"].iloc[0] == 0:  # pairs at home are compared in one part only
+            linker.among(points)
         linker.between(queries, points)
         return pd.DataFrame(linker.links().view(np.int64), columns=["a", "b"])
 
-    dealt = distinct.mapInArrow(deal, "shard int, f long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(link, "a long, b long")
+    dealt = stored(distinct.mapInArrow(deal, "shard int, f long, home boolean"), "dealt")
+    parts = dealt.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("home")) / query_size)).alias("parts"))
+    salt = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("f"), "parts")))
+    return dealt.join(parts, "shard").withColumn("salt", F.explode(salt)).groupBy("shard", "salt").applyInPandas(link, "a long, b long")
 
 
 def near_components(prints: DataFrame, name: str = "fingerprint", radius: int = RADIUS, **sizes: int) -> DataFrame:
