@@ -1,3 +1,4 @@
+import datetime as dt
 import difflib
 import random
 import re
@@ -126,3 +127,31 @@ def test_alias_tagger_matches_regex_search(spark):
     for i, s in enumerate(texts):
         want = sorted(k for k, names in aliases.items() if re.search("|".join(rf"\b{re.escape(n)}\b" for n in names), s, re.IGNORECASE))
         assert out[i]["tags"] == want
+
+
+# Fixed values worked out by hand: two partners, a third one two hops from a hub.
+LINKS = [("NVDA", "TSM", 1.0), ("NVDA", "ENTG", 0.5)]
+
+
+def test_partner_momentum_is_the_weighted_mean(spark):
+    prices = spark.createDataFrame([("TSM", dt.date(2023, 12, 15), 100.0), ("TSM", dt.date(2024, 1, 14), 120.0),
+                                    ("ENTG", dt.date(2023, 12, 15), 50.0), ("ENTG", dt.date(2024, 1, 14), 45.0), ("NVDA", dt.date(2024, 1, 14), 500.0)],
+                                   "ticker string, date date, close_price double")
+    spine = spark.createDataFrame([("NVDA", dt.date(2024, 1, 14)), ("LONE", dt.date(2024, 1, 14))], "ticker string, date date")
+    out = by_key(partner_momentum(spine, prices, both_ways(spark, LINKS)), "ticker")
+    assert out["NVDA"]["graph_partner_momentum_30d"] == pytest.approx((1.0 * 0.20 + 0.5 * -0.10) / 1.5) and "LONE" not in out
+    bare = spark.createDataFrame([], EDGES)
+    assert partner_momentum(spine, prices, bare).count() == 0
+
+
+def test_proximity_to_a_hub(spark):
+    edges = both_ways(spark, [("MSFT", "NVDA", 1.0), ("NVDA", "TSM", 0.9), ("FCX", "SCCO", 0.5)])
+    nodes = spark.createDataFrame([(t,) for t in ("MSFT", "NVDA", "TSM", "FCX")], "ticker string")
+    out = by_key(hops_to_set(nodes, edges, ["MSFT"]).withColumn("p", proximity("hops")), "ticker")
+    assert [out[t]["p"] for t in ("MSFT", "NVDA", "TSM", "FCX")] == [1.0, 0.5, pytest.approx(1 / 3), 0.0]
+
+
+def test_partner_deals_leave_out_own_deals(spark):
+    deals = spark.createDataFrame([("NVDA", "TSM", dt.date(2024, 3, 15)), ("TSM", "ENTG", dt.date(2024, 3, 20))], "party_a string, party_b string, date date")
+    spine = spark.createDataFrame([("NVDA", dt.date(2024, 4, 15))], "ticker string, date date")
+    assert partner_deals(spine, deals, both_ways(spark, LINKS)).first()["graph_deal_count_90d"] == 1.0
