@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words. DataFrame functions only.
 
-Every template posts its rarest words, by the corpus's document frequencies, with their places. A file looks up its own highest-IDF licence
-words; each place of one, less the place in a template, says where that template would begin. There the template's other rare words must stand at the
+Every template posts its rarest words, by the corpus's document frequencies, with their places. A file looks up every posted word that it
+holds; each place of one, less the place in a template, says where that template would begin. There the template's other rare words must stand at the
 same relative places, its key phrase is verified word for word, and the rest is compared. All of it happens within the row.
 """
 from __future__ import annotations
@@ -41,11 +41,10 @@ TEMPLATES = [
 
 @dataclass(frozen=True)
 class Settings:
-    """``indexed``: rare words posted for a template; ``looked_up``: rarest licence words a file looks up, all of their places;
+    """``indexed``: rare words posted for a template, all of their places in a file looked up;
     ``aligned``: words of a template that must stand in their places (its rare words, or all if it has fewer); ``least_share``: least idf share of the template."""
 
     indexed: int = 4
-    looked_up: int = 16
     aligned: int = 2
     least_share: float = 0.5
 
@@ -89,10 +88,10 @@ def scan(docs: DataFrame, idf: dict[str, float], phrases: list[tuple[str, str]]
         at = next(i for i in range(len(words)) if words[i:i + len(key_words)] == key_words)
         rare = sorted(dict.fromkeys(words), key=lambda w: (-idf[w], w))[:settings.indexed]
         known.append((label, words, at, len(key_words), rare))
-    index = sorted({w for *_, rare in known for w in rare}, key=lambda w: (-idf[w], w))
+    index = sorted({w for _, words, at, n, rare in known for w in [*rare, *words[at:at + n]]}, key=lambda w: (-idf[w], w))
 
-    def begins(ws: Column, rare: Column, k: int) -> Column:
-        """Places where template ``k`` is verified to begin, from each place of its rarest posted word that the file looks up."""
+    def begins(ws: Column, k: int) -> Column:
+        """Places where template ``k`` is verified to begin, from each place of each of its posted words."""
         label, words, key_at, key_n, posted = known[k]
         anchors = [(words.index(w), w) for w in posted]
         share = sum(idf[w] for w in words)
@@ -109,7 +108,7 @@ def scan(docs: DataFrame, idf: dict[str, float], phrases: list[tuple[str, str]]
         def weight(at: Column) -> Column:
             return F.least(F.lit(1.0), sum((F.when(F.get(ws, at + p) == w, idf[w]).otherwise(0.0) for p, w in enumerate(words)), F.lit(0.0)) / share)
 
-        hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: F.array_contains(rare, h["w"]))
+        hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(posted))
         votes = F.flatten(F.transform(hits, lambda h: F.filter(F.array(*[F.when(h["w"] == w, h["i"] - p) for p, w in anchors]), lambda at: at.isNotNull())))
         need = min(settings.aligned, len(anchors))
         # a template may begin before the file does, but its key phrase may not
@@ -119,11 +118,20 @@ def scan(docs: DataFrame, idf: dict[str, float], phrases: list[tuple[str, str]]
     found_type = "array<struct<at:int,label:string,share:double>>"
 
     def look(ws: Column) -> Column:
-        rare = F.slice(F.array_intersect(strings(index), ws), 1, settings.looked_up)  # in order of the index: rarest first
+        held = F.array_intersect(strings(index), ws)  # in order of the index: rarest first
         places = []
         for label, phrase in phrases:
             places.append(phrase_places(ws, label, split_words(phrase)))
-        found = once(rare, lambda r: F.concat(*[F.when(F.arrays_overlap(r, strings(known[k][4])), begins(ws, r, k)).otherwise(F.array().cast(found_type)).cast(found_type) for k in range(len(known))]))
+
+        def may_stand(r: Column, k: int) -> Column:
+            """A posted word is there, and all of the key phrase's words, which verification asks for."""
+            _, words, at, n, posted = known[k]
+            out = F.arrays_overlap(r, strings(posted))
+            for w in dict.fromkeys(words[at:at + n]):
+                out = out & F.array_contains(r, w)
+            return out
+
+        found = once(held, lambda r: F.concat(*[F.when(may_stand(r, k), begins(ws, k)).otherwise(F.array().cast(found_type)).cast(found_type) for k in range(len(known))]))
         return F.struct(F.size(ws).cast("long").alias("n_words"), F.concat(*places).alias("places"), found.alias("found"))
 
     return docs.withColumn("licences", once(words_column(F.col(text)), look))
