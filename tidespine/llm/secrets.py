@@ -98,16 +98,29 @@ def model_column(model: list[float]) -> Column:
     return F.split(F.lit(" ".join(map(repr, model))), " ").cast("array<double>")
 
 
+def outside(token: Column, spans: Column) -> Column:
+    """The parts of ``token`` (start, end, value) that no span covers, as such structs; spans in order of start."""
+    def part(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), end.alias("end"), F.substring(token["value"], start - token["start"] + 1, F.greatest(end - start, F.lit(0))).alias("value")))
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], s["start"])).alias("parts"))
+
+    zero = F.struct(token["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("parts"))
+    over = F.filter(spans, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
+    return F.aggregate(over, zero, step, lambda acc: F.filter(F.concat(acc["parts"], part(acc["at"], token["end"])), lambda p: p["start"] < p["end"]))
+
+
 def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "base", spans: str = "spans", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end), code points with the end exclusive, in order of start, then kind.
 
-    ``base`` are the base patterns' finds, ``spans`` those and the tokens of ``least_length`` letters or more whose ratio reaches ``least_ratio``, unless a base
-    span overlaps them. Whole texts, null as empty; a row depends on its text alone, without a shuffle; columns named like a result are replaced.
+    ``base`` are the base patterns' finds, ``spans`` those and the tokens, or the parts of tokens outside base spans, of ``least_length`` letters or more whose
+    ratio reaches ``least_ratio``. Whole texts, null as empty; a row depends on its text alone, without a shuffle; columns named like a result are replaced.
     """
     whole, llr = F.coalesce(F.col(text), F.lit("")), model_column(model)
     tokens = matches(whole, rf"[A-Za-z0-9+/_=-]{{{settings.least_length},}}")
     with_base = docs.withColumn(base, base_spans(whole)).withColumn("__tokens", tokens)
-    more = F.filter("__tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (ratio(t["value"], llr) >= settings.least_ratio))
+    more = F.filter(F.flatten(F.transform("__tokens", lambda t: outside(t, F.col(base)))), lambda t: (F.length(t["value"]) >= settings.least_length) & (ratio(t["value"], llr) >= settings.least_ratio))
     added = F.transform(more, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("kind"), t["end"].alias("end"))).cast(SPAN)
     return with_base.withColumn(spans, F.array_sort(F.concat(F.col(base), added))).drop("__tokens")
 
