@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidespine.llm import bpe, decontam, langid, licenses, secrets, sharding, simhash, token_file, topk, toxicity
+from tidespine.llm import bpe, decontam, langid, licenses, secrets, sharding, simhash, token_counts, token_file, topk, toxicity
 from tidespine.llm.common import stored
 from tidespine.session import scratch_path
 
@@ -124,3 +124,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out)
     got = toxicity.score(docs, model, keep=["doc_id"])
     return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    got = token_counts.count_tokens(docs, scratch_path(spark, "token-counts"), vocabulary("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
