@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidespine.llm import bpe, decontam, langid, licenses, secrets, sharding, simhash, token_counts, token_file, topk, toxicity
+from tidespine.llm import bpe, conversation, decontam, langid, licenses, secrets, sharding, simhash, token_counts, token_file, topk, toxicity
 from tidespine.llm.common import stored
 from tidespine.session import scratch_path
 
@@ -131,3 +131,13 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     got = token_counts.count_tokens(docs, scratch_path(spark, "token-counts"), vocabulary("piece_bpe_32k.model"))
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    messages, found = conversation.repair(conversation.damaged(rows))
+    every = rows.select("conv_id").distinct()
+    got = conversation.figures(every, found, conversation.digests(messages).withColumnRenamed("sha256", "repaired_sha256"))
+    zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
