@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidespine.llm import bpe, conversation, decontam, langid, licenses, secrets, sharding, simhash, token_counts, token_file, topk, toxicity
+from tidespine.llm import bpe, conversation, decontam, langid, licenses, periodic, secrets, sharding, simhash, token_counts, token_file, topk, toxicity
 from tidespine.llm.common import stored
 from tidespine.session import scratch_path
 
@@ -141,3 +141,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = conversation.figures(every, found, conversation.digests(messages).withColumnRenamed("sha256", "repaired_sha256"))
     zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return got.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.find_runs(periodic.with_repetition(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    got = got.withColumn("best", periodic.greatest(F.col("runs")))
+    return got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                      F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
