@@ -115,7 +115,8 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str, text: str = "text
     if "__digest" in docs.columns:
         raise ValueError("a column is named __digest")
     tokenizer = fill_cache(docs, cache, vocabulary, text)
-    known = cached_counts(docs.sparkSession, cache, tokenizer).withColumnRenamed("digest", "__digest")
+    # stored: a join splits a hot digest's rows only where nothing is aggregated between it and the shuffle
+    known = stored(cached_counts(docs.sparkSession, cache, tokenizer).withColumnRenamed("digest", "__digest"), "known-counts")
     keep = [c for c in docs.columns if c != n_tokens]
     rows = docs.select(*keep, content_digest(F.col(text)).alias("__digest"))
     return rows.join(known, "__digest", "left").select(*(rows[c] for c in keep), known["n_tokens"].alias(n_tokens))
