@@ -8,7 +8,7 @@ therefore holds the encodings of all its prefixes, and the back-pointers of the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from tidespine.llm.common import ship, slices
-from tidespine.llm.vocab import ChunkCache, read_definition
+from tidespine.llm.vocab import ChunkEncoder, read_definition
 
 NEVER = 1 << 60
 #: Added to a letter's code point where it ends a word: another unit of the alphabet.
@@ -115,26 +115,24 @@ class PrefixEncoder:
         return ids[::-1]
 
 
-_ready: dict[int, tuple[ChunkCache, pa.Array]] = {}
+_ready: dict[int, tuple[ChunkEncoder, pa.Array]] = {}
 
 
-def _codec(text: str) -> tuple[ChunkCache, pa.Array]:
+def _codec(text: str) -> tuple[ChunkEncoder, pa.Array]:
     """Encoder and token table of a definition, built once for a Python worker."""
     key = hash(text)
     if key not in _ready:
         d = json.loads(text)
         by_id = {i: t for t, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d["added_tokens"]}
         _ready.clear()
-        _ready[key] = ChunkCache(text, PrefixEncoder(d).word), pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
+        _ready[key] = ChunkEncoder(text, PrefixEncoder(d).word), pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
     return _ready[key]
 
 
-def encode_texts(texts: Iterable[str | None], definition: str) -> pa.ListArray:
+def encode_texts(texts: pa.Array, definition: str) -> pa.ListArray:
     """Ids of each text; null encodes as the empty text."""
-    encoder = _codec(definition)[0]
-    found = [encoder.text(t) if t else b"" for t in texts]
-    ends = np.cumsum([0] + [len(f) // 4 for f in found])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+    ids, at = _codec(definition)[0].encode(texts)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
 
 
 def decode_ids(ids: pa.Array, definition: str) -> pa.Array:
@@ -159,7 +157,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            got = encode_texts(part.column(part.schema.get_field_index(text)).to_pylist(), definition.value)
+            got = encode_texts(part.column(part.schema.get_field_index(text)), definition.value)
             back = decode_ids(got, definition.value)
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), got, back], names=[*names, ids, decoded])
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidespine.llm.common import ship, slices
-from tidespine.llm.vocab import ChunkCache, read_definition
+from tidespine.llm.vocab import ChunkEncoder, read_definition
 
 #: Fixed values of the coding: values in a word, by selector; 120 values of no bits are zeros.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -96,18 +96,18 @@ def unpack_range(words: np.ndarray, escapes: np.ndarray, jumps: np.ndarray, n: i
     return unpack(words[first:last], escapes[escaped:escaped + inside], int(end - base))[lo - base:hi - base]
 
 
-_ready: dict[int, ChunkCache] = {}
+_ready: dict[int, ChunkEncoder] = {}
 
 
-def _encoder(text: str) -> ChunkCache:
-    """The library's BPE model behind the chunk cache, built once for a Python worker."""
+def _encoder(text: str) -> ChunkEncoder:
+    """The library's BPE model behind the word cache, built once for a Python worker."""
     from tokenizers import Tokenizer
 
     key = hash(text)
     if key not in _ready:
         model = Tokenizer.from_str(text).model
         _ready.clear()
-        _ready[key] = ChunkCache(text, lambda word: [t.id for t in model.tokenize(word)])
+        _ready[key] = ChunkEncoder(text, lambda word: [t.id for t in model.tokenize(word)])
     return _ready[key]
 
 
@@ -129,23 +129,23 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int, b
     names = [c.split()[0] for c in BLOCK.split(", ")]
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())),
                         ("n_ids", pa.int64()), ("n_words", pa.int64()), ("jumps", pa.list_(pa.int64())), ("data", pa.binary())])
-    last = np.uint32(end_id).tobytes()
+    last = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder = TaskContext.get().partitionId(), _encoder(definition.value)
         ids, lens, held, size, block, first = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            words, escapes, jumps = pack(np.frombuffer(b"".join(held), np.uint32))
+            words, escapes, jumps = pack(np.concatenate(held))
             row = [part, block, first, ids, lens, size, len(words), jumps.tolist(), words.astype("<u8").tobytes() + escapes.astype("<u8").tobytes()]
             return pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=schema)
 
         for piece in slices(batches):
-            for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                got = encoder.text(text) + last if text else last
+            flat, at = encoder.encode(piece.column(1))
+            for doc, a, b in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 ids.append(doc)
-                lens.append(len(got) // 4)
-                held.append(got)
+                lens.append(b - a + 1)
+                held += flat[a:b], last
                 size += lens[-1]
                 if size >= block_ids:
                     yield close()
