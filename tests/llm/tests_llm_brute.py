@@ -51,3 +51,28 @@ def brute_secrets(text):
     for k, (pattern, group, least) in enumerate([(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24)]):
         out += [(m.start(), k, m.end()) for m in re.finditer(pattern, t, re.ASCII) if len(m[group]) >= least]
     return sorted(out)
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_kept(rows):
+    """The smallest id of each component; similarity 0.8 or more of five-word shingles links, null ids come last."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        place = doc is None, doc or 0
+        least[find(i)] = min(least.get(find(i), place), place)
+    return [None if missing else doc for missing, doc in sorted(least.values())]

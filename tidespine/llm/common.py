@@ -31,13 +31,44 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Shuffle files of a finished write go at once, as nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends at files any executor can read."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    return _written(df, scratch_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of a job, dropped as soon as the job has read them for the last time."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, label))
+        return _written(df, self.paths[-1])
+
+    def drop(self) -> None:
+        """Delete what was stored so far; its DataFrames must not be read any more."""
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 _shipped: set[str] = set()
 
 
