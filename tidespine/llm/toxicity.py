@@ -20,12 +20,13 @@ from tidespine.llm.common import ship, slices, stored, words_of
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and constants of training. ``positives`` and ``unlabelled`` are the sizes aimed at; samples are drawn by hash and whole texts are used."""
+    """Bounds and constants of training. ``positives`` and ``unlabelled`` are the sizes aimed at; samples are drawn by hash and whole texts are used.
+    ``prior`` is the share of toxic text; where it is None it is the toxic share of the labelled ids, which must then be a fair sample."""
 
     positives: int = 3000
     unlabelled: int = 6000
     buckets: int = 1 << 18
-    features: int = 4096
+    prior: float | None = None
     least_z: float = 6.0
     stems: tuple[int, ...] = (3, 4, 5, 6, 7)
     steps: int = 400
@@ -71,24 +72,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(f, np.float64), -50, 50)))
 
 
-def nnpu_fit(x: np.ndarray, positive: np.ndarray, prior: float, s: Settings) -> tuple[np.ndarray, float]:
+def nnpu_fit(rows: list[list[int]], features: int, positive: np.ndarray, prior: float, s: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier with logistic loss under the non-negative risk
-    ``prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])``; where the second part is negative its gradient is turned round."""
-    xp, xu = x[positive].astype(np.float32), x[~positive].astype(np.float32)
-    theta = np.zeros(x.shape[1] + 1)
+    ``prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])``; where the second part is negative its gradient is turned round.
+    ``rows`` are the features each example has."""
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    which = np.fromiter((f for r in rows for f in r), np.int64, len(of))
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    theta = np.zeros(features + 1)
     theta[-1] = math.log(prior / (1 - prior))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
 
-    def gradient(some: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(slope.astype(np.float32) @ some, slope.sum()) / len(slope)
+    def gradient(slope: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(which, slope[of], features), slope.sum())
 
     for step in range(1, s.steps + 1):
-        weights = theta[:-1].astype(np.float32)
-        fp, fu = (xp @ weights + theta[-1]).astype(np.float64), (xu @ weights + theta[-1]).astype(np.float64)
-        up, uu = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        of_negative = gradient(xu, uu) - prior * gradient(xp, up)
-        g = -of_negative if negative < 0 else prior * gradient(xp, up - 1) + of_negative
+        f = np.bincount(of, theta[which], len(rows)) + theta[-1]
+        up = 1 / (1 + np.exp(-f))
+        negative = np.logaddexp(0, f[~positive]).mean() - prior * np.logaddexp(0, f[positive]).mean()
+        of_negative = gradient(np.where(positive, -prior * up / n_p, up / n_u))
+        g = -of_negative if negative < 0 else gradient(np.where(positive, prior * (up - 1) / n_p, 0)) + of_negative
         g[:-1] += s.decay * theta[:-1]
         mean = 0.9 * mean + 0.1 * g
         square = 0.999 * square + 0.001 * g * g
@@ -105,7 +108,8 @@ def sampled(rows: DataFrame, id_col: str, aim: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, settings: Settings = Settings()) -> Model | None:
     """Fit on documents whose ids pass ``learn`` (a condition on doc_id): positives are those with a toxic label of 1, unlabelled text is a
-    sample of all of them, labels unseen. The class prior is the toxic share of the labelled ids. None without any positive text.
+    sample of all of them, labels unseen. None without any positive text. ``settings.prior``, or the toxic share of the labelled ids in its place,
+    must lie between 0 and 1: where only confirmed examples are labelled, it has to be given.
 
     A label counts once an id, 1 before 0; null labels and ids are not labels. Texts that repeat in a sample count once. Nulls are empty texts.
     """
@@ -117,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setti
     n_known, n_toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n_toxic:
         return None
-    prior = min(0.5, max(1e-3, n_toxic / n_known))
+    prior = settings.prior if settings.prior is not None else n_toxic / n_known
+    if not 0 < prior < 1:
+        raise ValueError(f"the share of toxic text is {prior}: give Settings.prior between 0 and 1")
     toxic = sampled(known.where("toxic = 1").select("doc_id"), "doc_id", settings.positives)  # a bounded number of ids: broadcast
     positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
     unlabelled = sampled(texts, "doc_id", settings.unlabelled).select("text", F.lit(False).alias("positive"))
@@ -138,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setti
         return None
     share = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    chosen = counts.where(F.expr("bucket >= 0 and p + u >= 5") & (z >= settings.least_z)).orderBy(z.desc(), "bucket").limit(settings.features)
+    chosen = counts.where(F.expr("bucket >= 0 and p + u >= 5") & (z >= settings.least_z)).orderBy("bucket")  # as many as there are buckets at most
     place = {r.bucket: k for k, r in enumerate(chosen.select("bucket").collect())}
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setti
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(got, pa.list_(pa.int32())), pa.array([crc32(t.encode()) for t in part.column(0).to_pylist()], pa.int64())], names=["positive", "f", "tie"])
 
     rows = sample.mapInArrow(coded, "positive boolean, f array<int>, tie long").orderBy("positive", "tie", "f").collect()  # bounded by the sample and the features
-    x = np.zeros((len(rows), len(place)), np.uint8)
-    for k, r in enumerate(rows):
-        x[k, r.f] = 1
-    weights, bias = nnpu_fit(x, np.array([r.positive for r in rows]), prior, settings)
+    weights, bias = nnpu_fit([r.f for r in rows], len(place), np.array([r.positive for r in rows]), prior, settings)
     return Model(settings, place, weights, bias)
 
 
