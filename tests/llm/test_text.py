@@ -148,7 +148,7 @@ def test_language_codes_are_exact(spark):
     rows = [(i, None if i % 31 == 0 else "".join(rnd.choice(make[lang]) for _ in range(rnd.randrange(0, 200))), lang) for i, lang in enumerate(["aa", "bb", "cc", None] * 30)]
     rows += [(None, "abc abc", "zz"), (500, "123 !?", "aa"), (500, "123 !?", "aa"), (501, "漢字", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
-    settings = langid.Settings(per_label=10_000, order=3, contexts=10**6, least_count=1)
+    settings = langid.Settings(per_label=10_000, order=3)
     model = langid.train(df, settings=settings)
     assert model.labels == ["aa", "bb", "cc"]
     counts = {}
@@ -295,3 +295,30 @@ def test_toxicity_learns_stems(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_nnpu_fit_reaches_the_least_risk():
+    # two features: every pair of weights and bias on a grid, by the risk as it is written down
+    rnd = np.random.default_rng(3)
+    positive = np.arange(300) < 100
+    toxic = np.concatenate([np.ones(100, bool), rnd.random(200) < 0.3])
+    has = np.stack([rnd.random(300) < np.where(toxic, 0.9, 0.1), rnd.random(300) < np.where(toxic, 0.6, 0.4)], 1)
+    loss = lambda f: np.logaddexp(0, -f)
+
+    def risk(w, b):
+        f = has @ w + b
+        return 0.3 * loss(f[positive]).mean() + max(0, loss(-f[~positive]).mean() - 0.3 * loss(-f[positive]).mean())
+
+    settings = toxicity.Settings(steps=3000, decay=0.0)
+    weights, bias = toxicity.nnpu_fit([np.flatnonzero(r).tolist() for r in has], 2, positive, 0.3, settings)
+    grid = np.linspace(0, 6, 25)
+    least = min(risk(np.array([a, b]), c) for a in grid for b in grid for c in np.linspace(-6, 3, 37))
+    assert risk(weights, bias) <= least + 0.01
+
+
+def test_class_prior_is_given_or_refused(spark):
+    docs = spark.createDataFrame([(i, f"vexq bad words w{i}" if i < 40 else f"plain words w{i}") for i in range(200)], "doc_id long, text string")
+    only = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, toxic int")
+    with pytest.raises(ValueError):
+        toxicity.train(docs, only)
+    model = toxicity.train(docs, only, settings=toxicity.Settings(prior=0.2))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    assert min(got[i] for i in range(40)) > 0.5 > max(got[i] for i in range(40, 200))

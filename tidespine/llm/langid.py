@@ -2,8 +2,8 @@
 
 One tree of byte contexts up to ``order`` bytes long holds frozen counts per language. A byte costs what the longest seen context says,
 or an escape and what the next shorter one says (method C: distinct successors against occurrences), down to 8 bits for a byte without
-any context; a text's code length in a language is the exact sum over its bytes. The tree is compiled to a table whose state is the longest
-context in the tree, so scoring walks a table, all positions side by side, over whole texts.
+any context; a text's code length in a language is the exact sum over its bytes. Every context of the sample is kept. Costs of each context and byte are
+worked out beforehand for all languages, so scoring is one look-up a byte, and one more for each escape, all positions side by side, over whole texts.
 """
 from __future__ import annotations
 
@@ -23,12 +23,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label``: documents aimed at for each label, drawn by hash, whole texts. ``contexts``: contexts the model keeps, most frequent first."""
+    """``per_label``: documents aimed at for each label, drawn by hash, whole texts; the model's size follows from it. ``order``: longest context, 6 at most."""
 
     per_label: int = 1500
     order: int = 4
-    contexts: int = 20_000
-    least_count: int = 4
 
 
 def symbols(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,63 +41,99 @@ def symbols(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.nda
     return flat, begins
 
 
+class Places:
+    """Finds the place of a number among sorted distinct ones: numbers are dealt to buckets by a product hash, about half a number each."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(63 - max(1, len(keys)).bit_length())
+        bucket = self.bucket(keys)
+        self.place = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.keys = keys[self.place]
+        self.begin = np.zeros((1 << 64 - int(self.shift)) + 1, np.int32)
+        np.cumsum(np.bincount(bucket, minlength=len(self.begin) - 1), out=self.begin[1:])
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it is not there."""
+        bucket, out = self.bucket(keys), np.full(len(keys), -1, np.int64)
+        at, end, left = self.begin[bucket], self.begin[bucket + 1], np.arange(len(keys))
+        while True:
+            more = at < end
+            at, end, left = at[more], end[more], left[more]
+            if not len(left):
+                return out
+            same = self.keys[at] == keys[left]
+            out[left[same]] = self.place[at[same]]
+            at, end, left = at[~same] + 1, end[~same], left[~same]
+
+
 class Model:
-    """Step and cost tables. ``contexts``: (length, number) in order of length; ``counts``: rows (length, number, label, symbol, n)."""
+    """For each context length, costs of its contexts and next bytes and escapes of its contexts, in all languages.
 
-    def __init__(self, labels: list[str], order: int, contexts: list[tuple[int, int]], counts: list[tuple[int, int, int, int, int]]):
+    Counts come as (label, run, n): ``n`` times the bytes of ``run``, a context of ``order`` symbols and the next one, of ``WIDTH`` bits each.
+    The tables hold four bytes for each context, next byte and label.
+    """
+
+    def __init__(self, labels: list[str], order: int, label: np.ndarray, run: np.ndarray, n: np.ndarray):
         self.labels, self.order = labels, order
-        seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for length, number, label, symbol, n in counts:
-            seen.setdefault((length, number), []).append((label, symbol, n))
-        learned = sorted({s for rows in seen.values() for _, s, _ in rows} - {START})
-        self.column = np.full(257, len(learned) + 1, np.int64)  # symbols never learned share the last column
-        self.column[START] = 0
-        self.column[learned] = np.arange(1, len(learned) + 1)
-        self.width = len(learned) + 2
-        states = {c: k for k, c in enumerate(sorted({(0, 0), *contexts}))}
-        self.step = np.zeros((len(states), self.width), np.int32)
-        self.cost = np.full((len(states), self.width, len(labels)), 8.0, np.float32)
-        for (length, number), k in states.items():
-            if length:
-                shorter = states[length - 1, number & (1 << WIDTH * (length - 1)) - 1]
-                self.step[k], self.cost[k] = self.step[shorter], self.cost[shorter]
-            rows = seen.get((length, number), [])
-            for label in {r[0] for r in rows}:
-                mine = [(s, n) for of, s, n in rows if of == label]
-                total = sum(n for _, n in mine) + len(mine)
-                self.cost[k, :, label] -= np.log2(len(mine) / total)
-                for s, n in mine:
-                    self.cost[k, self.column[s], label] = -np.log2(n / total)
-            if not length:  # every one-symbol context, before longer ones copy this row
-                for (n1, s1), j in states.items():
-                    if n1 == 1:
-                        self.step[k, self.column[s1]] = j
-            elif length < order:
-                for s in [START, *learned]:
-                    j = states.get((length + 1, number << WIDTH | s))
-                    if j is not None:
-                        self.step[k, self.column[s]] = j
-        self.cost[:, 0, :] = 0  # start marks are free
-        self.step *= self.width  # states are kept as offsets of their rows
-
-    def bits(self, texts: list[str | None], piece: int = 1 << 19) -> np.ndarray:
+        self.symbol_at: list[Places] = []
+        self.context_at: list[Places] = []
+        self.cost: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []
+        before = np.zeros(0, np.int64)
+        for length in range(order + 1):
+            of, inverse = np.unique(run & self.mask(length), return_inverse=True)
+            pairs, where = np.unique(inverse * len(labels) + label, return_inverse=True)
+            times = np.bincount(where, n, len(pairs))
+            entry, whose = pairs // len(labels), pairs % len(labels)
+            contexts, context = np.unique(of >> WIDTH, return_inverse=True)
+            place = context[entry] * len(labels) + whose
+            kinds = np.bincount(place, minlength=len(contexts) * len(labels))
+            total = np.bincount(place, times, len(contexts) * len(labels)) + kinds
+            escape = -np.log2(np.where(kinds > 0, kinds / np.maximum(total, 1), 1.0)).reshape(-1, len(labels))
+            cost = escape[context] + (self.cost[-1][np.searchsorted(before, of & self.mask(length - 1))] if length else 8.0)
+            cost[entry, whose] = -np.log2(times / total[place])
+            before = of
+            self.symbol_at.append(Places(of))
+            self.context_at.append(Places(contexts))
+            self.cost.append(cost.astype(np.float32))
+            self.escape.append(escape.astype(np.float32))
+
+    @staticmethod
+    def mask(length: int) -> int:
+        return (1 << WIDTH * (length + 1)) - 1
+
+    def bits(self, texts: list[str | None], piece: int = 1 << 18) -> np.ndarray:
         """Code length of each text (rows) in each language."""
         flat, begins = symbols(texts, self.order)
-        columns = self.column[flat]
         out = np.zeros((len(texts), len(self.labels)))
-        step, cost = self.step.ravel(), self.cost.reshape(-1, len(self.labels))
         end = len(flat) - self.order
         for at in range(0, end, piece):
             to = min(end, at + piece)
-            state = np.zeros(to - at, np.int64)
-            for back in range(self.order, 0, -1):
-                before = columns[max(0, at - back):to - back]
-                if len(before) < to - at:
-                    before = np.concatenate([np.zeros(to - at - len(before), np.int64), before])
-                state = step[state + before]
             first, last = np.searchsorted(begins, at, "right") - 1, np.searchsorted(begins, to) - 1
             cuts = np.maximum(begins[first:last + 1], at) - at
-            out[first:last + 1] += np.add.reduceat(cost[state + columns[at:to]], cuts, axis=0, dtype=np.float64)
+            out[first:last + 1] += np.add.reduceat(self.costs(flat, at, to), cuts, axis=0, dtype=np.float64)
+        return out
+
+    def costs(self, flat: np.ndarray, at: int, to: int) -> np.ndarray:
+        """What each symbol from ``at`` to ``to`` costs in each language; start marks are free."""
+        run = np.zeros(to - at, np.int64)
+        for back in range(self.order, -1, -1):
+            run <<= WIDTH
+            run[max(0, back - at):] |= flat[max(0, at - back):to - back]
+        out = np.zeros((to - at, len(self.labels)), np.float32)
+        left = np.flatnonzero(flat[at:to] != START)
+        for length in range(self.order, -1, -1):
+            keys = run[left] & self.mask(length)
+            found = self.symbol_at[length].find(keys)
+            hit = found >= 0
+            out[left[hit]] += self.cost[length][found[hit]]
+            left, keys = left[~hit], keys[~hit]
+            context = self.context_at[length].find(keys >> WIDTH)
+            out[left[context >= 0]] += self.escape[length][context[context >= 0]]
+        out[left] += 8
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -114,7 +148,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", id_col: str
     """Frozen counts from rows with a label, an id and a text that pass ``learn``; none without such rows.
 
     About ``per_label`` documents of each label are drawn by the hash of their ids (all if there are fewer), so the sample is bounded by the number
-    of labels. Executors count; the driver gets the kept contexts' counts, bounded by ``contexts``.
+    of labels. Executors count; the driver gets the number of times that each run of bytes occurs in the sample, and no run is left out.
     """
     ship(docs.sparkSession)
     rows = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull())
@@ -140,16 +174,8 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), code, np.int32)), pa.array(runs), pa.array(n)], names=["code", "run", "n"])
 
     runs = sample.mapInArrow(count, "code int, run long, n long").groupBy("code", "run").agg(F.sum("n").alias("n"))
-    of_length = F.explode(F.array(*[F.lit(k) for k in range(order + 1)])).alias("length")
-    counts = runs.select("code", "run", "n", of_length).select(
-        "length", F.expr(f"(run >> {WIDTH}) & (shiftleft(1L, {WIDTH} * length) - 1)").alias("context"), "code", F.expr(f"cast(run & {(1 << WIDTH) - 1} as int)").alias("symbol"), "n")
-    counts = stored(counts.groupBy("length", "context", "code", "symbol").agg(F.sum("n").alias("n")), "langid-counts")
-    kept = counts.groupBy("length", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= settings.least_count)
-    # a context is never more frequent than its own beginning or end, so this order never keeps one without them
-    kept = kept.orderBy(F.col("total").desc(), "length", "context").limit(settings.contexts).select("length", "context")
-    got = counts.join(F.broadcast(kept), ["length", "context"]).select("length", "context", "code", "symbol", "n").toArrow()
-    rows = list(zip(*(c.to_pylist() for c in got.columns)))
-    return Model(labels, order, sorted({r[:2] for r in rows}), rows)
+    code, run, n = (c.to_numpy() for c in stored(runs, "langid-counts").select("code", "run", "n").toArrow().columns)
+    return Model(labels, order, code.astype(np.int64), run, n)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
