@@ -87,7 +87,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds few rows and, unless one text is longer, at most ``size`` bytes of text."""
     for batch in batches:
         col, at = batch.column(batch.schema.get_field_index(text)), 0

@@ -37,7 +37,7 @@ class Settings:
 class Buckets:
     """Hashed features of a text; a bounded cache of words spares the hashing of frequent ones."""
 
-    def __init__(self, settings: Settings, place: dict[int, int] | None = None, limit: int = 300_000):
+    def __init__(self, settings: Settings, place: dict[int, int] | None = None, limit: int = 150_000):
         self.settings, self.place, self.limit, self.known = settings, place, limit, {}
 
     def word(self, word: bytes) -> tuple[int, ...]:
