@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -55,6 +56,28 @@ def test_blend_weights_are_optimal(spark):
             assert (grad[w > 1e-9] == pytest.approx(0, abs=1e-6)) and (grad[w <= 1e-9] >= -1e-6).all()
 
 
+def test_active_sets_equal_the_enumeration():
+    rng = np.random.default_rng(1)
+    for k in [*range(1, 9)] * 4:
+        x, y = rng.normal(size=(50, k)), rng.normal(size=50)
+        if k > 2:
+            x[:, 1] = x[:, 0]  # alike columns
+        gram, rhs = x.T @ x, x.T @ y
+        best = 0.0
+        for on in itertools.product([False, True], repeat=k):
+            on = np.array(on)
+            w = np.linalg.lstsq(gram[np.ix_(on, on)], rhs[on], rcond=None)[0]
+            if on.any() and (w >= 0).all():
+                best = min(best, w @ gram[np.ix_(on, on)] @ w - 2 * rhs[on] @ w)
+        w = ml.nonnegative(gram, rhs)
+        assert (w >= 0).all() and w @ gram @ w - 2 * rhs @ w == pytest.approx(best, abs=1e-8)
+    x, y = rng.normal(size=(400, 30)), rng.normal(size=400)
+    gram, rhs = x.T @ x, x.T @ y
+    w = ml.nonnegative(gram, rhs)
+    slope = gram @ w - rhs
+    assert (w >= 0).all() and abs(slope[w > 0]).max() < 1e-7 and slope.min() > -1e-7
+
+
 def panel(spark, n=160):
     rng = random.Random(42)
     out = []

@@ -10,23 +10,15 @@ from tidespine.plans import dataset as ds, evaluate as evl, events as ev, filing
 from tidespine.plans.attach import KEYS
 from tidespine.plans.price import PRICE_COLS
 from tidespine.schemas import FUNDAMENTAL_COLS
+from tidespine.session import cut_lineage
 
 c, lit = F.col, F.lit
 SMALL = ml.Settings(gbt_rounds=5, gbt_depth=3, trees=8, forest_depth=4)
-PANEL_FEATURES = ["return_1d", "return_5d", "return_20d", "sma_20_deviation", "volatility_20d", "volume_ratio"]
-
-
-def labelled(t):
-    """Price features with the 20-row forward return and the group."""
-    from tidespine.plans.price import labels_all, price_features
-
-    px = t.stored("px")
-    y = labels_all(px, {"20d": 20}).where("label_return_20d is not null").withColumnRenamed("label_return_20d", "label_return")
-    return price_features(px).join(y, KEYS).join(t.layers, "ticker")
 
 
 def sources(t) -> ds.Sources:
     """Every source role on the test tables."""
+    t.store("px", "deals", "er", "fq", "hq", "zones", "capacity", "energy", "rates", "jolts", "trade", "obs")
     names = t.award_names
     px, deals = t.stored("px"), t.stored("deals")
     entity = F.concat(lit("NATION_"), F.regexp_extract("ticker", r"(\d+)", 1))
@@ -288,10 +280,15 @@ def m02(t):
     return rounded(out.select(*KEYS, c("z_close_price").alias("z_price"), "z_volume"))
 
 
+def matrix(t, horizon):
+    """All features of the horizon's tier and its label, stored: the rows the models train on."""
+    return ds.training_datasets(sources(t), [horizon])[horizon], ds.TIERS[ds.TIER_OF_HORIZON[horizon]]
+
+
 @query("m03_m04_m05_ensemble")
 def m03(t):
-    df = labelled(t).select(*KEYS, "layer", *PANEL_FEATURES, "label_return")
-    return rounded(ml.train_in_sample(df, PANEL_FEATURES, "label_return", SMALL).predict(df).select(
+    df, features = matrix(t, "65d")
+    return rounded(ml.train_in_sample(df, features, "label_return", SMALL).predict(df).select(
         *KEYS, "lgbm_return", "rf_return", "ridge_return", "expected_annual_return", "confidence_low", "confidence_high"))
 
 
@@ -308,48 +305,56 @@ def m06(t):
 
 @query("m07_walk_forward_training")
 def m07(t):
-    df = labelled(t).select(*KEYS, "layer", *PANEL_FEATURES, "label_return")
-    _, oof = ml.train(df, PANEL_FEATURES, "label_return", 252, SMALL)
+    df, features = matrix(t, "20d")
+    _, oof = ml.train(df, features, "label_return", 252, SMALL)
     return evl.fold_metrics(oof)
 
 
+GROUP_HORIZONS = ["20d", "65d"]
+
+
 def trained_groups(t):
-    """Two groups trained first, then the run resumed: (report, folder of the models)."""
+    """Models of every group and two horizons on the whole matrix. Two groups are trained first, then the run is resumed: (report, folder of the models)."""
     from tidespine.session import scratch_path
 
-    root, df = scratch_path(t.spark, "models"), labelled(t).select(*KEYS, "layer", *PANEL_FEATURES, "label_return")
-    pairs = t.layers.select("layer", lit("20d").alias("horizon")).distinct()
-    rows = lambda layer, _h: (df.where(c("layer") == layer), PANEL_FEATURES)
+    root, sets = scratch_path(t.spark, "models"), ds.training_datasets(sources(t), GROUP_HORIZONS)
+    pairs = t.layers.select("layer", F.explode(F.array(*map(lit, GROUP_HORIZONS))).alias("horizon")).distinct()
+    rows = lambda layer, h: (sets[h].join(F.broadcast(t.layers.where(c("layer") == layer)), "ticker", "left_semi"), ds.TIERS[ds.TIER_OF_HORIZON[h]])
     first = ml.train_groups(rows, pairs.where("layer in ('ASIA', 'EUROPE')"), pairs.limit(0), root, SMALL)
     done = ml.finished_pairs(t.spark, root)
     return first + ml.train_groups(rows, pairs, done, root, SMALL), root
 
 
-@query("m08_group_training", """SELECT layer, '20d' AS horizon, COUNT(*) AS n FROM (SELECT pf.ticker, pf.date, LEAD(close_price, 20) OVER (PARTITION BY px.ticker ORDER BY px.date) / NULLIF(close_price, 0) - 1 AS y
- FROM px JOIN pf ON pf.ticker = px.ticker AND pf.date = px.date) JOIN nat USING (ticker) WHERE y IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 100""")
+_GROUP_ROWS = """SELECT layer, '{h}d' AS horizon, COUNT(*) AS n FROM (SELECT pf.ticker, pf.date, LEAD(close_price, {h}) OVER (PARTITION BY px.ticker ORDER BY px.date) / NULLIF(close_price, 0) - 1 AS y
+ FROM px JOIN pf ON pf.ticker = px.ticker AND pf.date = px.date) JOIN nat USING (ticker) WHERE y IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 100"""
+
+
+@query("m08_group_training", " UNION ALL ".join(_GROUP_ROWS.format(h=h[:-1]) for h in GROUP_HORIZONS))
 def m08(t):
     return t.spark.createDataFrame(trained_groups(t)[0], "layer string, horizon string, n long")
 
 
 @query("m09_predict_and_rank")
 def m09(t):
-    from tidespine.plans.price import price_features
-
     report, root = trained_groups(t)
-    models = {layer: ml.Ensemble.load(t.spark, f"{root}/layer={layer}/horizon={horizon}") for layer, horizon, _ in report}
-    return rounded(ml.predict_groups(price_features(t.px, "2001-05-15"), t.layers, models, "20d", "2001-05-15"))
+    today = cut_lineage(ds.inference_matrix(sources(t), "2001-05-15"))
+    parts = []
+    for h in GROUP_HORIZONS:
+        models = {layer: ml.Ensemble.load(t.spark, f"{root}/layer={layer}/horizon={horizon}") for layer, horizon, _ in report if horizon == h}
+        parts.append(ml.predict_groups(today, t.layers, models, h, "2001-05-15"))
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 @query("m10_backtest")
 def m10(t):
-    df = labelled(t).select(*KEYS, *PANEL_FEATURES, "label_return")
-    return rounded(ml.backtest(df, PANEL_FEATURES, "label_return", "1999-12-31", "2000-01-01", "2001-03-31", SMALL))
+    df, features = matrix(t, "20d")
+    return rounded(ml.backtest(df, features, "label_return", "1999-12-31", "2000-01-01", "2001-03-31", SMALL))
 
 
 @query("m11_importances")
 def m11(t):
-    df = labelled(t).select(*KEYS, *PANEL_FEATURES, "label_return")
-    return rounded(ml.importances(ml.fit(df, PANEL_FEATURES, "label_return", SMALL), t.spark))
+    df, features = matrix(t, "65d")
+    return rounded(ml.importances(ml.fit(df, features, "label_return", SMALL, band=False), t.spark))
 
 
 LEX_POS, LEX_NEG = ["the", "le", "der"], ["and", "est", "ist", "que"]

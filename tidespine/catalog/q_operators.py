@@ -241,10 +241,10 @@ def p23(t):
     return t.raw("documents").join(t.raw("labels"), "doc_id", "left").where(sc.any_not_null("quality", "toxic")).select("doc_id")
 
 
-@query("p25_display", """SELECT ticker, ROUND(expected_annual_return * 100, 1) AS expected_pct, ROUND(rf_return * 100, 1) AS low_pct, ROUND(ridge_return * 100, 1) AS high_pct,
- ROUND((ridge_return - rf_return) * 100, 1) AS width_pct FROM preds WHERE horizon = '20d'""")
+@query("p25_display", """SELECT ticker, horizon, ROUND(expected_annual_return * 100, 1) AS expected_pct, ROUND(rf_return * 100, 1) AS low_pct, ROUND(ridge_return * 100, 1) AS high_pct,
+ ROUND((ridge_return - rf_return) * 100, 1) AS width_pct FROM preds""")
 def p25(t):
-    return display(t.preds.where("horizon = '20d'").withColumnRenamed("rf_return", "confidence_low").withColumnRenamed("ridge_return", "confidence_high"))
+    return display(t.preds.withColumnRenamed("rf_return", "confidence_low").withColumnRenamed("ridge_return", "confidence_high"))
 
 
 @query("p26_undirected_pair", "SELECT least(party_a, party_b) AS a, greatest(party_a, party_b) AS b, COUNT(*) AS n FROM deals GROUP BY 1, 2")

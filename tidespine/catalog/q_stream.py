@@ -89,10 +89,16 @@ def x05(t):
     return as_days(typed_batch(t)[1])
 
 
-def streamed_counts(t):
+def streamed_counts(t, close=False):
+    """The table a stream of counts has written; with ``close``, to the end of an input that has ended."""
     vessels, _ = typed_batch(t)
-    path = scratch_path(t.spark, "counts")
-    sp.write_counts(sp.cargo_counts(sp.enrich_types(stream(t), vessels)), path, scratch_path(t.spark, "counts-state")).awaitTermination()
+    source, path, state = landed(t), scratch_path(t.spark, "counts"), scratch_path(t.spark, "counts-state")
+    rows = sp.enrich_types(sp.parse_positions(sp.read_messages(t.spark, source)), vessels)
+    start = lambda: sp.write_counts(sp.cargo_counts(rows), path, state)
+    if close:
+        sp.drain_and_close(start, source, sp.closing_message(t.spark))
+    else:
+        start().awaitTermination()
     return t.spark.read.parquet(path)
 
 
@@ -103,13 +109,12 @@ def x05_stream(t):
 
 @query("x05_cargo_counts_drained", _COUNTS)
 def x05_drained(t):
-    return as_days(sp.with_open_windows(streamed_counts(t), typed_batch(t)[1], ["window_start", "corridor"]))
+    return as_days(streamed_counts(t, close=True))
 
 
-@query("x06_drop_redelivered", f"WITH {_MSG} SELECT COUNT(*) AS n, COUNT(DISTINCT mmsi) AS vessels FROM (SELECT DISTINCT mmsi, timestamp FROM ps)")
+@query("x06_drop_redelivered", f"WITH {_MSG} SELECT DISTINCT mmsi, epoch_us(timestamp) AS at_us FROM ps")
 def x06(t):
-    once = drain(t, sp.drop_redelivered(stream(t, copies=2), "60 days"), "once")
-    return once.agg(F.count(lit(1)).alias("n"), F.count_distinct("mmsi").alias("vessels"))
+    return drain(t, sp.drop_redelivered(stream(t, copies=2), "60 days"), "once").select("mmsi", F.unix_micros("timestamp").alias("at_us"))
 
 
 _SENTIMENT = """SELECT start_day AS window_start, start_day + 7 AS window_end, ticker, ROUND(AVG(net_sentiment), 6) AS sentiment_mean, ROUND(STDDEV_SAMP(net_sentiment), 6) AS sentiment_std, COUNT(net_sentiment) AS article_count
@@ -121,12 +126,15 @@ def x07(t):
     return rounded(as_days(sn.rolling_sentiment(t.news)))
 
 
-def streamed_sentiment(t):
-    path = scratch_path(t.spark, "articles")
+def streamed_sentiment(t, close=False):
+    path, out, state = (scratch_path(t.spark, name) for name in ("articles", "sentiment", "sentiment-state"))
     t.news.select("timestamp", "mentioned_tickers", "net_sentiment").repartitionByRange(4, "timestamp").write.parquet(path)
     rows = t.spark.readStream.schema("timestamp timestamp, mentioned_tickers array<string>, net_sentiment double").parquet(path)
-    out = scratch_path(t.spark, "sentiment")
-    sp.write_counts(sn.rolling_sentiment(rows), out, scratch_path(t.spark, "sentiment-state")).awaitTermination()
+    start = lambda: sp.write_counts(sn.rolling_sentiment(rows), out, state)
+    if close:
+        sp.drain_and_close(start, path, sn.closing_article(t.spark))
+    else:
+        start().awaitTermination()
     return t.spark.read.parquet(out)
 
 
@@ -137,4 +145,4 @@ def x07_stream(t):
 
 @query("x07_news_sentiment_drained", _SENTIMENT)
 def x07_drained(t):
-    return rounded(as_days(sp.with_open_windows(streamed_sentiment(t), sn.rolling_sentiment(t.news), ["window_start", "ticker"])))
+    return rounded(as_days(streamed_sentiment(t, close=True)))

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidespine.functions.dates import quarter_end, quarter_label
+from tidespine.operators.recent import together
 from tidespine.session import cut_lineage
 
 MONEY = "decimal(18,2)"
@@ -68,6 +69,11 @@ class Tables:
             self._stored[name] = cut_lineage(getattr(self, name))
         return self._stored[name]
 
+    def store(self, *names: str) -> None:
+        """Several views stored side by side."""
+        todo = {name: getattr(self, name) for name in names if name not in self._stored}
+        self._stored |= together({name: (lambda df=df: cut_lineage(df)) for name, df in todo.items()}) if todo else {}
+
     @cached_property
     def nat(self):
         return self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(

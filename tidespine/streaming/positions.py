@@ -1,12 +1,18 @@
 """Vessel position stream: parse, filter, tag, enrich, deduplicate, count and append."""
 from __future__ import annotations
 
+import datetime as dt
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidespine.functions.text import corridor
 
 CARGO_TYPES = (70, 89)
+#: Event time of a closing row: later than any event, so it moves the watermark past every window. Counts leave it out.
+CLOSING = dt.datetime(9000, 1, 1)
 MESSAGE = """MetaData struct<MMSI string, ShipName string, latitude double, longitude double, time_utc string>,
   Message struct<PositionReport struct<Latitude double, Longitude double, Sog double, Cog double>,
                  ShipStaticData struct<ImoNumber string, Type int, Draught double, Destination string>>"""
@@ -62,7 +68,7 @@ def cargo_counts(positions: DataFrame, delay: str = "1 day") -> DataFrame:
     """
     cargo = positions.where(F.col("vessel_type").between(*CARGO_TYPES))
     if positions.isStreaming:
-        cargo = cargo.withWatermark("timestamp", delay)
+        cargo = before_closing(cargo.withWatermark("timestamp", delay))
     seen = cargo.groupBy(F.window("timestamp", "7 days", "1 day").alias("w"), "corridor", "mmsi").agg(F.count(F.lit(1)).alias("_n"))
     return seen.groupBy("w", "corridor").agg(F.count(F.lit(1)).alias("vessels")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "corridor", "vessels")
@@ -81,9 +87,23 @@ def write_counts(counts: DataFrame, path: str, checkpoint: str, once: bool = Tru
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def with_open_windows(written: DataFrame, all_windows: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream has written, and from the same query over the landed data the windows it has not closed yet.
+def before_closing(rows: DataFrame, on: str = "timestamp") -> DataFrame:
+    """Rows without closing rows. The condition names the event time, so it stays behind the watermark, which has to see them."""
+    return rows.where(F.col(on) < F.lit(CLOSING))
+
+
+def closing_message(spark: SparkSession) -> DataFrame:
+    """One message (value, arrival) that ends an input: a cargo position at ``CLOSING``."""
+    value = json.dumps({"MetaData": {"MMSI": "", "latitude": 0.0, "longitude": 0.0}, "Message": {"ShipStaticData": {"Type": CARGO_TYPES[0]}}})
+    return spark.createDataFrame([(value, CLOSING)], "value string, arrival timestamp")
+
+
+def drain_and_close(start: Callable[[], StreamingQuery], landing: str, closing: DataFrame) -> None:
+    """Run a windowed job to the end of an input that has ended: all that landed, then a closing row, from the same checkpoint.
 
-    For the end of an input: an append stream holds a window back until the watermark has passed it.
+    The first run leaves open windows in its state. The closing row moves the watermark past them, and the second run writes them from
+    that state; nothing is read or counted again. A closed input takes no further rows: they would be late.
     """
-    return written.unionByName(all_windows.join(written.select(*keys), keys, "left_anti"))
+    start().awaitTermination()
+    closing.coalesce(1).write.mode("append").parquet(landing)
+    start().awaitTermination()
