@@ -5,9 +5,11 @@ import re
 
 import pytest
 from conftest import by_key, day
+from pyspark.sql import functions as F
 
 from tidespine.functions.text import normalize_name
 from tidespine.operators.graph import decayed_edges, hops_to_set, proximity
+from tidespine.operators import match
 from tidespine.operators.match import contains_pairs, first_security, fuzzy_pairs, match_names, tag_entities
 from tidespine.plans.market import partner_deals, partner_momentum, power_deals
 
@@ -155,3 +157,32 @@ def test_partner_deals_leave_out_own_deals(spark):
     deals = spark.createDataFrame([("NVDA", "TSM", dt.date(2024, 3, 15)), ("TSM", "ENTG", dt.date(2024, 3, 20))], "party_a string, party_b string, date date")
     spine = spark.createDataFrame([("NVDA", dt.date(2024, 4, 15))], "ticker string, date date")
     assert partner_deals(spine, deals, both_ways(spark, LINKS)).first()["graph_deal_count_90d"] == 1.0
+
+
+def test_wordless_patterns_and_anchor_rows(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "c++", "::", "a-b", "naïve", "x", "€5", ""]) for _ in range(rnd.randrange(0, 30))) for _ in range(300)]
+    words = ["alpha", "c++", "::", "a-b", "€5", "x beta", "  ", "ï", "", None, "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    p = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {(r.id, r.w) for r in match.contains_pairs(df, p, "text", "w", ["id"]).collect()}
+    assert got == {(i, w) for i, t in enumerate(texts) for w in words if w and w in t}
+    got = {(r.id, r.w) for r in match.word_pairs(df, p, "text", "w", ["id"]).collect()}
+    bounded = lambda w, t: re.search(rf"\b{re.escape(w)}\b", t) is not None
+    assert got == {(i, w) for i, t in enumerate(texts) for w in words if w and bounded(w, t)}
+
+
+def test_few_positions_become_rows(spark):
+    # common beginnings, rare ends: anchors at the beginning would make a row of most texts' positions
+    rnd = random.Random(5)
+    plain = ["".join(rnd.choice("etaoin") for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(rnd.choice(plain) for _ in range(60)) for _ in range(400)]
+    patterns = [f"{plain[i]} {plain[i + 1]} {plain[i + 2]}" for i in range(0, 60, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    p = spark.createDataFrame([(w,) for w in patterns], "w string")
+    anchors, parts = match._gram_anchors(df, p, "text", "w")
+    held, bits = match._anchor_bits(anchors)
+    n = df.select(F.explode(parts).alias("_g")).join(anchors, "_g", "left_semi").count()
+    assert anchors.count() == len(patterns) and n < sum(map(len, texts)) / 10
+    got = {(r.id, r.w) for r in match.contains_pairs(df, p, "text", "w", ["id"]).collect()}
+    assert got == {(i, w) for i, t in enumerate(texts) for w in patterns if w in t}

@@ -133,6 +133,39 @@ def test_scorers(spark):
     assert {r["label"] for r in scoring.model_scores(docs, "text", load).collect()} == {"negative"}
 
 
+def test_trained_scorer_on_held_out_rows(spark):
+    rng = random.Random(2)
+    common, own = [f"w{i}" for i in range(200)], {"positive": [f"p{i}" for i in range(60)], "negative": [f"n{i}" for i in range(60)], "neutral": []}
+    def text(label):
+        return " ".join(rng.choice(own[label]) if own[label] and rng.random() < 0.15 else rng.choice(common) for _ in range(rng.randrange(20, 60)))
+    rows = [(i, text(y), y) for i in range(600) for y in [rng.choice(list(own))]]
+    df = spark.createDataFrame(rows, "id int, text string, y string").repartition(4)
+    model = scoring.train_text_model(df.where("id % 3 > 0"), "text", "y")
+    out = scoring.linear_scores(df.where("id % 3 = 0"), ["id"], "text", model)
+    hits = [r["y"] == r["label"] for r in out.collect()]
+    assert sum(hits) > 0.9 * len(hits) and len(hits) == 200
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "unknown words"), (3, "unknown words")], "id int, text string").distinct()
+    got = by_key(scoring.linear_scores(odd, ["id"], "text", model), "id")
+    shares = by_key(df.where("id % 3 > 0").groupBy("y").count(), "y")
+    n = sum(r["count"] for r in shares.values()) + 3
+    assert all(got[i]["positive"] == pytest.approx((shares["positive"]["count"] + 1) / n) for i in (1, 2, 3))
+
+
+def test_closed_input_takes_open_windows_from_state(spark):
+    src, out, state = (scratch_path(spark, x) for x in ("in", "out", "state"))
+    rows = [(f"2024-01-0{d} 10:00:00", str(m)) for d in (1, 2, 5) for m in range(d)]
+    body = '{"MetaData":{"MMSI":"%s","latitude":23.0,"longitude":120.0},"Message":{"ShipStaticData":{"Type":75}}}'
+    landed = spark.createDataFrame([(body % m, t) for t, m in rows], "value string, arrival string").withColumn("arrival", F.col("arrival").cast("timestamp"))
+    landed.write.mode("append").parquet(src)
+    start = lambda: sp.write_counts(sp.cargo_counts(sp.parse_positions(sp.read_messages(spark, src))), out, state)
+    start().awaitTermination()
+    before = spark.read.parquet(out).count()
+    whole = {tuple(r) for r in sp.cargo_counts(sp.parse_positions(landed)).collect()}
+    sp.drain_and_close(start, src, sp.closing_message(spark))
+    got = [tuple(r) for r in spark.read.parquet(out).collect()]
+    assert before < len(whole) == len(got) and set(got) == whole
+
+
 def test_stream_is_exactly_once_over_restarts(spark):
     src, out, state = (scratch_path(spark, x) for x in ("in", "out", "state"))
     msg = '{"MetaData":{"MMSI":"%d","latitude":%s,"longitude":120.0},"Message":{"PositionReport":{"Sog":1.0}}}'

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from tidespine.functions.text import normalize_name
+from tidespine.session import cut_lineage
 
 CUTOFF = 0.85
 
@@ -94,43 +95,91 @@ def match_names(raw_names: DataFrame, targets: DataFrame, cutoff: float = CUTOFF
 
 
 GRAM_LENGTHS = (8, 4, 2, 1)
+#: Texts aimed at for the sample that tells how frequent a gram is. It touches the cost alone, not the pairs.
+SAMPLE = 2000
+#: Bits of the anchor bitmap for each anchor, and bits at most (512 KB).
+BITS_EACH, BITS_MOST = 16, 1 << 22
 
 
 def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
     """(keys, pattern) for every pattern that occurs anywhere in the text, for dictionaries of any size.
 
-    A pattern is looked up by its head: its first 8, 4, 2 or 1 characters, as many as it has, so a short pattern does not shorten the heads of
-    long ones. Empty and null patterns match nothing. The only values on the driver are the head lengths in use, at most four.
+    A pattern is looked up by one of its grams of 8, 4, 2 or 1 characters, as long as it has: the one that a sample of the texts holds least often. Empty and
+    null patterns match nothing. The only values on the driver are the gram lengths in use, at most four, and the size of the anchor bitmap.
     """
-    size, head = F.length(pattern), F.lit(None).cast("int")
-    for q in reversed(GRAM_LENGTHS):
-        head = F.when(size >= q, F.lit(q)).otherwise(head)
-    heads = patterns.select(pattern).where(size > 0).distinct().withColumn("_q", head)
-    in_use = sorted(r["_q"] for r in heads.select("_q").distinct().collect())
-    # A zero-width lookahead captures the q characters at every position in one linear pass.
-    grams = [F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), 1)) for q in in_use]
-    heads = heads.withColumn("_g", F.substring(F.col(pattern), F.lit(1), F.col("_q")))
-    return _verified(texts, heads, F.concat(F.array().cast("array<string>"), *grams), text, pattern, keys, lambda p: F.contains(F.col(text), p))
+    anchors, parts = _gram_anchors(texts, patterns, text, pattern)
+    return _verified(texts, anchors, parts, text, pattern, keys, lambda p: F.contains(F.col(text), p))
 
 
 def word_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
     """(keys, pattern) for every pattern that occurs in the text with word boundaries at both ends.
 
-    A pattern is looked up by its first word, which must be a whole word of such a text; one without any word is tried on every text.
+    A pattern is looked up by its first word, which must be a whole word of such a text; one without any word by a gram, like a substring.
     """
     heads = patterns.select(pattern).where(F.length(pattern) > 0).distinct().withColumn("_g", F.regexp_extract(pattern, r"(?U)\w+", 0))
-    words = F.array_distinct(F.concat(F.split(text, r"(?U)\W+"), F.array(F.lit(""))))
+    words = F.array_distinct(F.split(text, r"(?U)\W+"))
+    wordless = heads.where("_g = ''").select(pattern)
+    if wordless.isEmpty():
+        anchors, parts = heads.select(pattern, "_g"), words
+    else:
+        grams, parts = _gram_anchors(texts, wordless, text, pattern)
+        marked = lambda xs, mark: F.transform(xs, lambda x: F.concat(F.lit(mark), x))
+        anchors = heads.where("_g <> ''").select(pattern, F.concat(F.lit("w"), "_g").alias("_g")).unionByName(grams.select(pattern, F.concat(F.lit("g"), "_g").alias("_g")))
+        parts = F.concat(marked(words, "w"), marked(parts, "g"))
     quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    return _verified(texts, heads, words, text, pattern, keys, lambda p: F.contains(F.col(text), p) & F.regexp_like(F.col(text), quoted(p)))
+    return _verified(texts, anchors, parts, text, pattern, keys, lambda p: F.contains(F.col(text), p) & F.regexp_like(F.col(text), quoted(p)))
+
 
+def _grams_at(value: str, q: int) -> Column:
+    """The distinct grams of q characters: a zero-width lookahead captures one at every position in one linear pass."""
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{q}}}))"), 1))
 
-def _verified(texts: DataFrame, heads: DataFrame, parts: Column, text: str, pattern: str, keys: list[str], holds) -> DataFrame:
-    """Texts' parts meet the patterns' heads in an equi-join from which only keys and patterns go on; each text, dealt by its keys
-    once for both uses, then meets its candidates, and they are verified inside the row."""
-    placed = texts.select(*keys, text).repartition(*keys)
-    hits = placed.select(*keys, F.explode(parts).alias("_g")).join(heads.select(pattern, "_g"), "_g")
-    hits = hits.groupBy(*keys).agg(F.collect_set(pattern).alias("_p"))  # at most the patterns whose heads a text has
-    return placed.join(hits, keys).select(*keys, F.explode(F.filter("_p", holds)).alias(pattern))
+
+def _gram_anchors(texts: DataFrame, patterns: DataFrame, text: str, pattern: str) -> tuple[DataFrame, Column]:
+    """(pattern, _g): the rarest gram of each pattern by a sample of the texts; and the grams of a text, of the lengths in use."""
+    size, length = F.length(pattern), F.lit(None).cast("int")
+    for q in reversed(GRAM_LENGTHS):
+        length = F.when(size >= q, F.lit(q)).otherwise(length)
+    sized = patterns.select(pattern).where(size > 0).distinct().withColumn("_q", length)
+    in_use = sorted(r["_q"] for r in sized.select("_q").distinct().collect())
+    own = F.lit(None).cast("array<string>")
+    for q in in_use:
+        own = F.when(F.col("_q") == q, _grams_at(pattern, q)).otherwise(own)
+    grams = sized.select(pattern, F.posexplode(own).alias("_at", "_g"))
+    parts = F.concat(F.array().cast("array<string>"), *[_grams_at(text, q) for q in in_use])
+    drawn = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64(text), F.lit(drawn)) == 0).select(F.explode(parts).alias("_g"))
+    often = some.join(grams.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = grams.join(often, "_g", "left").groupBy(pattern).agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_at")).alias("_g"))
+    return cut_lineage(ranked), parts
+
+
+def _anchor_bits(anchors: DataFrame) -> tuple[DataFrame, int]:
+    """(one row with a bitmap of the hashes of the anchors, its size in bits): bounded whatever the dictionary."""
+    bits = 1 << 10
+    while bits < min(BITS_MOST, BITS_EACH * anchors.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("_g"), F.lit(bits))
+    held = anchors.select(place.alias("_p")).groupBy(F.expr("cast(_p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("b")).collect()
+    words = [0] * (bits // 64)
+    for r in held:
+        words[r["w"]] = r["b"]
+    return anchors.sparkSession.createDataFrame([(words,)], "bits array<long>"), bits
+
+
+def _verified(texts: DataFrame, anchors: DataFrame, parts: Column, text: str, pattern: str, keys: list[str], holds) -> DataFrame:
+    """Parts of a text that pass the bitmap of the anchors become rows; these meet the anchors in an equi-join from which only keys and patterns go on.
+    The texts that have candidates then meet them, and they are verified inside the row."""
+    held, bits = _anchor_bits(anchors)
+
+    def known(g: Column) -> Column:
+        place = F.pmod(F.xxhash64(g), F.lit(bits))
+        return F.get(F.col("_bits"), F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
+
+    marked = texts.select(*keys, text).withColumn("_bits", held.scalar())
+    hits = marked.select(*keys, F.explode(F.filter(parts, known)).alias("_g")).join(anchors.select(pattern, "_g"), "_g")
+    hits = hits.groupBy(*keys).agg(F.collect_set(pattern).alias("_p"))  # at most the patterns whose anchors a text has
+    return texts.select(*keys, text).join(hits, keys).select(*keys, F.explode(F.filter("_p", holds)).alias(pattern))
 
 
 def tag_entities(df: DataFrame, text: Column, aliases: DataFrame, out: str = "tags") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidespine.sources.sinks import unprocessed
 
 SCORE_COLS = ["positive", "negative", "neutral", "net_sentiment", "label"]
+CLASSES = ["positive", "negative", "neutral"]
 # Default word lists of the dictionary scorer.
 POSITIVE = ["beat", "gain", "good", "growth", "improve", "profit", "record", "strong", "up"]
 NEGATIVE = ["bad", "cut", "decline", "down", "fall", "loss", "miss", "risk", "weak"]
@@ -16,7 +17,7 @@ NEGATIVE = ["bad", "cut", "decline", "down", "fall", "loss", "miss", "risk", "we
 
 def lexicon_scores(df: DataFrame, text: str, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> DataFrame:
     """Default scorer in native expressions: shares of listed words among the words of the whole text."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
+    words = words_in(F.col(text))
     hits = lambda ws: F.size(F.filter(F.col("_words"), lambda w: w.isin(list(ws))))
     n = F.greatest(F.size("_words"), F.lit(1))
     df = df.withColumn("_words", words).withColumns({"positive": hits(positive) / n, "negative": hits(negative) / n})
@@ -30,6 +31,42 @@ def with_label(df: DataFrame) -> DataFrame:
     return df.withColumns({"net_sentiment": p - n, "label": label})
 
 
+def words_in(text: Column) -> Column:
+    """Words of the whole text in lower case; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
+
+
+def train_text_model(rows: DataFrame, text: str, label: str) -> DataFrame:
+    """(word, positive, negative, neutral): log-likelihoods of a linear text model, fitted on rows labelled with one of the three classes.
+
+    Add-one shares of the words of each class; the empty word holds the classes' log shares of the rows, so a class without rows keeps a small one. Counts combine
+    before the shuffle and the model is a table, so neither corpus nor vocabulary passes through the driver. Rows without a label are left out.
+    """
+    known = rows.where(F.col(label).isin(*CLASSES)).select(F.col(label).alias("_c"), words_in(F.col(text)).alias("_w"))
+    of = lambda c, n: F.sum(F.when(F.col("_c") == c, n).otherwise(0))
+    counts = known.select("_c", F.explode("_w").alias("word")).groupBy("word").agg(*[of(c, 1).alias(c) for c in CLASSES])
+    totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_{c}") for c in CLASSES], F.count(F.lit(1)).alias("_v"))
+    words = counts.join(F.broadcast(totals)).select("word", *[F.ln((F.col(c) + 1) / (F.col(f"_{c}") + F.col("_v"))).alias(c) for c in CLASSES])  # one row of totals
+    size = F.count(F.lit(1)) + len(CLASSES)
+    prior = known.agg(*[F.ln((F.coalesce(of(c, 1), F.lit(0)) + 1) / size).alias(c) for c in CLASSES])
+    return words.unionByName(prior.withColumn("word", F.lit("")))
+
+
+def linear_scores(df: DataFrame, keys: Sequence[str], text: str, model: DataFrame) -> DataFrame:
+    """``df`` with the five score columns by a model of ``train_text_model``. ``keys`` identify a row.
+
+    Words are counted by row and met with the model in an equi-join, whatever the size of either; sums combine before the shuffle. Words that the model does not
+    know say nothing; a text without known words gets the classes' shares.
+    """
+    counted = df.select(*keys, F.explode(F.concat(F.array(F.lit("")), words_in(F.col(text)))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_n"))
+    sums = counted.join(model, "word").groupBy(*keys).agg(*[F.sum(F.col("_n") * F.col(c)).alias(f"_{c}") for c in CLASSES])
+    top = F.greatest(*[F.col(f"_{c}") for c in CLASSES])
+    parts = {c: F.exp(F.col(f"_{c}") - top) for c in CLASSES}
+    whole = parts["positive"] + parts["negative"] + parts["neutral"]
+    scored = sums.select(*keys, *[(parts[c] / whole).alias(c) for c in CLASSES])
+    return with_label(df.join(scored, list(keys), "left"))
+
+
 def model_scores(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[tuple[float, float, float]]]],
                  batch: int = 32) -> DataFrame:
     """Scores from any Python model. ``load`` runs once per task and returns texts -> (p, n, u) rows.
