@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests_llm_brute import brute_components, brute_fingerprint, brute_matches
+from tests_llm_brute import brute_components, brute_fingerprint, brute_longest, brute_matches
 from tidespine.llm import components, decontam, simhash
 
 DOCS = "doc_id long, text string"
@@ -123,8 +123,27 @@ def test_matches_against_brute_force(spark, block_bytes):
         df = spark.createDataFrame(docs, DOCS).withColumn("spans", F.lit(1)).withColumn("lang", F.lit("x"))
         got = decontam.find_matches(df, spark.createDataFrame(items, "item_id long, text string"), window, block_bytes=block_bytes)
         assert got.columns == ["doc_id", "text", "lang", "n_words", "spans", "items"]
-        rows = [(r.doc_id, r.n_words, sum(s.length for s in r["spans"]), r["items"]) for r in got.collect()]
+        rows = [(r.doc_id, r.n_words, len({i for s in r["spans"] for i in range(s.start, s.start + s.length)}), r["items"]) for r in got.collect()]
         assert sorted(rows, key=str) == sorted(brute_matches(docs, items, window), key=str)
+        hits = got.select(decontam.hit_words(F.col("spans"))).collect()
+        assert sorted(r[0] for r in hits) == sorted(r[2] for r in rows)
+        for r in got.where("doc_id is null or doc_id <> 103").collect():
+            found = [tuple(s) for s in r["spans"]]
+            assert found == sorted(found, key=decontam.in_order)
+            assert sorted(found, key=str) == sorted(((item, *m) for item, other in items for m in brute_longest(r.text, other, window)), key=str)
+
+
+def test_matches_of_two_items_that_touch(spark):
+    docs = spark.createDataFrame([(1, "x a1 a2 a3 a4 b1 b2 b3 y a2 a3 a4")], DOCS)
+    items = spark.createDataFrame([(7, "a1 a2 a3 a4 zz"), (8, "b1 b2 b3"), (8, "yy a4 b1 b2")], "item_id long, text string")
+    got = decontam.find_matches(docs, items, window=3).first()
+    assert [tuple(s) for s in got.spans] == [(7, 0, 1, 4), (8, 1, 4, 3), (8, 0, 5, 3), (7, 1, 9, 3)] and got["items"] == [7, 8]
+
+
+def test_a_benchmark_beyond_its_bound_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], DOCS)
+    with pytest.raises(ValueError):
+        decontam.find_matches(docs, spark.createDataFrame([(1, "long " * 100)], "item_id long, text string"), most_bytes=100)
 
 
 def test_decontaminate_empty(spark):

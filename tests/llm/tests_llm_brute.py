@@ -46,6 +46,24 @@ def brute_matches(docs, items, window):
     return out
 
 
+def brute_longest(text, other, window):
+    """(place in the item, first word, words) of every match that neither text lets grow, of a window or all of a shorter item."""
+    split = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    low = lambda t: split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    a, b = low(text), low(other)
+    out = []
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n and n >= min(window, len(b)):
+                out.append((j, i, n))
+    return out
+
+
 def brute_secrets(text):
     t, out = text or "", []
     for k, (pattern, group, least) in enumerate([(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24)]):

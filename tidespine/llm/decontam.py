@@ -21,12 +21,16 @@ class TestSuffixes:
 
     def __init__(self, items: Iterable[tuple[int | None, list[bytes]]], window: int):
         self.window, self.ids = window, {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, words in items:
+        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.names: list[int | None] = []  # item id of each row
+        for row, (item, words) in enumerate(items):
+            self.names.append(item)
             codes = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
             for at in range(max(min(1, len(codes)), len(codes) - window + 1)):
-                found.setdefault(tuple(codes[at:at + window]), set()).update(() if item is None else (item,))
-        self.items = [sorted(s) for s in found.values()]
+                found.setdefault(tuple(codes[at:at + window]), []).append((row, at))
+        # the rows and places of each window, one window after the other
+        self.rows, self.places = (np.array([p[k] for where in found.values() for p in where], np.int64) for k in (0, 1))
+        self.begin = np.cumsum([0, *(len(where) for where in found.values())])
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.shortest = int(self.lengths.min()) if found else 0
         self.bits = max(1, len(self.ids).bit_length())
@@ -50,7 +54,7 @@ class TestSuffixes:
 
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, window) of every occurrence in ``codes``, where 0 is any word no item has, or a document's end."""
-        if not self.items or len(codes) < self.shortest:
+        if not len(self.lengths) or len(codes) < self.shortest:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         unknown = np.concatenate([[0], np.cumsum(codes == 0)])
         # a suffix with a foreign word among its first `shortest` words equals no window: it is left out of the array
@@ -65,8 +69,8 @@ class TestSuffixes:
         places = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         return suffixes[order[places]], windows
 
-    def search(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
-        """For each text: word count, longest matches as (first word, words), ids of the items with occurring windows."""
+    def search(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[tuple[int | None, int, int, int]], list[int]]]:
+        """For each text: word count, longest matches as (item, place in the item, first word, words), ids of the items with occurring windows."""
         each, get = [words_of(t) for t in texts], self.ids.get
         sizes = np.array([len(w) for w in each], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
@@ -74,33 +78,31 @@ class TestSuffixes:
         for at, words in zip(starts.tolist(), each):
             codes[at:at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
         at, windows = self.occurrences(codes)
-        edges = np.zeros(len(codes) + 1, np.int32)
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + self.lengths[windows], -1)
-        hit = np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8), [0]])
-        turns = np.flatnonzero(np.diff(hit))
-        first, after = turns[::2], turns[1::2]
-        of = np.searchsorted(starts, first, "right") - 1
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for d, a, b in zip(of.tolist(), first.tolist(), after.tolist()):
-            spans.setdefault(d, []).append((a - int(starts[d]), b - a))
-        items: dict[int, set[int]] = {}
-        pairs = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, windows]), axis=1)
-        for d, w in pairs.T.tolist():
-            items.setdefault(d, set()).update(self.items[w])
+        # every occurrence with each item and place that its window stands for
+        n = self.begin[windows + 1] - self.begin[windows]
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[windows], n)
+        at, length = np.repeat(at, n), np.repeat(self.lengths[windows], n)
+        row, place = self.rows[which], self.places[which]
+        order = np.lexsort((at, at - place, row))
+        at, length, row, place = at[order], length[order], row[order], place[order]
+        # the next window of the same row, one word on in both: documents are parted by a foreign word, so none runs over their border
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(at))[:len(first)] - 1
+        of = np.searchsorted(starts, at[first], "right") - 1
+        found: dict[int, list[tuple[int | None, int, int, int]]] = {}
+        for d, r, p, a, b in zip(of.tolist(), row[first].tolist(), place[first].tolist(), at[first].tolist(), (at[last] + length[last]).tolist()):
+            found.setdefault(d, []).append((self.names[r], p, a - int(starts[d]), b - a))
         for d in range(len(each)):
-            yield len(each[d]), spans.get(d, []), sorted(items.get(d, ()))
+            mine = sorted(found.get(d, []), key=in_order)
+            yield len(each[d]), mine, sorted({m[0] for m in mine if m[0] is not None})
 
 
-def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of words with overlapping and touching ones made one."""
-    out: list[tuple[int, int]] = []
-    for a, n in sorted(spans):
-        if out and a <= out[-1][0] + out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], a + n - out[-1][0])
-        else:
-            out.append((a, n))
-    return out
+def in_order(match: tuple[int | None, int, int, int]) -> tuple:
+    """Order of matches: first word, longest first, then item (none last) and place."""
+    item, place, first, words = match
+    return first, -words, item is None, item or 0, place
 
 
 def test_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[TestSuffixes]:
@@ -115,24 +117,34 @@ def test_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator
     yield TestSuffixes(held, window)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, block_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` with n_words, spans (array of (start, length): longest verbatim matches of at least a window, in words) and items.
+#: Columns of a match: the item and the word of it where the match begins, the document's word where it begins, and its words.
+MATCH = ("item", "place", "start", "length")
 
-    Words are lower-cased A-Z runs as in ``common.WORD``. A window is ``window`` consecutive words of an item, or all of an item with fewer. ``items``
-    are the distinct ids of the items with a window in the document; an item without an id is searched for but not listed, and rows of one id are one item.
-    Null and empty texts have no words; empty tables give empty results or no matches; repeated rows are searched alike. ``keep`` names the columns
-    that pass through (all by default); one named like a result is replaced by it. Test text is broadcast one block of bounded size at a time; each block is a
-    further step of the same pass, so a benchmark of any size is searched whole.
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, block_bytes: int = 16 << 20, most_bytes: int = 1 << 30) -> DataFrame:
+    """``docs`` with n_words, spans (longest verbatim matches of at least a window, as ``MATCH``) and items.
+
+    Words are lower-cased A-Z runs as in ``common.WORD``. A window is ``window`` consecutive words of an item, or all of an item with fewer. A span is as long
+    as document and item agree, so spans of different items, or places, may overlap; equal ones are told apart by item and place. They stand in the order of
+    start, then longest first. ``items`` are the distinct ids of the items with a window in the document; an item without an id is searched for but
+    not listed, and its spans have a null item. Null and empty texts have no words; empty tables give empty results or no matches; repeated rows are
+    searched alike. ``keep`` names the columns that pass through (all by default); one named like a result is replaced by it.
+
+    Test text is indexed and broadcast one block of bounded size after the other; each block is a further step of the same pass. All blocks together are
+    broadcast data, so a benchmark of over ``most_bytes`` of text is refused.
     """
     ship(docs.sparkSession)
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text, over {most_bytes}: split it")
     results = ["n_words", "spans", "items"]
     kept = [f for f in docs.schema.fields if f.name in (docs.columns if keep is None else keep) and f.name not in results]
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    span = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in MATCH]))
     added = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.LongType()))]
     names = [f.name for f in kept]
     carried = names + [text] * (text not in names)
     out = docs.select(*carried, F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<long>").alias("items"))
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    span_type = pa.list_(pa.struct([(c, pa.int64()) for c in MATCH]))
 
     def step(broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +153,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                 n_words, spans, items = [], [], []
                 for (n, s, i), s0, i0 in zip(broadcast.value.search(part.column(part.schema.get_field_index(text)).to_pylist()), part.column(at + 1).to_pylist(), part.column(at + 2).to_pylist()):
                     n_words.append(n)
-                    spans.append([{"start": a, "length": b} for a, b in joined([(x["start"], x["length"]) for x in s0] + s)])
+                    both = sorted([*(tuple(x[c] for c in MATCH) for x in s0), *s], key=in_order) if s0 else s
+                    spans.append([dict(zip(MATCH, m)) for m in both])
                     items.append(sorted({*i0, *i}))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(at)), pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.int64()))],
                                                  names=[*carried, *results])
@@ -154,7 +167,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
 
 
 def hit_words(spans: Column) -> Column:
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    """Words inside any span, for spans in order of start."""
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def add(acc: Column, s: Column) -> Column:
+        end = s["start"] + s["length"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], s["start"]))).alias("n"))
+
+    return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
