@@ -1,4 +1,12 @@
-from tidespine.llm import secrets
+import base64
+import hashlib
+import random
+import time
+
+from pyspark.sql import functions as F
+from tests_llm_brute import brute_secrets
+
+from tidespine.llm import secrets, spans
 
 
 def test_parts_of_a_token_beside_a_base_span(spark):
@@ -13,3 +21,65 @@ def test_parts_of_a_token_beside_a_base_span(spark):
     spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(docs, model).collect()}
     assert spans[0] == [(2, 1, 22), (22, 3, 63)]
     assert [s[1] for s in spans[2]] == [3, 1, 3]
+
+
+def test_running_results_and_cuts(spark):
+    rnd = random.Random(1)
+    for n in (0, 1, 2, 3, 7, 50, 101):
+        values = [rnd.randrange(10) for _ in range(n)]
+        text = "".join(rnd.choice("aé👍b") for _ in range(sum(values)))
+        places = [0, *(sum(values[:i + 1]) for i in range(n))]
+        df = spark.createDataFrame([(values, text, places)], "v array<int>, t string, p array<int>")
+        r = df.select(spans.running_sum(F.col("v")).alias("s"), spans.running_max(F.col("v")).alias("m"), spans.cut(F.col("t"), F.col("p")).alias("c")).first()
+        assert r.s == places[1:] and r.m == [max(values[:i + 1]) for i in range(n)]
+        assert r.c == [text[a:b] for a, b in zip(places, places[1:])]
+
+
+def test_overlapping_spans_are_merged(spark):
+    rnd = random.Random(2)
+    for _ in range(20):
+        rows = sorted((a, a + rnd.randrange(1, 9)) for a in (rnd.randrange(60) for _ in range(rnd.randrange(0, 15))))
+        want = []
+        for a, b in rows:
+            if want and a < want[-1][1]:
+                want[-1] = want[-1][0], max(want[-1][1], b)
+            else:
+                want.append((a, b))
+        df = spark.createDataFrame([(rows,)], "s array<struct<start:int,end:int>>")
+        assert [tuple(x) for x in df.select(spans.merged(F.col("s"))).first()[0]] == want
+
+
+def test_a_text_of_a_hundred_thousand_spans(spark):
+    n = 100_000
+    text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(n // 2)) + "-" + "-".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(n // 2))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = secrets.train(docs.limit(0).selectExpr("text AS sample", "0 AS random"))
+    began = time.time()
+    r = secrets.scan(docs, model).select("base", F.size("spans").alias("n")).first()
+    assert [tuple(s) for s in r.base] == brute_secrets(text) and r.n >= n
+    assert secrets.redact(docs, model).first().text == " ".join(["[secret]"] * (n // 2)) + "-" + "-".join(["[secret]"] * (n // 2))
+    assert time.time() - began < 240  # a quadratic form would take hours
+
+
+#: Forms that no base pattern knows, made from digests: what the Markov part alone has to find.
+def planted(rnd, kind):
+    raw = hashlib.sha512(str(rnd.random()).encode()).digest()
+    letters = base64.b64encode(raw).decode()
+    alnum = "".join(c for c in letters if c.isalnum())
+    return {"key40": letters[:40], "prefixed": f"ghp_{alnum[:36]}", "upper": alnum.upper()[:32], "short20": alnum[:20], "dotted": f"{alnum[:24]}.{alnum[24:48]}"}[kind]
+
+
+def test_recall_of_the_markov_part_on_planted_secrets(spark):
+    rnd = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_samples(docs))
+    kinds = ["key40", "prefixed", "upper", "short20", "dotted"]
+    rows = [(i, f"some words {planted(rnd, kind)} more words", kind) for i, kind in enumerate(kinds * 100)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, kind string"), model).where("exists(spans, s -> s.kind = 3)").groupBy("kind").count().collect()
+    found = {r.kind: r["count"] for r in got}
+    assert all(found.get(k, 0) >= 95 for k in kinds), found
+    names = ["get_user_account_settings", "InternationalizationServiceProvider", "keitverungenschaftlichkeiten", "anticonstitutionnellement", "/usr/local/lib/python/site-packages", "2024-01-31T10-20-30",
+             "================", "a_very_long_ordinary_identifier_in_snake_case", "thisIsACamelCasedMethodName", "1234567890123456"]
+    plain = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(names)], "doc_id long, text string")
+    marked = [r.text for r in secrets.scan(plain, model).where("size(spans) > 0").collect()]
+    assert len(marked) <= 1, marked

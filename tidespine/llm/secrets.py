@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidespine.llm.spans import matches, once
+from tidespine.llm.spans import matches, merged, once, replaced
 
 #: Kind, pattern, group that holds the secret, least length of that group.
 BASE = [
@@ -98,19 +98,6 @@ def model_column(model: list[float]) -> Column:
     return F.split(F.lit(" ".join(map(repr, model))), " ").cast("array<double>")
 
 
-def outside(token: Column, spans: Column) -> Column:
-    """The parts of ``token`` (start, end, value) that no span covers, as such structs; spans in order of start."""
-    def part(start: Column, end: Column) -> Column:
-        return F.array(F.struct(start.alias("start"), end.alias("end"), F.substring(token["value"], start - token["start"] + 1, F.greatest(end - start, F.lit(0))).alias("value")))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], s["start"])).alias("parts"))
-
-    zero = F.struct(token["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("parts"))
-    over = F.filter(spans, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
-    return F.aggregate(over, zero, step, lambda acc: F.filter(F.concat(acc["parts"], part(acc["at"], token["end"])), lambda p: p["start"] < p["end"]))
-
-
 def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "base", spans: str = "spans", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end), code points with the end exclusive, in order of start, then kind.
 
@@ -118,11 +105,13 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "b
     ratio reaches ``least_ratio``. Whole texts, null as empty; a row depends on its text alone, without a shuffle; columns named like a result are replaced.
     """
     whole, llr = F.coalesce(F.col(text), F.lit("")), model_column(model)
-    tokens = matches(whole, rf"[A-Za-z0-9+/_=-]{{{settings.least_length},}}")
-    with_base = docs.withColumn(base, base_spans(whole)).withColumn("__tokens", tokens)
-    more = F.filter(F.flatten(F.transform("__tokens", lambda t: outside(t, F.col(base)))), lambda t: (F.length(t["value"]) >= settings.least_length) & (ratio(t["value"], llr) >= settings.least_ratio))
+    with_base = docs.withColumn(base, base_spans(whole))
+    # with base spans blanked, the parts of tokens outside them are the tokens that are left
+    rest = with_base.withColumn("__rest", replaced(whole, merged(F.col(base)), lambda n: F.repeat(F.lit(" "), n)))
+    tokens = matches(F.col("__rest"), rf"[A-Za-z0-9+/_=-]{{{settings.least_length},}}")
+    more = F.filter(tokens, lambda t: ratio(t["value"], llr) >= settings.least_ratio)
     added = F.transform(more, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("kind"), t["end"].alias("end"))).cast(SPAN)
-    return with_base.withColumn(spans, F.array_sort(F.concat(F.col(base), added))).drop("__tokens")
+    return rest.withColumn(spans, F.array_sort(F.concat(F.col(base), added))).drop("__rest")
 
 
 def written(spans: Column) -> Column:
@@ -134,11 +123,5 @@ def written(spans: Column) -> Column:
 def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[secret]", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``mark``, overlapping spans by one; texts without a span stay as they are, null included."""
     found = scan(docs, model, text, "__base", "__spans", settings)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["parts"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]), fresh).otherwise(acc["parts"]).alias("parts"))
-
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    clean = replaced(F.col(text), merged(F.col("__spans")), lambda n: F.lit(mark))
     return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
