@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from tidespine.llm.common import ship, slices
+from tidespine.llm.common import kept, ship, slices
 from tidespine.llm.vocab import ChunkEncoder, read_definition
 
 NEVER = 1 << 60
@@ -27,7 +27,7 @@ END = 0x10000
 class PrefixEncoder:
     """Encodes words written in the byte-level alphabet of a BPE file with word ends."""
 
-    def __init__(self, definition: dict, pairs_kept: int = 300_000):
+    def __init__(self, definition: dict, pairs_kept: int = 200_000):
         model = definition["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.rank: dict[int, int] = {}
@@ -115,18 +115,14 @@ class PrefixEncoder:
         return ids[::-1]
 
 
-_ready: dict[int, tuple[ChunkEncoder, pa.Array]] = {}
-
-
 def _codec(text: str) -> tuple[ChunkEncoder, pa.Array]:
     """Encoder and token table of a definition, built once for a Python worker."""
-    key = hash(text)
-    if key not in _ready:
+    def build() -> tuple[ChunkEncoder, pa.Array]:
         d = json.loads(text)
         by_id = {i: t for t, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d["added_tokens"]}
-        _ready.clear()
-        _ready[key] = ChunkEncoder(text, PrefixEncoder(d).word), pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
-    return _ready[key]
+        return ChunkEncoder(text, PrefixEncoder(d).word), pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
+
+    return kept(f"bpe {hash(text)}", build)
 
 
 def encode_texts(texts: pa.Array, definition: str) -> pa.ListArray:
@@ -151,9 +147,9 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
     """
     ship(docs.sparkSession)
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
-    kept = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    names = [f.name for f in kept]
+    rest = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
+    schema = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):

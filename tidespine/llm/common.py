@@ -4,8 +4,9 @@ from __future__ import annotations
 import io
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,8 +32,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Shuffle files of a finished write go at once, as nothing reads them again.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is stored: shuffle files of the finished write go at once, as nothing reads them again, and what a Python worker is sent at a time is small.
+WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+                 "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -42,12 +44,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in WHILE_STORING}
+    for k, v in WHILE_STORING.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,6 +91,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept for the next tasks of this Python worker; whatever else was kept goes."""
+    if key not in _kept:
+        release()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what earlier tasks of other operators have left in a reused Python worker."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds few rows and, unless one text is longer, at most ``size`` bytes of text."""
     for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidespine.llm.common import ship, slices, stored
+from tidespine.llm.common import kept, ship, slices, stored
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 #: Missing digests sent to all tasks at most, 40 bytes each; beyond, texts and digests meet by a shuffle.
@@ -48,9 +48,6 @@ def counter(model: bytes, library: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(rules.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
-_ready: dict[str, Callable[[list[str]], list[int]]] = {}
-
-
 def content_digest(text: Column) -> Column:
     """SHA-256 of a text's normalised form. Null is normalised to the empty text and nothing else is, as any other change could change a count."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -74,11 +71,9 @@ def encode_missing(texts: DataFrame, model: bytes, library: str, tokenizer: str)
     held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ready:
-            _ready.clear()
-            _ready[tokenizer] = counter(held.value, library)
+        count = kept(f"counter {tokenizer}", lambda: counter(held.value, library))
         for piece in slices(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(_ready[tokenizer](piece.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(count(piece.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 

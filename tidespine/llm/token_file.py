@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidespine.llm.common import ship, slices
+from tidespine.llm.common import kept, ship, slices
 from tidespine.llm.vocab import ChunkEncoder, read_definition
 
 #: Fixed values of the coding: values in a word, by selector; 120 values of no bits are zeros.
@@ -96,19 +96,15 @@ def unpack_range(words: np.ndarray, escapes: np.ndarray, jumps: np.ndarray, n: i
     return unpack(words[first:last], escapes[escaped:escaped + inside], int(end - base))[lo - base:hi - base]
 
 
-_ready: dict[int, ChunkEncoder] = {}
-
-
 def _encoder(text: str) -> ChunkEncoder:
     """The library's BPE model behind the word cache, built once for a Python worker."""
-    from tokenizers import Tokenizer
+    def build() -> ChunkEncoder:
+        from tokenizers import Tokenizer
 
-    key = hash(text)
-    if key not in _ready:
         model = Tokenizer.from_str(text).model
-        _ready.clear()
-        _ready[key] = ChunkEncoder(text, lambda word: [t.id for t in model.tokenize(word)])
-    return _ready[key]
+        return ChunkEncoder(text, lambda word: [t.id for t in model.tokenize(word)])
+
+    return kept(f"token file {hash(text)}", build)
 
 
 BLOCK = "part int, block int, first long, doc_ids array<long>, lens array<long>, n_ids long, n_words long, jumps array<long>, data binary"

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidespine.llm.common import ship, slices, stored, words_of
+from tidespine.llm.common import release, ship, slices, stored, words_of
 
 
 @dataclass(frozen=True)
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setti
     sample = stored(positive.union(unlabelled).dropDuplicates(["text", "positive"]), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         count, rows, buckets = np.zeros((2, settings.buckets), np.int64), [0, 0], Buckets(settings)
         for part in slices(batches):
             for text, pos in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -148,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setti
     place = {r.bucket: k for k, r in enumerate(chosen.select("bucket").collect())}
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         buckets = Buckets(settings, place)
         for part in slices(batches):
             got = [sorted(buckets.text(t)) for t in part.column(0).to_pylist()]
@@ -172,6 +174,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
     carried = names + [text] * (text not in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         buckets = Buckets(m.settings, m.place)
         for part in slices(batches, text):
