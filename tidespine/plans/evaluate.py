@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidespine.functions.scalar import change
+from tidespine.operators.asof import asof_join
 from tidespine.operators.calendar import calendar_index
 from tidespine.operators.dedup import symmetrise
 from tidespine.operators.intervals import interval_rows
@@ -48,7 +49,7 @@ def peer_correlation(preds: DataFrame, prices: DataFrame, top_n: int = 10, days:
     """Mean pairwise return correlation among the ``top_n`` entities of each prediction set, by ``rank`` or else by ``score``.
 
     Returns align by date, or with ``positional`` by position from the newest row. Pairs form only
-    inside the fixed top_n, so a set contributes at most top_n * (top_n - 1) of them.
+    inside the fixed top_n, so a set contributes at most top_n * (top_n - 1) of them. ``keys`` hold ``date``.
     """
     keys = list(keys)
     if "rank" not in preds.columns:  # a row_number with a bound: each task keeps its own best before the shuffle
@@ -57,28 +58,62 @@ def peer_correlation(preds: DataFrame, prices: DataFrame, top_n: int = 10, days:
     else:
         top = preds.where(F.col("rank") <= top_n)
     top = top.select(*keys, "ticker").distinct()
-    rows = interval_rows(top, prices.select("ticker", F.col("date").alias("_pd"), "close_price"), ["ticker"], "date",
-                         -days, 0, right_on="_pd")
-    w = Window.partitionBy(*keys, "ticker").orderBy("fact_day")
-    every = Window.partitionBy(*keys, "ticker")
-    ret = rows.withColumn("_r", change("close_price", F.lag("close_price").over(w))).where("_r is not null")
-    ret = ret.withColumn("_n", F.count("_r").over(every)).where(F.col("_n") > min_returns)
-    ret = ret.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "ticker").orderBy(F.col("fact_day").desc())))
-    at = "_pos" if positional else "fact_day"
-    a = ret.select(*keys, "ticker", at, "_r")
-    b = ret.select(*keys, F.col("ticker").alias("_peer"), at, F.col("_r").alias("_s"))
-    half = a.join(b, [*keys, at]).where(F.col("ticker") < F.col("_peer")).groupBy(*keys, "ticker", "_peer").agg(
-        F.count(F.lit(1)).alias("_m"), pearson("_r", "_s").alias("_c"))
+    priced, half = (_by_position if positional else _by_day)(top, prices, keys, days, min_returns)
     pairs = symmetrise(half, "ticker", "_peer")  # each pair is correlated once and read both ways
     mean = pairs.where((F.col("_m") >= min_overlap) & F.col("_c").isNotNull()).groupBy(*keys, "ticker").agg(
         F.avg("_c").alias("_mean"))
-    priced = ret.select(*keys, "ticker").distinct()
     counts = priced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     out = priced.join(counts, keys).join(mean, [*keys, "ticker"], "left").select(
         *keys, "ticker", F.when(F.col("_k") == 1, F.lit(0.0)).otherwise(F.round("_mean", 4)).alias("peer_correlation_90d"))
     return preds.join(out, [*keys, "ticker"], "left")
 
 
+def _by_position(top: DataFrame, prices: DataFrame, keys: list[str], days: int, min_returns: int) -> tuple[DataFrame, DataFrame]:
+    """(entities with returns enough, half of the pairs with overlap and correlation): returns meet at their place from the newest row of each set."""
+    rows = interval_rows(top, prices.select("ticker", F.col("date").alias("_pd"), "close_price"), ["ticker"], "date", -days, 0, right_on="_pd")
+    w = Window.partitionBy(*keys, "ticker").orderBy("fact_day")
+    every = Window.partitionBy(*keys, "ticker")
+    ret = rows.withColumn("_r", change("close_price", F.lag("close_price").over(w))).where("_r is not null")
+    ret = ret.withColumn("_n", F.count("_r").over(every)).where(F.col("_n") > min_returns)
+    ret = ret.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "ticker").orderBy(F.col("fact_day").desc())))
+    a = ret.select(*keys, "ticker", "_pos", "_r")
+    b = ret.select(*keys, F.col("ticker").alias("_peer"), "_pos", F.col("_r").alias("_s"))
+    half = a.join(b, [*keys, "_pos"]).where(F.col("ticker") < F.col("_peer")).groupBy(*keys, "ticker", "_peer").agg(
+        F.count(F.lit(1)).alias("_m"), pearson("_r", "_s").alias("_c"))
+    return ret.select(*keys, "ticker").distinct(), half
+
+
+def _by_day(top: DataFrame, prices: DataFrame, keys: list[str], days: int, min_returns: int) -> tuple[DataFrame, DataFrame]:
+    """The same for returns that meet on their day. A pair has one correlation a day whatever the sets, so each pair's days are summed up once along its history, and a
+    set's frame is the difference of two looked-up sums; sets join last. Returns are centred, so the differences keep their digits."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    ret = prices.select("ticker", "date", change("close_price", F.lag("close_price").over(w)).alias("_r"), F.lag("date").over(w).alias("_since")).where("_r is not null")
+    ret = cut_lineage(ret.withColumn("_r", F.col("_r") - F.avg("_r").over(Window.partitionBy("ticker"))))
+    own = _frame_sums(top.select("ticker", "date").distinct(), ret, ["ticker"], days, {"n": F.lit(1)})
+    priced = cut_lineage(top.join(own.where(F.col("n") > min_returns).select("ticker", "date"), ["ticker", "date"], "left_semi"))
+    pairs = priced.join(priced.withColumnRenamed("ticker", "_peer"), keys).where(F.col("ticker") < F.col("_peer"))
+    other = ret.select(F.col("ticker").alias("_peer"), "date", F.col("_r").alias("_s"), F.col("_since").alias("_also"))
+    both = pairs.select("ticker", "_peer").distinct().join(ret, "ticker").join(other, ["_peer", "date"])
+    both = both.withColumn("_since", F.least("_since", "_also"))
+    x, y = F.col("_r"), F.col("_s")
+    sums = _frame_sums(pairs.select("ticker", "_peer", "date").distinct(), both, ["ticker", "_peer"], days, {"n": F.lit(1), "x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y})
+    n, vx, vy = F.col("n"), F.col("n") * F.col("xx") - F.col("x") * F.col("x"), F.col("n") * F.col("yy") - F.col("y") * F.col("y")
+    # a constant side leaves only rounding noise, far below its own sum of squares
+    varies = (vx > n * F.col("xx") * 1e-12) & (vy > n * F.col("yy") * 1e-12)
+    corr = F.when(varies, (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy))
+    return priced, pairs.join(sums.where("n > 0").select("ticker", "_peer", "date", n.alias("_m"), corr.alias("_c")), ["ticker", "_peer", "date"])
+
+
+def _frame_sums(asked: DataFrame, rows: DataFrame, by: list[str], days: int, parts: dict[str, Column]) -> DataFrame:
+    """For each (``by``, date) asked for, sums over the rows on or before it whose ``_since`` is at most ``days`` before it. ``_since`` never falls along a key's dates."""
+    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select(*by, F.col("date").alias("_at"), "_since", *[F.sum(e).over(w).alias(k) for k, e in parts.items()])
+    upto = asof_join(asked, run.drop("_since"), on="date", right_on="_at", by=by, left_unique=True)
+    gone = run.select(*by, F.greatest("_at", F.date_add("_since", days + 1)).alias("_gone"), F.col("_at").alias("_last"), *[F.col(k).alias(f"_{k}") for k in parts])
+    past = asof_join(asked, gone, on="date", right_on="_gone", by=by, tie_break=["_last"], left_unique=True)
+    return upto.join(past, [*by, "date"]).select(*by, "date", *[(F.coalesce(k, F.lit(0)) - F.coalesce(f"_{k}", F.lit(0))).alias(k) for k in parts])
+
+
 def rank_predictions(preds: DataFrame, by: Sequence[str], score: str = "expected_annual_return") -> DataFrame:
     """rank 1..n by score inside each prediction set, ties by ticker; no set has to fit one task."""
     ranked = row_number_in_group(preds, by, [F.col(score).desc_nulls_last(), F.col("ticker")], "rank")
