@@ -405,7 +405,8 @@ def s35(t):
 
 @query("s36_incremental_days", "SELECT day AS date, COUNT(*) AS n FROM ev WHERE day NOT IN (SELECT day FROM news WHERE net_sentiment < 0) GROUP BY 1")
 def s36(t):
-    done = t.news.where("net_sentiment < 0").select(F.to_date("timestamp").alias("date"))
+    done = scratch_path(t.spark, "scored-days")
+    sk.write_dates(t.news.where("net_sentiment < 0").select(F.to_date("timestamp").alias("date"), "net_sentiment"), done)
     return sk.unprocessed(t.ev.withColumnRenamed("day", "date"), done).groupBy("date").agg(F.count(lit(1)).alias("n"))
 
 
@@ -418,12 +419,16 @@ def s37(t):
 
 @query("s38_entity_history", "SELECT ticker, date, close_price FROM px WHERE ticker = 'NATION_7' ORDER BY date")
 def s38(t):
-    return rd.entity_history(t.px, "NATION_7").select("ticker", "date", "close_price")
+    path = scratch_path(t.spark, "clustered")
+    sk.write_clustered(t.px, path)
+    return rd.entity_history(t.spark.read.parquet(path), "NATION_7").select("ticker", "date", "close_price")
 
 
 @query("s38_last_rows", "SELECT ticker, period_end, revenue FROM fq WHERE ticker = 'NATION_7' ORDER BY period_end DESC LIMIT 4")
 def s38_last(t):
-    return rd.last_rows(t.fq, "NATION_7", 4, "period_end").select("ticker", "period_end", "revenue")
+    path = scratch_path(t.spark, "clustered")
+    sk.write_clustered(t.fq, path, on="period_end")
+    return rd.last_rows(t.spark.read.parquet(path), "NATION_7", 4, "period_end").select("ticker", "period_end", "revenue")
 
 
 @query("s39_preferred_set", """WITH h AS (SELECT date, ticker, CASE WHEN day(date) % 3 = 0 THEN horizon WHEN horizon = '5d' THEN '252d' ELSE '756d' END AS horizon FROM preds),

@@ -1,6 +1,8 @@
 """Reading stored tables: typed scans, views, registry lookups, latest and per-entity reads."""
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -91,15 +93,14 @@ def country_energy(raw: DataFrame, countries: list[str] = ENERGY_COUNTRIES) -> D
 
 
 def partition_values(spark: SparkSession, path: str, on: str = "date") -> DataFrame:
-    """(on: string): the values of a partition column, from the file listing alone; none where nothing is stored."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    try:
-        paths = files.load(path).select("path")  # the content column is pruned, so no file is opened
-    except AnalysisException as exc:
-        if not _is_absent(exc):
-            raise
-        return spark.createDataFrame([], f"{on} string")
-    return paths.select(F.regexp_extract("path", rf"/{on}=([^/]+)/", 1).alias(on)).where(F.col(on) != "").distinct()
+    """(on: string): the values of the first partition column of a stored table, from the names of its folders, one level deep; none where nothing is stored.
+
+    What is listed has a row for each value, however many files they hold.
+    """
+    names = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{on}=*")
+    found = names.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(names) or []
+    values = [(unquote(s.getPath().getName().split("=", 1)[1]),) for s in found if s.isDirectory()]
+    return spark.createDataFrame(sorted(values), f"{on} string")
 
 
 def latest_partition(spark: SparkSession, path: str, on: str = "date") -> DataFrame:
@@ -110,6 +111,7 @@ def latest_partition(spark: SparkSession, path: str, on: str = "date") -> DataFr
 
 
 def entity_history(df: DataFrame, ticker: str, on: str = "date") -> DataFrame:
+    """Rows of one entity in date order. Of a table written by ``write_clustered`` only the row groups that hold it are read."""
     return df.where(F.col("ticker") == ticker).orderBy(on)
 
 

@@ -34,6 +34,20 @@ def write_dates(df: DataFrame, path: str, *more: str) -> None:
     write_by(df, path, "date", *more)
 
 
+#: Bytes of a row group of a clustered table: small, so that a read of one entity skips most of a file.
+ROW_GROUP = 4 << 20
+
+
+def write_clustered(df: DataFrame, path: str, key: str = "ticker", on: str = "date", mode: str = "overwrite", row_group: int = ROW_GROUP) -> None:
+    """A table for reads of one entity: dealt into ranges of (key, day) and sorted, in small row groups with a Bloom filter on the key.
+
+    The bounds of a sorted row group, its page index and its filter tell whether it can hold an entity, so a read by ``key`` touches few row groups of few
+    files. A hot entity spreads over as many ranges as its days need.
+    """
+    (df.repartitionByRange(key, on).sortWithinPartitions(key, on).write.mode(mode).option(f"parquet.bloom.filter.enabled#{key}", "true")
+     .option("parquet.block.size", row_group).option("parquet.page.size", min(row_group, 64 << 10)).parquet(path))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """The whole table, replaced."""
     df.write.mode("overwrite").parquet(path)
@@ -97,9 +111,11 @@ def guarded_write(spark: SparkSession, path: str, run_date: str, period: str,
     return True
 
 
-def unprocessed(inputs: DataFrame, outputs: DataFrame, on: str = "date") -> DataFrame:
-    """Input rows of the days that have no output yet."""
-    done = outputs.select(on).distinct()
+def unprocessed(inputs: DataFrame, outputs: DataFrame | str, on: str = "date") -> DataFrame:
+    """Input rows of the days that have no output yet. ``outputs`` may be the path of a table partitioned by day: its days then come from the listing."""
+    if isinstance(outputs, str):
+        outputs = partition_values(inputs.sparkSession, outputs, on).select(F.col(on).cast("date").alias(on))
+    done = outputs.select(on).distinct()  # one row a day
     return inputs.join(F.broadcast(done), on, "left_anti")
 
 
