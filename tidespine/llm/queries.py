@@ -133,7 +133,32 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM d),
+f AS (SELECT conv_id, turn, role, text, i, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN shown[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+ins(s, e, n, said) AS (VALUES (0, 0, 0, []::VARCHAR[]), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 1, 0, []), (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']),
+  (2, 2, 0, []), (2, 3, 1, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 3, 0, []), (3, 2, 1, ['user:']), (3, 3, 2, ['user:', 'assistant:'])),
+op(s, e, letter, cost, own, role, initial) AS (VALUES (0, 0, 'D', 3, 0, '', ''), (1, 1, 'D', 3, 0, '', ''), (2, 2, 'D', 3, 0, '', ''), (3, 3, 'D', 3, 0, '', ''), (0, 2, 'R', 2, 1, 'user', ''), (1, 2, 'R', 2, 1, 'user', ''), (2, 3, 'R', 2, 1, 'assistant', ''),
+  (3, 2, 'R', 2, 1, 'user', ''), (0, 2, 'K', 0, 1, '', 'u'), (1, 2, 'K', 0, 1, '', 'u'), (2, 3, 'K', 0, 1, '', 'a'), (3, 2, 'K', 0, 1, '', 'u'), (0, 1, 'K', 0, 1, '', 's')),
+way AS (SELECT ins.s, op.e, n, ins.said, letter, 2 * n + cost AS cost, own, op.role, initial FROM ins JOIN op ON ins.e = op.s),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]} AS best FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, way.e, min({'cost': dp.best.cost + way.cost + CASE WHEN way.own = 1 AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': dp.best.audit || repeat('I', way.n) || way.letter,
+    'said': list_concat(dp.best.said, list_concat(way.said, CASE WHEN way.own = 0 THEN []::VARCHAR[] ELSE [CASE way.letter WHEN 'K' THEN f.role ELSE way.role END || ':' || f.text] END))})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN way ON way.s = dp.s
+  WHERE (way.own = 0 OR f.fault NOT IN ('blank', 'duplicate')) AND (way.letter <> 'K' OR f.role[1] = way.initial) GROUP BY 1, 2, 3),
+n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
+b AS (SELECT dp.conv_id, min({'cost': dp.best.cost + 2 * ins.n, 'audit': dp.best.audit || repeat('I', ins.n), 'said': list_concat(dp.best.said, ins.said)}) AS best
+  FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.s = dp.s AND ins.e IN (0, 3) GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id""")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     messages, found = conversation.repair(conversation.damaged(rows))
