@@ -24,9 +24,14 @@ def local_session(app: str = "tidespine", cores: str | int = "*", partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset one under the warehouse, which a cluster shares too."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset one under the warehouse, which a cluster shares too.
+
+    On a cluster one of the two must be named: the default warehouse is a folder of the driver's machine.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local") and not sc.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
