@@ -1,7 +1,9 @@
 """Helpers the text operators share: durable intermediate tables, word splitting, column checks."""
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -85,7 +87,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w") as archive:
         for f in sorted(root.rglob("*.py")):
             archive.write(f, f.relative_to(root.parent))
-    target = Path(tempfile.mkdtemp()) / "tidespine.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # served to executors until the session ends
+    target = Path(folder) / "tidespine.zip"
     target.write_bytes(held.getvalue())
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
