@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidespine.catalog.base import query
+from tidespine.catalog.base import ORACLE, query
 from tidespine.functions.scalar import rounded
 from tidespine.functions.text import cpc_bucket
 from tidespine.plans import events as ev, filings as fl, macro as ma, market as mk, price as pr
@@ -380,6 +380,23 @@ def f16(t):
     return rounded(ma.gov_ticker_features(t.px, t.awards, t.award_names), 2)
 
 
+def spelled(t, rows, column):
+    """The rows with the entity's name in one of four spellings in place of the supplier's, by the row's supplier."""
+    named = rows.join(t.award_names.withColumnRenamed("awardee_name", column), column)
+    forms = F.array(F.initcap("ticker"), F.concat("ticker", F.lit(" INC")), F.concat(F.lower("ticker"), F.lit(" llc")), F.concat(F.lit("  "), "ticker", F.lit(" Corp")))
+    return named.withColumn(column, F.get(forms, F.pmod(F.xxhash64(column), F.lit(4)).cast("int"))).drop("ticker")
+
+
+@query("f16_gov_ticker_matched")
+def f16_matched(t):
+    awards = spelled(t, t.awards, "awardee_name")
+    names = ma.matched_names(awards, "awardee_name", t.layers.select("ticker", F.col("ticker").alias("search_name")))
+    return rounded(ma.gov_ticker_features(t.px, awards, names), 2)
+
+
+ORACLE["f16_gov_ticker_matched"] = ORACLE["f16_gov_ticker"]  # any spelling is to find its entity
+
+
 @query("f16_gov_market", """
 WITH d AS (SELECT DISTINCT date FROM px),
 sp AS (SELECT d.date, COALESCE(SUM(contract_value_usd::DECIMAL(18,2))::DOUBLE, 0.0) AS s FROM d LEFT JOIN (SELECT date AS wd, contract_value_usd FROM awards WHERE naics_code IN ('334413', '518210', '541511', '541512', '541519')) a ON wd BETWEEN d.date - 30 AND d.date GROUP BY 1),

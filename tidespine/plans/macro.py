@@ -10,6 +10,7 @@ from tidespine.functions.scalar import clip, ratio, yoy, zero_fill
 from tidespine.operators.asof import asof_join
 from tidespine.operators.dedup import keep_latest, pivot_sum
 from tidespine.operators.intervals import Span, span_agg
+from tidespine.operators.match import CUTOFF, match_names
 
 KEYS = ["ticker", "date"]
 CYBER_COLS = ["cve_critical_7d", "cve_high_7d", "cisa_kev_7d", "otx_pulse_7d", "cve_critical_30d", "cisa_kev_30d",
@@ -60,6 +61,15 @@ def cyber_features(threats: DataFrame, dense_days: DataFrame | None = None) -> D
     return df.withColumn("cyber_threat_index_7d", clip(F.col("_w") / peak, 0.0, 1.0)).select("date", *CYBER_COLS)
 
 
+def matched_names(rows: DataFrame, name: str, targets: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """(name, ticker) for the names of filings that resemble a registered one: the name table of awards and patents where none is kept by hand.
+
+    ``targets`` is (ticker, search_name). Every spelling at or above the cutoff counts, and goes to its best ticker.
+    """
+    found = match_names(rows.select(F.col(name).alias("raw")).where(F.col(name).isNotNull()), targets, cutoff, all_names=True)
+    return found.withColumnRenamed("raw", name)
+
+
 def gov_ticker_features(spine: DataFrame, awards: DataFrame, names: DataFrame, dedup: bool = False) -> DataFrame:
     """Award value, count and momentum per (ticker, date). ``names`` maps awardee_name to ticker.
 
