@@ -27,7 +27,7 @@ END = 0x10000
 class PrefixEncoder:
     """Encodes words written in the byte-level alphabet of a BPE file with word ends."""
 
-    def __init__(self, definition: dict, pairs_kept: int = 200_000):
+    def __init__(self, definition: dict, pairs_kept: int = 100_000):
         model = definition["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.rank: dict[int, int] = {}

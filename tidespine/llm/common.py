@@ -34,9 +34,10 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Settings while a table is stored: shuffle files of the finished write go at once, as nothing reads them again, and what a Python worker is sent at a time is small.
-WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-                 "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Setting while a table is stored: shuffle files of the finished write go at once, as nothing reads them again.
+WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: What a Python worker is sent at a time, where the session does not say: few rows, as each holds a whole text.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -79,7 +80,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python once a session, whatever their path is. The archive is read by the driver alone."""
+    """Give this package to the executors' Python once a session, whatever their path is, and the session small Arrow batches unless it has its own.
+    The archive is read by the driver alone."""
+    for k, v in BATCHES.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     app, root = spark.sparkContext.applicationId, Path(tidespine.__file__).parent
     if app in _shipped or not root.is_dir():
         return

@@ -48,7 +48,7 @@ class ChunkEncoder:
     becomes the old one, and what is met again moves on, so rare words never push out the common ones.
     """
 
-    def __init__(self, text: str, encode_word: Callable[[str], list[int]], limit: int = 100_000):
+    def __init__(self, text: str, encode_word: Callable[[str], list[int]], limit: int = 60_000):
         from tokenizers import Tokenizer
 
         self.encode_word, self.limit = encode_word, limit
