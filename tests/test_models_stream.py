@@ -36,6 +36,11 @@ def test_agreement_and_freshness(spark):
     assert out["a"]["status"] == "STALE" and out["a"]["age_days"] == 4 and out["b"]["status"] == "MISSING"
 
 
+def test_displayed_percents(spark):
+    df = spark.createDataFrame([("A", "5d", 0.5335, -0.5335, 0.1234)], "ticker string, horizon string, expected_annual_return double, confidence_low double, confidence_high double")
+    assert tuple(evl.display(df).first()) == ("A", "5d", 53.4, -53.4, 12.3, 65.7)
+
+
 def test_folds():
     assert evl.fold_bounds(1000, 100) == [(1, 700, 800), (2, 800, 900), (3, 900, 1000)]
     with pytest.raises(ValueError):
