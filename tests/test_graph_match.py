@@ -186,3 +186,14 @@ def test_few_positions_become_rows(spark):
     assert anchors.count() == len(patterns) and n < sum(map(len, texts)) / 10
     got = {(r.id, r.w) for r in match.contains_pairs(df, p, "text", "w", ["id"]).collect()}
     assert got == {(i, w) for i, t in enumerate(texts) for w in patterns if w in t}
+
+
+def test_names_that_share_most_bigrams_hardly_meet(spark, monkeypatch):
+    # numbered names: nearly all share the word and zeros, few are alike
+    names = [f"supplier#{i:09d}" for i in range(1, 61)]
+    aliases = [f"supplier{i * 7919:09d}" for i in range(1, 501)]
+    n, a = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(a,) for a in aliases], "alias string")
+    want = {(n, a) for n in names for a in aliases if difflib.SequenceMatcher(None, n, a).ratio() >= 0.9}
+    monkeypatch.setattr(match, "similarity", lambda a, b: F.lit(1.0))  # all pairs that are scored
+    scored = {(r["name"], r["alias"]) for r in fuzzy_pairs(n, a, 0.9).collect()}
+    assert want <= scored and len(scored) < 300  # of 30,000

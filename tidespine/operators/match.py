@@ -31,45 +31,64 @@ def similarity(a: str, b: str) -> Column:
     return F.pandas_udf(ratios, DoubleType())(F.col(a), F.col(b))
 
 
-def _bigrams(df: DataFrame, name: str, keep_all: list[str]) -> DataFrame:
+def _bigrams(df: DataFrame, name: str, length: str) -> DataFrame:
     """One row per (name, numbered bigram): repeated bigrams get a running number, so counts are multisets."""
     n = F.length(name)
     grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(F.col(name), i, F.lit(2))))
-    rows = df.select(*keep_all, F.explode(grams).alias("_g"))
-    counts = rows.groupBy(*keep_all, "_g").agg(F.count(F.lit(1)).alias("_c"))
-    return counts.select(*keep_all, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_k"), "_g").withColumn(
-        "_g", F.concat("_g", F.lit("#"), F.col("_k").cast("string"))).drop("_k")
+    counts = df.select(name, length, F.explode(grams).alias("_g")).groupBy(name, length, "_g").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.select(name, length, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_k"), "_g").select(
+        name, length, F.xxhash64("_g", "_k").alias("_g"))
+
+
+#: Keys that a name may get: it is looked up by three, two or one of its rarest bigrams, by as many as keep to this. It touches the cost alone, not the pairs.
+KEYS = 150
+
+
+def _choices(tokens: str, several: Column) -> Column:
+    """Hashes of all choices of ``several`` (1 to 3) elements of the array, in its order."""
+    p, rest = F.col(tokens), lambda i: F.slice(tokens, i, F.greatest(F.size(tokens) - i + 1, F.lit(0)))
+    two = F.flatten(F.transform(p, lambda x, i: F.transform(rest(i + 2), lambda y: F.xxhash64(x, y))))
+    three = F.flatten(F.transform(p, lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: F.xxhash64(x, y, z))))))
+    return F.when(several == 1, p).when(several == 2, two).otherwise(three)
 
 
 def fuzzy_pairs(names: DataFrame, aliases: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(name, alias, ratio) for all pairs with ratio >= cutoff, found without a cross join.
 
     With ratio >= c, M >= cT/2 characters match in at most T-2M+1 blocks, so the names share at least
-    M - (T-2M+1) = 3M-T-1 bigrams. Any two names that share k of their bigrams must agree on one among
-    the rarest n-k+1 of each side, so only those are joined (prefix filter); equal names are added
-    directly. The bound is exact for every length, so no true match is lost.
+    k = M - (T-2M+1) = 3M-T-1 bigrams. Any two names that share k of their n bigrams share s of them among
+    the rarest n-k+s of each side, so only names with the same s rare bigrams meet (prefix filter), s being
+    1 to 3 by the two lengths; equal names are added directly. Their unmatched characters, T-2M at most,
+    bound the edit distance, which rules out most that meet. Both bounds are exact for every length, so no true match is lost.
     """
     if cutoff < CUTOFF:
         raise ValueError("the bigram bound needs a cutoff of at least 0.85")
     names = names.select("name").where("name is not null").distinct().withColumn("_ln", F.length("name"))
     aliases = aliases.select("alias").where("alias is not null").distinct().withColumn("_la", F.length("alias"))
-    need = 1.5 * cutoff - 1.0  # shared bigrams >= need * T - 1
     shortest = cutoff / (2.0 - cutoff)  # the partner is at least this fraction as long
-    ng = _bigrams(names, "name", ["name", "_ln"])
-    ag = _bigrams(aliases, "alias", ["alias", "_la"])
-    freq = ng.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-
-    def prefix(grams: DataFrame, key: str, length: str) -> DataFrame:
-        ranked = grams.join(freq, "_g", "left")
-        shared = F.greatest(F.lit(1), F.ceil(need * (1.0 + shortest) * F.col(length) - 1.0 - 1e-9))
-        keep = (F.col(length) - 1 - shared + 1).cast("int")
-        lists = ranked.groupBy(key, length).agg(F.sort_array(F.collect_list(
-            F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g")))).alias("_l"))
-        return lists.select(key, length, F.explode(F.slice("_l", F.lit(1), F.greatest(keep, F.lit(1)))).alias("_x")).select(
-            key, length, F.col("_x.g").alias("_g"))
-
-    close = (F.col("_la") >= F.col("_ln") * shortest - 1e-9) & (F.col("_ln") >= F.col("_la") * shortest - 1e-9)
-    pairs = prefix(ng, "name", "_ln").join(prefix(ag, "alias", "_la"), "_g").where(close).select("name", "alias").distinct()
+    ng, ag = cut_lineage(_bigrams(names, "name", "_ln")), cut_lineage(_bigrams(aliases, "alias", "_la"))
+    count = lambda grams, to: grams.groupBy("_g").agg(F.count(F.lit(1)).alias(to))
+    freq = cut_lineage(count(ng, "_f").join(count(ag, "_fa"), "_g").select("_g", (F.col("_f") * F.col("_fa")).alias("_f")))  # bigrams of both sides
+
+    matched = F.ceil(cutoff * (F.col("_ln") + F.col("_la")) / 2 - 1e-9).cast("int")  # M, at least
+    spare = F.col("_ln") + F.col("_la") - 2 * matched
+    close = (F.col("_la") >= F.col("_ln") * shortest - 1e-9) & (F.col("_ln") >= F.col("_la") * shortest - 1e-9) & (spare >= 0)
+    # one row for each two lengths that occur; its k and s hold for all names of these lengths
+    lengths = ng.select("_ln").distinct().join(ag.select("_la").distinct(), close).withColumn("_share", F.greatest(F.lit(1), matched - spare - 1))
+    left = F.greatest("_ln", "_la") - 1 - F.col("_share")
+    several = F.when((left + 3) * (left + 2) * (left + 1) <= 6 * KEYS, 3).when((left + 2) * (left + 1) <= 2 * KEYS, 2).otherwise(1)
+    lengths = cut_lineage(lengths.withColumn("_s", F.least("_share", several)))
+
+    def keyed(grams: DataFrame, key: str, length: str) -> DataFrame:
+        shares = lengths.groupBy(length, "_s").agg(F.min("_share").alias("_share"))
+        found = F.sort_array(F.collect_list(F.struct("_f", F.col("_g").alias("g"))))  # those of one side alone come first in the order and meet nothing
+        lists = grams.join(freq, "_g").groupBy(key, length).agg(found["g"].alias("_l")).join(F.broadcast(shares), length)
+        gone = F.greatest(F.col(length) - 1, F.lit(1)) - F.size("_l")
+        rare = F.slice("_l", F.lit(1), F.greatest(F.col(length) - 1 - F.col("_share") + F.col("_s") - gone, F.lit(0)))
+        return lists.select(key, length, "_s", rare.alias("_p")).select(key, length, "_s", F.explode(_choices("_p", F.col("_s"))).alias("_x"))
+
+    met = keyed(ng, "name", "_ln").join(keyed(ag, "alias", "_la"), ["_x", "_s"]).join(F.broadcast(lengths), ["_ln", "_la", "_s"], "left_semi")
+    pairs = met.where(F.levenshtein("name", "alias") <= spare).select("name", "alias").distinct()
     equal = names.join(aliases, names["name"] == aliases["alias"]).select("name", "alias")
     pairs = pairs.unionByName(equal).distinct()
     return pairs.withColumn("ratio", similarity("name", "alias")).where(F.col("ratio") >= cutoff)
