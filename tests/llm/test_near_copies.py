@@ -85,3 +85,46 @@ def test_sketches_never_rule_out_a_similar_pair(spark):
     got = df.select("similar", near_copies.may_be_similar(df.a, df.b).alias("may")).collect()
     assert all(r.may for r in got if r.similar) and sum(r.similar for r in got) > 50
     assert sum(r.may for r in got if not r.similar) < 0.3 * sum(not r.similar for r in got)
+
+
+def test_a_large_group_of_edited_copies_is_not_met_as_pairs(spark, monkeypatch):
+    rnd, rows = random.Random(10), []
+    plain = [f"w{i}" for i in range(3000)]
+    line = [rnd.choice(plain) for _ in range(200)]
+    for k in range(150):
+        words = list(line)
+        words[rnd.randrange(len(words))] = rnd.choice(plain)
+        rows.append((k, " ".join(words)))
+    for k in range(150, 200):  # pairs of copies that share a passage alone
+        words = [rnd.choice(plain) for _ in range(40)] + line[:12]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[1:]))]
+    met, named = [], []
+    linked, trees = near_copies.linked, near_copies.simhash.near_components
+    monkeypatch.setattr(near_copies, "linked", lambda pairs, *more: (met.append(pairs.count()), linked(pairs, *more))[1])
+    monkeypatch.setattr(near_copies.simhash, "near_components", lambda *a, **k: (named.append(1), trees(*a, **k))[1])
+    kept = near_copies.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(rows)
+    assert named and max(met) <= len(rows)
+
+
+def test_groups_are_ruled_out_only_where_all_their_sets_are(spark):
+    rnd, rows = np.random.default_rng(11), []
+    for _ in range(150):
+        n = int(rnd.integers(1, 900))
+        base = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        near = lambda p: np.unique(np.concatenate([base[rnd.random(len(base)) < p], rnd.integers(0, 1 << 63, int(rnd.integers(0, n // 20 + 1))).astype(np.uint64)]))  # noqa: E731,B023
+        groups = []
+        for p in (rnd.uniform(0.97, 1), rnd.uniform(0.7, 1)):
+            sets = [t for t in (near(p) for _ in range(int(rnd.integers(1, 4)))) if len(t)] or [base]
+            words = len(near_copies.sketch(sets[0]))
+            sets = [t for t in sets if len(near_copies.sketch(t)) == words]
+            s = np.array([near_copies.sketch(t) for t in sets])
+            v = np.bitwise_and.reduce(s)
+            k = None if len(sets) == 1 else (v | ~np.bitwise_or.reduce(s)).tolist()
+            groups.append((sets, (min(map(len, sets)), max(map(len, sets)), v.tolist(), k)))
+        rows.append((groups[0][1], groups[1][1], any(near_copies.similar(a, b) for a in groups[0][0] for b in groups[1][0])))
+    one = "struct<least:int,most:int,s:array<long>,k:array<long>>"
+    df = spark.createDataFrame(rows, f"a {one}, b {one}, similar boolean")
+    got = df.select("similar", near_copies.groups_may_be_similar(df.a, df.b).alias("may")).collect()
+    assert all(r.may for r in got if r.similar) and sum(r.similar for r in got) > 20
+    assert not all(r.may for r in got)
