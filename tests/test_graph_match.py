@@ -188,6 +188,21 @@ def test_few_positions_become_rows(spark):
     assert got == {(i, w) for i, t in enumerate(texts) for w in patterns if w in t}
 
 
+@pytest.mark.parametrize("piece", [5, 1 << 18])
+def test_texts_are_scanned_as_bytes(spark, monkeypatch, piece):
+    # patterns at both ends of a text, over the border of two texts and of two pieces, in letters of one to four bytes
+    monkeypatch.setattr(match, "PIECE", piece)
+    rnd = random.Random(6)
+    texts = [None, "", *("".join(rnd.choice("abé語🎈 ") for _ in range(rnd.randrange(40))) for _ in range(200))]
+    words = {t[i : i + n] for t in texts[2:] for n in (1, 2, 3, 5, 9, 20) for i in (0, 3, len(t) - n) if 0 <= i < len(t)} | {"".join(texts[3:6])[3:25]} - {""}
+    df, p = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "id int, other string, text string"), spark.createDataFrame([(w,) for w in words], "w string")
+    found = match.contains_pairs(df, p, "text", "w", ["id", "other"])
+    got = [(r.id, r.other, r.w) for r in found.collect()]
+    want = {(i, str(i), w) for i, t in enumerate(texts) for w in words if t and w in t}
+    assert len(got) == len(want) and set(got) == want
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()  # no string for each position
+
+
 def test_names_that_share_most_bigrams_hardly_meet(spark, monkeypatch):
     # numbered names: nearly all share the word and zeros, few are alike
     names = [f"supplier#{i:09d}" for i in range(1, 61)]

@@ -3,9 +3,11 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from tidespine.functions.text import normalize_name
 from tidespine.session import cut_lineage
@@ -123,11 +125,11 @@ BITS_EACH, BITS_MOST = 16, 1 << 22
 def contains_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
     """(keys, pattern) for every pattern that occurs anywhere in the text, for dictionaries of any size.
 
-    A pattern is looked up by one of its grams of 8, 4, 2 or 1 characters, as long as it has: the one that a sample of the texts holds least often. Empty and
-    null patterns match nothing. The only values on the driver are the gram lengths in use, at most four, and the size of the anchor bitmap.
+    A pattern is looked up by one of its grams of 8, 4, 2 or 1 characters, as long as it has: the one that a sample of the texts holds least often. Texts are
+    scanned for the first bytes of it, as UTF-8 holds a string where it holds its bytes. Empty and null patterns match nothing. The only values on the driver are the gram lengths in use, at most four, and the size of the anchor bitmap.
     """
-    anchors, parts = _gram_anchors(texts, patterns, text, pattern)
-    return _verified(texts, anchors, parts, text, pattern, keys, lambda p: F.contains(F.col(text), p))
+    anchors, _ = _gram_anchors(texts, patterns, text, pattern)
+    return _verified(texts, _byte_hits(texts, anchors, text, pattern, keys), text, pattern, keys, lambda p: F.contains(F.col(text), p))
 
 
 def word_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
@@ -146,7 +148,8 @@ def word_pairs(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, k
         anchors = heads.where("_g <> ''").select(pattern, F.concat(F.lit("w"), "_g").alias("_g")).unionByName(grams.select(pattern, F.concat(F.lit("g"), "_g").alias("_g")))
         parts = F.concat(marked(words, "w"), marked(parts, "g"))
     quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    return _verified(texts, anchors, parts, text, pattern, keys, lambda p: F.contains(F.col(text), p) & F.regexp_like(F.col(text), quoted(p)))
+    hits = _part_hits(texts, anchors, parts, text, pattern, keys)
+    return _verified(texts, hits, text, pattern, keys, lambda p: F.contains(F.col(text), p) & F.regexp_like(F.col(text), quoted(p)))
 
 
 def _grams_at(value: str, q: int) -> Column:
@@ -186,9 +189,8 @@ def _anchor_bits(anchors: DataFrame) -> tuple[DataFrame, int]:
     return anchors.sparkSession.createDataFrame([(words,)], "bits array<long>"), bits
 
 
-def _verified(texts: DataFrame, anchors: DataFrame, parts: Column, text: str, pattern: str, keys: list[str], holds) -> DataFrame:
-    """Parts of a text that pass the bitmap of the anchors become rows; these meet the anchors in an equi-join from which only keys and patterns go on.
-    The texts that have candidates then meet them, and they are verified inside the row."""
+def _part_hits(texts: DataFrame, anchors: DataFrame, parts: Column, text: str, pattern: str, keys: list[str]) -> DataFrame:
+    """(keys, pattern): parts of a text that pass the bitmap of the anchors become rows; these meet the anchors in an equi-join."""
     held, bits = _anchor_bits(anchors)
 
     def known(g: Column) -> Column:
@@ -196,7 +198,73 @@ def _verified(texts: DataFrame, anchors: DataFrame, parts: Column, text: str, pa
         return F.get(F.col("_bits"), F.floor(place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
 
     marked = texts.select(*keys, text).withColumn("_bits", held.scalar())
-    hits = marked.select(*keys, F.explode(F.filter(parts, known)).alias("_g")).join(anchors.select(pattern, "_g"), "_g")
+    return marked.select(*keys, F.explode(F.filter(parts, known)).alias("_g")).join(anchors.select(pattern, "_g"), "_g").select(*keys, pattern)
+
+
+#: Bytes of text that are looked up at a time.
+PIECE = 1 << 18
+
+
+def _byte_hits(texts: DataFrame, anchors: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
+    """(keys, pattern): the same for grams at any position. An anchor's first 8, 4, 2 or 1 bytes, as many as it has, are looked up in the bytes of the texts.
+
+    The worker functions are built here so that they travel with the job by value.
+    """
+    n = F.octet_length("_g")
+    width = F.when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
+    starts = anchors.select(pattern, F.substring(F.col("_g").cast("binary"), F.lit(1), width).alias("_k"))
+    widths = sorted(r["_w"] for r in starts.select(F.octet_length("_k").alias("_w")).distinct().collect())
+    bits = 1 << 10
+    while bits < min(BITS_MOST, BITS_EACH * anchors.count()):
+        bits *= 2
+    shift, odd, piece = np.uint64(65 - bits.bit_length()), np.uint64(0x9E3779B97F4A7C15), PIECE
+
+    def places(values: np.ndarray, width: int) -> np.ndarray:
+        return ((values.astype(np.uint64) + np.uint64(width)) * odd) >> shift
+
+    def mark(batches):
+        for batch in batches:
+            at = [int(places(np.frombuffer(k, f"<u{len(k)}"), len(k))[0]) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x // 8 for x in at], pa.int32()), pa.array([1 << x % 8 for x in at], pa.int32())], names=["_at", "_b"])
+
+    marks = starts.select("_k").distinct().mapInArrow(mark, "_at int, _b int").groupBy("_at").agg(F.bit_or("_b").alias("_b")).collect()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in marks:
+        bitmap[r["_at"]] = r["_b"]
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def scan(batches):
+        known = np.unpackbits(held.value, bitorder="little").view(bool)
+        for batch in batches:
+            col = batch.column(batch.num_columns - 1).cast(pa.large_string())
+            if not len(col) or col.buffers()[2] is None:
+                continue
+            ends, data = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1], np.frombuffer(col.buffers()[2], np.uint8)
+            for width in widths:
+                for start in range(int(ends[0]), int(ends[-1]) - width + 1, piece):
+                    windows = np.ndarray((min(piece, int(ends[-1]) - width + 1 - start),), f"<u{width}", data, start, (1,))
+                    at = np.flatnonzero(known[places(windows, width)])
+                    row = np.searchsorted(ends, at + start, "right") - 1
+                    inside = at + start + width <= ends[row + 1]
+                    row, value = row[inside], windows[at[inside]]
+                    order = np.lexsort((value, row))
+                    row, value = row[order], value[order]
+                    first = np.ones(len(row), bool)
+                    first[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+                    row, value = row[first], value[first]
+                    if len(row):
+                        offsets = pa.py_buffer(np.arange(0, width * len(row) + 1, width, dtype=np.int32))
+                        found = pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(np.ascontiguousarray(value))])
+                        taken = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(taken) for i in range(batch.num_columns - 1)), found], names=[*batch.schema.names[:-1], "_k"])
+
+    read = texts.where(F.col(text).isNotNull()).select(*keys, text)
+    schema = StructType([*read.schema.fields[:-1], StructField("_k", BinaryType())])
+    return read.mapInArrow(scan, schema).join(starts, "_k").select(*keys, pattern)
+
+
+def _verified(texts: DataFrame, hits: DataFrame, text: str, pattern: str, keys: list[str], holds) -> DataFrame:
+    """Only keys and patterns of the candidates meet the texts again, once each, and they are verified inside the row."""
     hits = hits.groupBy(*keys).agg(F.collect_set(pattern).alias("_p"))  # at most the patterns whose anchors a text has
     return texts.select(*keys, text).join(hits, keys).select(*keys, F.explode(F.filter("_p", holds)).alias(pattern))
 
