@@ -34,6 +34,19 @@ def test_agreement_text_to_deals(spark):
     assert [(r["party_b"], r["deal_type"], r["deal_mw"], r["buyer_type"], r["confidence"]) for r in got] == [("AMZN", "power_purchase_agreement", 500.0, "hyperscaler", 0.7)]
 
 
+def test_a_filing_is_classified_once_and_without_patterns(spark):
+    text = "The Wafer SUPPLY Agreement and a license agreement. Acme, Beta and Filer sign for 2 GW."
+    docs = spark.createDataFrame([(1, "F", day(0), "u", text), (2, "F", day(0), "v", "Filer alone: a joint venture"), (3, "F", day(0), "w", None)],
+                                 "filing_id int, filer_ticker string, date date, url string, text string")
+    names = spark.createDataFrame([("acme", "A", 0), ("beta", "B", 1), ("filer", "F", 2)], "company_name string, ticker string, ord int")
+    out = text_deals(docs, names)
+    got = sorted((r["filing_id"], r["party_b"], r["deal_type"], r["deal_mw"], r["description"]) for r in out.collect())
+    assert got == [(1, p, "supply_agreement", 2000.0, "Acme, Beta and Filer sign for 2 GW") for p in "AB"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode(")]  # what runs for each counterparty
+    assert "wafer" not in above and "RLIKE" not in plan and "megawatt" not in above
+
+
 XML = """<ownershipDocument{ns}><reportingOwner><reportingOwnerId><rptOwnerName>Jane Doe</rptOwnerName></reportingOwnerId>
 <reportingOwnerRelationship><isDirector>1</isDirector></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>{rows}</nonDerivativeTable></ownershipDocument>"""
 ROW = """<nonDerivativeTransaction><transactionDate><value>2024-01-05</value></transactionDate><transactionCoding><transactionCode>{c}</transactionCode></transactionCoding>

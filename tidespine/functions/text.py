@@ -1,7 +1,6 @@
 """Text to facts: classification, capacity, amounts, names and tags as column expressions."""
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -54,11 +53,16 @@ GIGAWATT, MEGAWATT = "GW|gigawatt", "MW|megawatt"
 
 def classify(text: str | Column, keywords: Mapping[str, Sequence[str]], default: str) -> Column:
     """First class, in mapping order, with a keyword inside the text (case-insensitive)."""
-    low = F.lower(col(text))
-    out = F.lit(default)
-    for name, words in reversed(list(keywords.items())):
-        out = F.when(low.rlike("|".join(re.escape(w) for w in words)), F.lit(name)).otherwise(out)
-    return out
+    def first(low: Column) -> Column:
+        out = F.lit(default)
+        for name, words in reversed(list(keywords.items())):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(low, F.lit(w))
+            out = F.when(hit, F.lit(name)).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(F.lower(col(text))), first), F.lit(0))  # the text is lower-cased once, then searched for plain words
 
 
 def deal_type(text: str | Column) -> Column:

@@ -33,12 +33,15 @@ def text_deals(filings: DataFrame, names: DataFrame, prefilter: bool = True) ->
     hits = contains_pairs(low, names.select("company_name"), "_low", "company_name", ["filing_id"])
     named = hits.join(names.select("company_name", F.col("ticker").alias("party_b"), "ord"), "company_name")
     first = named.groupBy("filing_id", "party_b").agg(F.min_by("company_name", "ord").alias("company_name"))
-    rows = docs.join(first, "filing_id").where(F.col("filer_ticker") != F.col("party_b"))
-    return rows.select(
-        "filing_id", "date", F.col("filer_ticker").alias("party_a"), "party_b", deal_type("text").alias("deal_type"),
-        mention_sentence("text", "company_name").alias("description"), F.lit("8-K").alias("source"),
-        F.col("url").alias("source_url"), F.lit(TEXT_CONFIDENCE).alias("confidence"), deal_mw("text").alias("deal_mw"),
-        buyer_type("company_name").alias("buyer_type"))
+    sides = first.groupBy("filing_id").agg(F.collect_list(F.struct("party_b", "company_name")).alias("_sides"))
+    rows = docs.join(sides, "filing_id").select(
+        "filing_id", "date", F.col("filer_ticker").alias("party_a"), "text", "url", deal_type("text").alias("deal_type"),
+        deal_mw("text").alias("deal_mw"), F.filter("_sides", lambda s: s["party_b"] != F.col("filer_ticker")).alias("_sides"))
+    return rows.withColumn("_side", F.explode("_sides")).select(
+        "filing_id", "date", "party_a", F.col("_side.party_b").alias("party_b"), "deal_type",
+        mention_sentence("text", "_side.company_name").alias("description"), F.lit("8-K").alias("source"),
+        F.col("url").alias("source_url"), F.lit(TEXT_CONFIDENCE).alias("confidence"), "deal_mw",
+        buyer_type("_side.company_name").alias("buyer_type"))
 
 
 def build_deals(manual: DataFrame, from_text: DataFrame, layers: DataFrame) -> DataFrame:
