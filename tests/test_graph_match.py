@@ -91,6 +91,20 @@ def test_match_names(spark):
     assert len(match_names(raw, t).where("ticker = 'NVDA'").collect()) == 1
 
 
+def test_rows_of_names_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(n,) for n in ("NVIDIA Corp", "Micron Technology Inc", "Other LLC") * 20], "raw string").mapInArrow(seen, "raw string")
+    t = spark.createDataFrame([("NVDA", "nvidia"), ("MU", "micron technology inc")], "ticker string, search_name string")
+    got = {tuple(r) for r in match_names(rows, t, all_names=True).collect()}
+    assert got == {("NVIDIA Corp", "NVDA"), ("Micron Technology Inc", "MU")} and read.value == 60
+
+
 def test_normalize_name(spark):
     names = {"Acme Holdings Inc": "acme", " Foo Technologies LLC ": "foo technologies llc".replace(" llc", "").replace(" technologies", ""), "Co": "co", "Big Co Corp": "big"}
     out = {r["n"]: r["m"] for r in spark.createDataFrame([(n,) for n in names], "n string").withColumn("m", normalize_name("n")).collect()}

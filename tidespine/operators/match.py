@@ -103,7 +103,7 @@ def match_names(raw_names: DataFrame, targets: DataFrame, cutoff: float = CUTOFF
     its best normalised name, and one raw name for it (the last by order); ``all_names`` keeps every raw
     name at or above the cutoff, with its best ticker.
     """
-    raw = raw_names.select("raw").distinct().withColumn("name", normalize_name("raw"))
+    raw = cut_lineage(raw_names.select("raw").distinct()).withColumn("name", normalize_name("raw"))  # the rows are read once, their names many times
     wanted = targets.select("ticker", normalize_name("search_name").alias("alias"))
     scored = fuzzy_pairs(raw, wanted.select("alias"), cutoff).join(wanted, "alias")
     if all_names:
