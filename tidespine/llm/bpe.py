@@ -8,7 +8,7 @@ therefore holds the encodings of all its prefixes, and the back-pointers of the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -20,6 +20,8 @@ from tidespine.llm.common import kept, ship, slices
 from tidespine.llm.vocab import ChunkEncoder, read_definition
 
 NEVER = 1 << 60
+#: Bytes of text that a worker takes at a time, and words its cache keeps: encoder, cache and slice together stay within some 150 MB.
+SLICE, WORDS_KEPT = 1 << 20, 30_000
 #: Added to a letter's code point where it ends a word: another unit of the alphabet.
 END = 0x10000
 
@@ -39,8 +41,6 @@ class PrefixEncoder:
             if whole in self.parts or max(self.rank.get(a, -1), self.rank.get(b, -1)) >= at:
                 raise ValueError("a token is made twice, or before its parts")
             self.rank[whole], self.parts[whole], self.merge_rank[a, b] = at, (a, b), at
-        self.left = {t: self.spine(t, 0) for t in vocab.values()}
-        self.right = {t: self.spine(t, 1) for t in vocab.values()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pairs_kept = pairs_kept
         self.matches = ahocorasick.Automaton()
@@ -66,7 +66,7 @@ class PrefixEncoder:
         The facing parts grow from letters, always the one whose own next merge comes first. A merge across the
         border wins if it comes before the left side's next merge, and not after the right side's, which stands further right.
         """
-        ra, lb = self.right[a], self.left[b]
+        ra, lb = self.spine(a, 1), self.spine(b, 0)
         i, j = len(ra) - 1, len(lb) - 1
         while True:
             up_a = self.rank[ra[i - 1]] if i else NEVER
@@ -120,7 +120,7 @@ def _codec(text: str) -> tuple[ChunkEncoder, pa.Array]:
     def build() -> tuple[ChunkEncoder, pa.Array]:
         d = json.loads(text)
         by_id = {i: t for t, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d["added_tokens"]}
-        return ChunkEncoder(text, PrefixEncoder(d).word), pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
+        return ChunkEncoder(text, PrefixEncoder(d).word, WORDS_KEPT), pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
 
     return kept(f"bpe {hash(text)}", build)
 
@@ -137,6 +137,15 @@ def decode_ids(ids: pa.Array, definition: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens), " ")
 
 
+def encoded(batches: Iterable[pa.RecordBatch], text: str, definition: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray, pa.Array]]:
+    """Slices of the batches, their ids and the ids read back; what Arrow has freed goes back to the system after each."""
+    for part in slices(batches, text, size=SLICE):
+        ids = encode_texts(part.column(part.schema.get_field_index(text)), definition)
+        yield part, ids, decode_ids(ids, definition)
+        del part, ids
+        pa.default_memory_pool().release_unused()
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` without its text, with ``ids`` (array<int>) and ``decoded`` (the ids read back).
 
@@ -152,9 +161,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            got = encode_texts(part.column(part.schema.get_field_index(text)), definition.value)
-            back = decode_ids(got, definition.value)
+        for part, got, back in encoded(batches, text, definition.value):
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), got, back], names=[*names, ids, decoded])
 
     return docs.select(*names, text).mapInArrow(run, schema)

@@ -52,9 +52,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.encode_word, self.limit = encode_word, limit
-        rules = Tokenizer.from_str(text)
+        d = json.loads(text)
+        self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
+        # only the file's rules are taken from the library here: its model would stay in the worker's memory
+        rules = Tokenizer.from_str(json.dumps(d | {"model": d["model"] | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.normalize, self.split_letters = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
-        self.special = {t["content"]: t["id"] for t in json.loads(text)["added_tokens"]}
         specials = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.at_special = re.compile(f"({specials})") if specials else None
         # below the first combining mark NFC changes nothing; the rest of Unicode is cut as the file's own rules do it, whatever Unicode version Python has
