@@ -141,3 +141,19 @@ def test_horizon_tags_stay_text(spark):
     path = scratch_path(spark, "h")
     sk.write_by(spark.createDataFrame([(1, "5d"), (2, "20d")], "x int, horizon string"), path, "horizon")
     assert {r["horizon"] for r in rd.read_partitions(spark, path, "x int, horizon string").collect()} == {"5d", "20d"}
+
+
+def test_insider_documents_without_codes_are_not_parsed(spark):
+    from tidespine.sources import filings
+
+    def xml(code):
+        return ("<ns:ownershipDocument xmlns:ns='http://x.org/o'><ns:nonDerivativeTable><ns:nonDerivativeTransaction><transactionDate><value>2024-01-02</value></transactionDate>"
+                f"<transactionCoding><transactionCode>{code}</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>2</value></transactionShares>"
+                "<transactionPricePerShare><value>3</value></transactionPricePerShare></transactionAmounts></ns:nonDerivativeTransaction></ns:nonDerivativeTable></ns:ownershipDocument>")
+
+    codes = ["P", "S", " P ", "\n\tS\r\n", "<![CDATA[P]]>", "&#80;", "<!-- bought -->P", "S<!-- sold -->", "G", "PS", "P S", "", "X"]
+    docs = spark.createDataFrame([(f"T{i}", day(0), xml(code)) for i, code in enumerate(codes)] + [("T99", day(0), "no xml"), ("T98", day(0), None)], "ticker string, filed_date date, xml string")
+    got = filings.insider_transactions(docs)
+    assert sorted(r["ticker"] for r in got.collect()) == sorted(f"T{i}" for i in range(8))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_xml" in plan.split("RLIKE")[0] and "from_xml" not in plan.split("RLIKE")[1]

@@ -19,9 +19,9 @@ def text(x):
 
 
 def landed(t, df, label):
-    """Payloads as a feed leaves them, in a folder of several files: extraction jobs start from there."""
+    """Payloads as a feed leaves them, in a folder of files as the tables' tasks write them, without a shuffle: extraction jobs start from there."""
     path = scratch_path(t.spark, label)
-    df.repartition(16).write.parquet(path)
+    df.write.parquet(path)
     return t.spark.read.parquet(path)
 
 

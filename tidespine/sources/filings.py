@@ -1,6 +1,9 @@
 """Filing documents to typed rows. Each document is one row with its text; no document is cut."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidespine.functions.dates import parse_day
@@ -49,9 +52,12 @@ def insider_transactions(docs: DataFrame, text: str = "xml") -> DataFrame:
     """Open-market purchases and sales of an ownership filing.
 
     ``docs`` carries ticker and filed_date. The first owner names the insider; without a title the
-    first set role flag names it.
+    first set role flag names it. Parsing is most of the work, so a document where neither a code stands by itself
+    between tags nor an entity, comment or CDATA section could make one is left out before it: it has no such row.
     """
-    parsed = docs.select("ticker", "filed_date", _xml(text, _OWNERSHIP).alias("x"))
+    plain = reduce(or_, [F.contains(F.col(text), F.lit(x)) for x in [*(f">{code}<" for code in OPEN_MARKET_CODES), "&", "<!"]])
+    coded = plain | F.col(text).rlike(rf">[\x00-\x20]*(?:{'|'.join(OPEN_MARKET_CODES)})[\x00-\x20]*<")
+    parsed = docs.where(coded).select("ticker", "filed_date", _xml(text, _OWNERSHIP).alias("x"))
     owner = F.try_element_at(F.col("x.reportingOwner"), F.lit(1))
     role = owner["reportingOwnerRelationship"]
     flag = lambda c: F.trim(role[c]) == "1"
