@@ -233,3 +233,22 @@ def test_names_that_share_most_bigrams_hardly_meet(spark, monkeypatch):
     monkeypatch.setattr(match, "similarity", lambda a, b: F.lit(1.0))  # all pairs that are scored
     scored = {(r["name"], r["alias"]) for r in fuzzy_pairs(n, a, 0.9).collect()}
     assert want <= scored and len(scored) < 300  # of 30,000
+
+
+@pytest.mark.parametrize("sent", [0, 1, 50_000])
+def test_hops_send_small_frontiers_and_shuffle_large_ones(spark, monkeypatch, sent):
+    from tidespine.operators import graph
+
+    monkeypatch.setattr(graph, "SENT", sent)
+    pairs = [(f"n{i}", f"n{(i * 7 + 3) % 40}", 1.0) for i in range(40)] + [("x", "y", 1.0)]
+    near, level, want = {}, {"n0"}, {"n0": 0}
+    for a, b, _ in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    while level := {b for a in level for b in near[a]} - want.keys():
+        want |= dict.fromkeys(level, max(want.values()) + 1)
+    edges = both_ways(spark, pairs + pairs)  # repeated edges change nothing
+    nodes = edges.select(F.col("ticker_from").alias("ticker"))
+    for said in (False, True):
+        got = {r["ticker"]: r["hops"] for r in hops_to_set(nodes, edges, ["n0"], both_ways=said).collect()}
+        assert got == {n: want.get(n) for n in near}

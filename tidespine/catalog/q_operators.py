@@ -17,6 +17,7 @@ from tidespine.operators.windows import (full_mean, full_sum, rank_position, rea
 from tidespine.plans import deals as dl, filings as fl, market as mk
 from tidespine.plans.attach import spine_of
 from tidespine.plans.evaluate import display, hit_rate, pearson
+from tidespine.session import cut_lineage
 from tidespine.sources import filings as sf
 
 rounded = sc.rounded
@@ -847,9 +848,9 @@ def u09(t):
 def f09_hops(t):
     o = t.raw("orders").select("o_orderkey", "o_custkey")
     l = t.raw("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    e = l.select(F.concat(F.lit("C"), "o_custkey").alias("x"), F.concat(F.lit("S"), "l_suppkey").alias("y")).distinct()
-    e = dedup.symmetrise(e, "x", "y")
-    out = hops_to_set(e.select(F.col("x").alias("ticker")), e, ["S1"], a="x", b="y")
+    pairs = cut_lineage(l.select("o_custkey", "l_suppkey").distinct())
+    e = dedup.symmetrise(pairs.select(F.concat(F.lit("C"), "o_custkey").alias("x"), F.concat(F.lit("S"), "l_suppkey").alias("y")), "x", "y")
+    out = hops_to_set(e.select(F.col("x").alias("ticker")), e, ["S1"], a="x", b="y", both_ways=True)
     return out.select("ticker", "hops", F.round(proximity("hops"), 9).alias("proximity"))
 
 
