@@ -186,3 +186,20 @@ def test_stream_is_exactly_once_over_restarts(spark):
     run()
     got = spark.read.parquet(out)
     assert sorted((r["mmsi"], r["corridor"]) for r in got.collect()) == [("1", "taiwan_strait"), ("2", "taiwan_strait"), ("3", "other")]
+
+
+def test_words_are_counted_inside_their_row(spark):
+    from collections import Counter
+
+    from tidespine.plans import scoring
+
+    texts = ["b a b  c a b", "", None, "one", "x x x x", "É é e " * 50, " ".join(f"w{i % 7}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: {w["word"]: w["_n"] for w in r["c"]} for r in df.select("id", scoring.word_counts(scoring.words_in(F.col("text"))).alias("c")).collect()}
+    assert got == {i: dict(Counter((t or "").lower().split())) for i, t in enumerate(texts)}
+    model = spark.createDataFrame([("", -1.0, -1.0, -1.0), ("b", -1.0, -2.0, -3.0), ("w3", -3.0, -1.0, -2.0)], "word string, positive double, negative double, neutral double")
+    scored = scoring.linear_scores(df, ["id"], "text", model)
+    # one grouping, by row, after the join: none by row and word before it
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    by = {r["id"]: r for r in scored.collect()}
+    assert [by[i]["label"] for i in (0, 1, 6)] == ["positive", "positive", "negative"] and abs(by[1]["positive"] - 1 / 3) < 1e-12

@@ -36,6 +36,17 @@ def words_in(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
 
 
+def word_counts(words: Column) -> Column:
+    """(word, _n) of each distinct word of an array: it is sorted once, and a word's count is the way to where the next one begins."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+
+    def counted(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return once(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(w, i).alias("word"), (F.coalesce(F.get(f, k + 1), F.size(w)) - i).alias("_n"))))
+
+    return once(F.array_sort(words), lambda w: F.when(F.size(w) > 0, counted(w)).otherwise(F.array().cast("array<struct<word:string,_n:int>>")))
+
+
 def train_text_model(rows: DataFrame, text: str, label: str) -> DataFrame:
     """(word, positive, negative, neutral): log-likelihoods of a linear text model, fitted on rows labelled with one of the three classes.
 
@@ -55,11 +66,11 @@ def train_text_model(rows: DataFrame, text: str, label: str) -> DataFrame:
 def linear_scores(df: DataFrame, keys: Sequence[str], text: str, model: DataFrame) -> DataFrame:
     """``df`` with the five score columns by a model of ``train_text_model``. ``keys`` identify a row.
 
-    Words are counted by row and met with the model in an equi-join, whatever the size of either; sums combine before the shuffle. Words that the model does not
-    know say nothing; a text without known words gets the classes' shares.
+    Words are counted inside their row, so that they are shuffled once, to meet the model in an equi-join, whatever the size of either; sums combine before
+    their shuffle. Words that the model does not know say nothing; a text without known words gets the classes' shares.
     """
-    counted = df.select(*keys, F.explode(F.concat(F.array(F.lit("")), words_in(F.col(text)))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_n"))
-    sums = counted.join(model, "word").groupBy(*keys).agg(*[F.sum(F.col("_n") * F.col(c)).alias(f"_{c}") for c in CLASSES])
+    counted = df.select(*keys, F.explode(F.concat(F.array(F.struct(F.lit("").alias("word"), F.lit(1).alias("_n"))), word_counts(words_in(F.col(text))))).alias("_w"))
+    sums = counted.select(*keys, "_w.word", "_w._n").join(model, "word").groupBy(*keys).agg(*[F.sum(F.col("_n") * F.col(c)).alias(f"_{c}") for c in CLASSES])
     top = F.greatest(*[F.col(f"_{c}") for c in CLASSES])
     parts = {c: F.exp(F.col(f"_{c}") - top) for c in CLASSES}
     whole = parts["positive"] + parts["negative"] + parts["neutral"]
