@@ -157,3 +157,13 @@ def test_insider_documents_without_codes_are_not_parsed(spark):
     assert sorted(r["ticker"] for r in got.collect()) == sorted(f"T{i}" for i in range(8))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "from_xml" in plan.split("RLIKE")[0] and "from_xml" not in plan.split("RLIKE")[1]
+
+
+def test_deals_get_their_names_after_the_large_join(spark):
+    from tidespine.catalog.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines = t.deal_lines
+    assert not {"n_name", "ticker", "party_a", "party_b"} & set(lines.columns) and lines.count() == t.deals.count() == t.raw("lineitem").count()
+    keys = lines.select("day", "c_nationkey", "s_nationkey").distinct()
+    assert sorted(map(tuple, t.deal_parties(keys).select("day", "party_a", "party_b").collect())) == sorted(map(tuple, t.deals.select("date", "party_a", "party_b").distinct().collect()))

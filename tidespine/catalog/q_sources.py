@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidespine.catalog.base import query
-from tidespine.catalog.views import case_col
+from tidespine.catalog.views import DEAL_OF_LINE, case_col
 from tidespine.functions.scalar import rounded
 from tidespine.plans import filings as pf
 from tidespine.schemas import empty
@@ -65,7 +65,10 @@ def s04(t):
 @query("s05_csv_dimension", "SELECT date, party_a, party_b, deal_type, 'manual' AS source, 1.0::DOUBLE AS confidence FROM (SELECT DISTINCT date, party_a, party_b, deal_type FROM deals)")
 def s05(t):
     path = scratch_path(t.spark, "deals")
-    t.deals.select("date", "party_a", "party_b", "deal_type").distinct().write.option("header", True).csv(path)
+    kind = case_col(c("l_linenumber"), DEAL_OF_LINE, "licensing_agreement")
+    keys = t.deal_lines.select("day", "c_nationkey", "s_nationkey", "l_linenumber").distinct()  # at most days x nations x nations x lines
+    deals = t.deal_parties(keys).select(c("day").alias("date"), "party_a", "party_b", kind.alias("deal_type")).distinct()
+    deals.write.option("header", True).csv(path)
     out = rd.read_csv_table(t.spark, path, "deals", source="manual", confidence=1.0)
     return out.select("date", "party_a", "party_b", "deal_type", "source", "confidence")
 
