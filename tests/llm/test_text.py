@@ -268,6 +268,13 @@ def test_top_k(spark, sizes):
     assert topk.top_k(df.where("vec_id = 550"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_copies_no_vectors(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
+    plan = topk.top_k(df, F.col("id") % 10 == 0, 3, range_size=16, batch=2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
 def test_toxicity_learns_stems(spark):
     rnd = random.Random(5)
     plain = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randrange(2, 9))) for _ in range(600)]

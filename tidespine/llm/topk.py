@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidespine.llm.common import ship, stored
 
+#: Bytes of query vectors that a task holds while it meets the ranges.
+PART_BYTES = 16 << 20
 VECTORS = "{0}_ids array<long>, {0}_width int, {0}_data binary"
 
 
@@ -58,26 +60,46 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best_of_range(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores): the k best candidates of each query in this range, the query's own id left out, ties to smaller ids."""
-    starts = np.arange(0, len(c), block)
-    most, least = np.maximum.reduceat(c, starts), np.minimum.reduceat(c, starts)
-    positive, negative = np.maximum(q, 0), np.minimum(q, 0)
-    bounds = exact(positive, most) + exact(negative, least)  # summed term maxima
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    float_blocks = [c[s:s + block] for s in starts]
-    for i in range(len(q)):
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in order[i]:
-            if len(ids) >= k and bounds[i, b] < scores[k - 1]:
+class Best:
+    """The k best candidates of each query so far."""
+
+    def __init__(self, n: int, k: int):
+        self.ids, self.scores, self.count = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros(n, np.int64)
+
+    def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Ties go to smaller ids."""
+        n = self.count[i]
+        ids, scores = np.concatenate([self.ids[i, :n], ids]), np.concatenate([self.scores[i, :n], scores])
+        first = np.lexsort((ids, -scores))[:self.ids.shape[1]]
+        n = self.count[i] = len(first)
+        self.ids[i, :n], self.scores[i, :n] = ids[first], scores[first]
+
+
+class Range:
+    """A range of candidates with its blocks' greatest and least components."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, block: int):
+        self.ids, self.rows, self.block, starts = ids, rows, block, np.arange(0, len(rows), block)
+        self.most, self.least = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
+
+    def improve(self, best: Best, q_ids: np.ndarray, q: np.ndarray) -> None:
+        """Put into ``best`` the candidates of this range that belong there, a query's own id left out. Queries that are at the same block are scored together."""
+        bounds = exact(np.maximum(q, 0), self.most) + exact(np.minimum(q, 0), self.least)  # summed term maxima
+        order, going = np.argsort(-bounds, axis=1, kind="stable"), np.arange(len(q))
+        for step in range(order.shape[1]):
+            at = order[going, step]
+            hopeful = (best.count[going] < best.ids.shape[1]) | (bounds[going, at] >= best.scores[going, -1])
+            going, at = going[hopeful], at[hopeful]
+            if not len(going):
                 break
-            s = exact(q[i:i + 1], float_blocks[b])[0]
-            own = c_ids[starts[b]:starts[b] + block]
-            other = own != q_ids[i]
-            ids, scores = np.concatenate([ids, own[other]]), np.concatenate([scores, s[other]])
-            first = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[first], scores[first]
-        yield i, ids, scores
+            by = np.argsort(at, kind="stable")
+            for some in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+                asking, lo = going[some], at[some[0]] * self.block
+                scores, own = exact(q[asking], self.rows[lo:lo + self.block]), self.ids[lo:lo + self.block]
+                fits = (scores >= best.scores[asking, -1:]) | (best.count[asking] < best.ids.shape[1])[:, None]
+                fits &= own != q_ids[asking][:, None]
+                for j in np.flatnonzero(fits.any(1)):
+                    best.add(asking[j], own[fits[j]], scores[j, fits[j]])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector: str = "embedding", block: int = 256, range_size: int = 8192,
@@ -89,7 +111,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     Fewer candidates than ``k`` are all returned; an empty table gives no rows. Scores must fit 64 bits. ``is_query`` is a condition on the column ``id``.
 
     Candidates are ordered by the signs of their leading components, so that a block's vectors lean the same way, and cut into ranges; each batch of queries meets each
-    range once, in its own task row of bounded size. A range returns k rows for a query, and the last step ranks those.
+    range once, in a row of bounded size. A task reads some ranges and some batches where they are stored and keeps k candidates a query; the last step ranks those. No
+    batch or range is copied by a shuffle or broadcast.
     """
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
@@ -99,26 +122,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     ranges = stored(in_batches(ordered, "c", range_size).withColumn("range", F.monotonically_increasing_id()), "vector-ranges")
     queries = in_batches(rows.where(is_query).repartition(F.xxhash64("id")), "q", batch)
     queries = stored(queries.withColumn("q_batch", F.monotonically_increasing_id()), "vector-queries")
-    # the stated query set against all rows, in blocks: every batch is sent to every range's place
-    n = ranges.count()
-    places = ranges.select("range", (F.row_number().over(Window.orderBy("range")) - 1).alias("place"))  # one row per range
-    sent = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
-    asked = sent.join(places, "place").join(ranges, "range")
+    n, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("q_data")), F.lit(0))).first()
+    # a task holds the batches of one part while the ranges pass
+    queries = queries.repartition(max(1, -(-size // PART_BYTES), min(n, spark.sparkContext.defaultParallelism)))
+    # the stated query set against all rows, in blocks: every batch meets every range
+    asked = ranges.crossJoin(queries.hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, best = None, None, {}
         for part in batches:
             for r in range(part.num_rows):
-                q_ids, q_width, q_data, n_batch, c_ids, c_width, c_data = (part.column(j)[r].as_py() for j in range(7))
-                width = max(q_width, c_width)
-                q, c = (np.pad(np.frombuffer(d, np.int64).reshape(-1, w), ((0, 0), (0, width - w))) for d, w in ((q_data, q_width), (c_data, c_width)))
-                q_ids, out = np.array(q_ids), [[], [], [], []]
-                for i, ids, scores in best_of_range(q_ids, q, np.array(c_ids), c, k, block):
-                    out[0].append(np.full(len(ids), n_batch * (1 << 20) + i))
-                    out[1].append(np.full(len(ids), q_ids[i]))
-                    out[2].append(ids)
-                    out[3].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["query", "query_id", "vec_id", "score"])
-
-    near = asked.select("q_ids", "q_width", "q_data", "q_batch", "c_ids", "c_width", "c_data").mapInArrow(run, "query long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+                n_batch, n_range, q_width, c_width = (part.column(j)[r].as_py() for j in range(4))
+                if n_range != at:
+                    ids, data = (part.column(j)[r] for j in (4, 5))
+                    at, held = n_range, Range(ids.values.to_numpy(zero_copy_only=False), np.frombuffer(data.as_py(), np.int64).reshape(-1, c_width), block)
+                q = np.frombuffer(part.column(7)[r].as_py(), np.int64).reshape(-1, q_width)
+                q = np.pad(q[:, :c_width], ((0, 0), (0, max(0, c_width - q_width))))  # where one side ends early it has zeros, which add nothing
+                if n_batch not in best:
+                    best[n_batch] = part.column(6)[r].values.to_numpy(zero_copy_only=False).copy(), Best(len(q), k)
+                q_ids, found = best[n_batch]
+                held.improve(found, q_ids, q)
+        for n_batch, (q_ids, found) in best.items():
+            there = np.arange(k) < found.count[:, None]
+            rows = np.nonzero(there)[0]
+            columns = [np.full(len(rows), n_batch), rows, q_ids[rows], found.ids[there], found.scores[there]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["q_batch", "q_row", "query_id", "vec_id", "score"])
+
+    near = asked.select("q_batch", "range", "q_width", "c_width", "c_ids", "c_data", "q_ids", "q_data").mapInArrow(run, "q_batch long, q_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q_batch", "q_row").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
