@@ -125,8 +125,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     n, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("q_data")), F.lit(0))).first()
     # a task holds the batches of one part while the ranges pass
     queries = queries.repartition(max(1, -(-size // PART_BYTES), min(n, spark.sparkContext.defaultParallelism)))
-    # the stated query set against all rows, in blocks: every batch meets every range
-    asked = ranges.crossJoin(queries.hint("shuffle_replicate_nl"))
+    # the stated query set against all rows, in blocks: every batch meets every range, a product that is asked for
+    asked = ranges.join(queries.hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, best = None, None, {}
