@@ -167,3 +167,37 @@ def test_deals_get_their_names_after_the_large_join(spark):
     assert not {"n_name", "ticker", "party_a", "party_b"} & set(lines.columns) and lines.count() == t.deals.count() == t.raw("lineitem").count()
     keys = lines.select("day", "c_nationkey", "s_nationkey").distinct()
     assert sorted(map(tuple, t.deal_parties(keys).select("day", "party_a", "party_b").collect())) == sorted(map(tuple, t.deals.select("date", "party_a", "party_b").distinct().collect()))
+
+
+def test_stored_views_are_packed_and_families_stored_apart(spark):
+    import datetime as dt
+
+    from tidespine.catalog.views import Tables
+    from tidespine.plans import dataset as ds, market as mk, price
+    from tidespine.session import while_storing
+
+    views = Tables(spark, "/nowhere")
+    views.deals = spark.createDataFrame([(dt.date(2024, 1, 1), "A", "B", "licensing_agreement", 0.5)] * 3 + [(None, None, "B", None, None)], "date date, party_a string, party_b string, deal_type string, confidence double")
+    views.store("deals")
+    kept = views.stored("deals")
+    assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.schema.simpleString() == views.deals.schema.simpleString() and sorted(map(str, kept.collect())) == sorted(map(str, views.deals.collect()))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with while_storing(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
+
+    px = [(t, dt.date(2024, 1, 1) + dt.timedelta(i), 100.0 + i * k, 10 + i % 7) for k, t in enumerate("ABC") for i in range(60)]
+    px = spark.createDataFrame([(*r[:2], None if i % 50 == 7 else r[2], r[3]) for i, r in enumerate(px)], "ticker string, date date, close_price double, volume long")
+    layers = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "ticker string, layer string")
+    trades = spark.createDataFrame([("A", dt.date(2024, 1, 1) + dt.timedelta(i), "N", "P", 5.0) for i in range(40)], "ticker string, transaction_date date, insider_name string, transaction_code string, value double")
+    congress = spark.createDataFrame([("B", dt.date(2024, 1, 20), "purchase", 3.0)], "ticker string, trade_date date, transaction_type string, amount_mid double")
+    threats = spark.createDataFrame([(dt.date(2024, 1, 9), "cve_critical", 2.0)], "date date, metric string, value double")
+    src = ds.Sources(px, layers, mk.correlation_peers(layers), {"insider_trades": trades, "congress_trades": congress, "threats": threats})
+    got = ds.training_datasets(src, ["5d", "20d"])
+    assert "family-" not in got["5d"]._jdf.queryExecution().executedPlan().toString() and price.HORIZONS["5d"] == 5
+    for h, df in got.items():
+        want = ds.training_dataset(src, horizon=h)
+        assert df.columns == want.columns and df.dtypes == want.dtypes
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect())) and df.count() > 0
