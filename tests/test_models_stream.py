@@ -203,3 +203,12 @@ def test_words_are_counted_inside_their_row(spark):
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
     by = {r["id"]: r for r in scored.collect()}
     assert [by[i]["label"] for i in (0, 1, 6)] == ["positive", "positive", "negative"] and abs(by[1]["positive"] - 1 / 3) < 1e-12
+
+
+def test_small_fits_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ml, "PART_ROWS", 100)
+    df = panel(spark).coalesce(1)
+    model = ml.fit(df, ["f0", "f1"], "label_return", SMALL, band=False)
+    assert model.band is None and len(model.gbt.trees) == 1 and len(model.gbt.trees[0]) == SMALL.gbt_rounds
+    got = ml.importances(model, spark).collect()
+    assert [r["feature"] for r in got] == ["f0", "f1"] and sum(r["importance"] for r in got) == pytest.approx(1)
