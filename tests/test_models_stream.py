@@ -205,6 +205,36 @@ def test_words_are_counted_inside_their_row(spark):
     assert [by[i]["label"] for i in (0, 1, 6)] == ["positive", "positive", "negative"] and abs(by[1]["positive"] - 1 / 3) < 1e-12
 
 
+def test_registered_models_are_trained_whole(spark, monkeypatch):
+    """Every registered model job asks for the sizes of the studied ensemble: 400 rounds, 300 trees."""
+    from tidespine.catalog import q_models as q
+
+    asked = []
+
+    def fitted(df, features, label, settings=ml.Settings(), *args, **kwargs):
+        asked.append(settings)
+        raise InterruptedError
+
+    monkeypatch.setattr(ml, "fit", fitted)
+    monkeypatch.setattr(q, "sources", lambda t: None)
+    days = [r["date"] for r in panel(spark, 1).select("date").collect()]
+    df = panel(spark, 160).withColumn("date", F.date_add("date", -8900)).select("ticker", "date", "f0", "label_return")
+    monkeypatch.setattr(q, "matrix", lambda t, h: (df, ["f0"]))
+    monkeypatch.setattr(q.ds, "training_datasets", lambda src, hs: {h: df for h in hs})
+    monkeypatch.setitem(q.ds.TIERS, "short", ["f0"])
+    layers = spark.createDataFrame([(t, "ASIA" if t < "C" else "EUROPE") for t in "ABCD"], "ticker string, layer string")
+    tables = type("Views", (), {"spark": spark, "layers": layers})()
+    monkeypatch.setattr(ml.evl, "fold_bounds", lambda n, window, folds=3: [(1, n - 60, n)])
+    monkeypatch.setattr(ml.evl, "walk_forward", lambda d, window, folds=3: d.withColumns({"position": F.datediff("date", F.lit(days[0])) + 8900, "fold": F.lit(1)}))
+    monkeypatch.setattr(ml.evl, "date_split", lambda d, *spans: d.withColumn("split", F.when(F.col("ticker") < "C", "train").otherwise("test")))
+    for job in (q.m03, q.m07, q.m08, q.m09, q.m10, q.m11):
+        before = len(asked)
+        with pytest.raises(InterruptedError):
+            job(tables)
+        assert len(asked) > before, job.__name__
+    assert all(s == ml.Settings() and s.gbt_rounds == 400 and s.trees == 300 and s.forest_depth == 6 for s in asked)
+
+
 def test_small_fits_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ml, "PART_ROWS", 100)
     df = panel(spark).coalesce(1)
